@@ -21,11 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import WHITE, cut, n_words, sized_broadcast  # noqa: F401
+from .store import WHITE, cut, sized_broadcast
 
 #: Slots for each row and hash function; a lone row passes as repeated for about 1 in 250.
 SLOTS_PER_ROW = 16
 BUCKET = 32768  # bits of one bitmap
+HEAVY_GROUPS = 32768
 
 
 def normalised(text: Column) -> Column:
@@ -67,13 +68,24 @@ def possibly_repeated(rows: DataFrame, key: str, bits: DataFrame, m: int) -> Dat
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, keep_id, group_size, kept, text_sha256."""
     d = cut(docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("text_sha256"), F.monotonically_increasing_id().alias("_row")))
-    bits, m = repeat_filter(d, "text_sha256", d.count())
+    n = d.count()
+    bits, m = repeat_filter(d, "text_sha256", n)
     seen = possibly_repeated(d, "text_sha256", cut(bits), m)
     alone = seen.where(~F.col("_again")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     again = seen.where("_again").drop("_again")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
-    groups = again.groupBy("text_sha256").agg(F.min(order).alias("_keep"), F.count("*").alias("group_size"))
-    back = again.join(groups, "text_sha256").select("doc_id", F.col("_keep.id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_keep.row")).alias("kept"), "text_sha256")
+    groups = cut(again.groupBy("text_sha256").agg(F.min(order).alias("_keep"), F.count("*").alias("group_size")))
+    # at most HEAVY_GROUPS groups are larger than n / HEAVY_GROUPS rows: those are
+    # broadcast, so no task gathers a large group; the small rest meets by shuffle
+    large = F.col("group_size") > n // HEAVY_GROUPS
+    heavy = groups.where(large & (F.col("group_size") > 1)).select(F.col("text_sha256").alias("_sha"), F.col("_keep").alias("_hk"), F.col("group_size").alias("_hn"))
+    met = again.join(F.broadcast(heavy), F.col("text_sha256") == F.col("_sha"), "left")
+
+    def annotated(df: DataFrame, keep: str, size: str) -> DataFrame:
+        return df.select("doc_id", F.col(f"{keep}.id").alias("keep_id"), F.col(size).alias("group_size"), (F.col("_row") == F.col(f"{keep}.row")).alias("kept"), "text_sha256")
+
+    light = met.where("_sha is null").select("doc_id", "_row", "text_sha256").join(groups.where(~large | (F.col("group_size") == 1)), "text_sha256")
+    back = annotated(met.where("_sha is not null"), "_hk", "_hn").unionByName(annotated(light, "_keep", "group_size"))
     return alone.unionByName(back)
 
 

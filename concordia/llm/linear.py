@@ -8,8 +8,6 @@ sample of labelled rows that one task holds as arrays of ids.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 
 from . import kernel as K
@@ -40,9 +38,14 @@ def bags(t: K.Texts, bits: int, word_ns: tuple[int, ...] = (1, 2), char_ns: tupl
         for n in word_ns:
             if n == 1:
                 out.append((K.mix(h + U64(1)) >> shift, w.first))
+            elif n == 2:
+                # a word twice in a row is one pattern, whatever the word
+                at = np.flatnonzero(w.doc[1:] == w.doc[:-1])
+                x = np.where(h[at] == h[at + 1], U64(2), h[at] * U64(0x9FB21C651E98DF25) + h[at + 1])
+                out.append((K.mix(x) >> shift, np.searchsorted(w.doc[at], np.arange(len(t) + 1))))
             else:
-                s, doc = K.shingles(h, w.first, n)
-                out.append((K.mix(s + U64(n)) >> shift, np.searchsorted(doc, np.arange(len(t) + 1))))
+                x, doc = K.shingles(h, w.first, n)
+                out.append((K.mix(x + U64(n)) >> shift, np.searchsorted(doc, np.arange(len(t) + 1))))
     for n in prefix_ns:
         long = end - w.start > n
         h = K.span_hash(sums, w.start[long], w.start[long] + n)
@@ -65,38 +68,45 @@ def bags(t: K.Texts, bits: int, word_ns: tuple[int, ...] = (1, 2), char_ns: tupl
     return out
 
 
-@dataclass
-class Model:
-    """weights: one array for each family; a score is bias + sum of means (or sums) of weights."""
+def present(families: list[tuple[np.ndarray, np.ndarray]], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, ids): the distinct ids of each text, family f at f << bits and up, in one array by text."""
+    n = len(families[0][1]) - 1
+    keys = []
+    for f, (ids, first) in enumerate(families):
+        doc = np.repeat(np.arange(n, dtype=np.uint64), np.diff(first))
+        keys.append((doc << U64(32)) | (ids + (U64(f) << U64(bits))))
+    key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+    first = np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << U64(32))
+    return first, (key & U64(0xFFFFFFFF)).astype(np.int32)
 
-    bias: float
-    weights: np.ndarray
-    mean: bool
 
-    def margin(self, families: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        z = np.full(len(families[0][1]) - 1, self.bias)
-        for w, (ids, first) in zip(self.weights, families, strict=True):
-            s = K.per_doc_sum(w[ids.astype(np.int64)].astype(np.float64), first)
-            z += s / np.maximum(1, np.diff(first)) if self.mean else s
-        return z
+def mean_bags(families: list[tuple[np.ndarray, np.ndarray]], bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, share of the family's n-grams) of each text."""
+    out = []
+    for i in range(len(families[0][1]) - 1):
+        ids, share = [], []
+        for f, (x, first) in enumerate(families):
+            u, c = np.unique(x[first[i] : first[i + 1]], return_counts=True)
+            ids.append((u + (U64(f) << U64(bits))).astype(np.int32))
+            share.append((c / max(1, c.sum())).astype(np.float32))
+        out.append((np.concatenate(ids), np.concatenate(share)))
+    return out
 
 
-def sigmoid(z: np.ndarray | float) -> np.ndarray | float:
-    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+def mean_margin(families: list[tuple[np.ndarray, np.ndarray]], bits: int, bias: float, weights: np.ndarray) -> np.ndarray:
+    """bias + for each family the mean weight of its n-grams (a dot product with their shares)."""
+    z = np.full(len(families[0][1]) - 1, bias)
+    for f, (ids, first) in enumerate(families):
+        part = weights[f << bits : (f + 1) << bits]
+        z += K.per_doc_sum(part[ids.astype(np.int64)].astype(np.float64), first) / np.maximum(1, np.diff(first))
+    return z
 
 
-def unique_bag(families: list[tuple[np.ndarray, np.ndarray]], i: int, bits: int, mean: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, values) of text i over all families; family f takes ids f << bits and up."""
-    ids, vals = [], []
-    for f, (x, first) in enumerate(families):
-        part = x[first[i] : first[i + 1]]
-        u, c = np.unique(part, return_counts=True)
-        ids.append(u.astype(np.int64) + (f << bits))
-        vals.append(c / max(1, len(part)) if mean else c.astype(np.float64))
-    return np.concatenate(ids), np.concatenate(vals)
+def sigmoid(z: np.ndarray | float) -> np.ndarray | float:
+    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05, l2: float = 0.01, epochs: int = 3) -> tuple[float, np.ndarray]:
+def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 1.0, l2: float = 0.1, epochs: int = 6) -> tuple[float, np.ndarray]:
     """Logistic regression by follow-the-regularised-leader updates, one row at a time.
 
     Each coordinate keeps z (its regularised gradient sum) and n (its sum of
