@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, quality_classifier, quality_rules, tokens, toxicity
+from . import exact_dedup, html_extract, jaccard_join, mixing, quality_classifier, quality_rules, suffix_dedup, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extract": html_extract.op1_html_extract,
         "op2_quality_classifier": quality_classifier.op2_quality_classifier,
         "op3_sentencepiece": tokens.op3_sentencepiece,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op6_jaccard_join": jaccard_join.op6_jaccard_join,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_toxicity": toxicity.op10_toxicity,

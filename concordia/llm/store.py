@@ -45,3 +45,22 @@ def uniform(*cols: Column, seed: int = 0) -> Column:
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: Keys with over 1 / HEAVY of all rows are at most HEAVY, so their rows are broadcast whatever the input.
+HEAVY = 32768
+
+
+def meet(rows: DataFrame, per_key: DataFrame, key: str, weight: str, n_rows: int) -> DataFrame:
+    """rows joined with per_key, one row a key (materialised), where a key may hold a third of all rows.
+
+    Keys of large ``weight`` (their number of rows) are broadcast, so no task
+    gathers such a key; the others meet by shuffle.  Inner join, ``weight`` kept.
+    """
+    large = F.col(weight) > n_rows // HEAVY
+    other = [c for c in per_key.columns if c != key]
+    heavy = per_key.where(large).select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in other])
+    met = rows.join(F.broadcast(heavy), F.col(key) == F.col("_key"), "left")
+    hot = met.where("_key is not null").select(*rows.columns, *[F.col(f"_{c}").alias(c) for c in other])
+    cold = met.where("_key is null").select(*rows.columns).join(per_key.where(~large), key)
+    return hot.unionByName(cold.select(*hot.columns))
