@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, jaccard_join, mixing, quality_classifier, quality_rules, suffix_dedup, tokens, toxicity
+from . import exact_dedup, html_extract, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, suffix_dedup, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_classifier": quality_classifier.op2_quality_classifier,
         "op3_sentencepiece": tokens.op3_sentencepiece,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op5_secret_scan": secret_scan.op5_secret_scan,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_mix_sources": mixing.op8_mix_sources,

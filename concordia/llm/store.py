@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +65,12 @@ def meet(rows: DataFrame, per_key: DataFrame, key: str, weight: str, n_rows: int
     hot = met.where("_key is not null").select(*rows.columns, *[F.col(f"_{c}").alias(c) for c in other])
     cold = met.where("_key is null").select(*rows.columns).join(per_key.where(~large), key)
     return hot.unionByName(cold.select(*hot.columns))
+
+
+def rewritten(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared checkpoint folder, and read again."""
+    spark = df.sparkSession
+    cut(spark.range(0))  # names the folder where it is unset
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

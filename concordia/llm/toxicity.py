@@ -135,9 +135,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> d
     return fit_in_task(labelled(docs, labels, "toxic", sample_rows), _fit)
 
 
-def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """Every row and column of docs, with p_<category> and toxic at its end (an input column of such a name goes)."""
-    new = [f"p_{c}" for c in CATEGORIES] + ["toxic"]
+def score(docs: DataFrame, model: dict[str, np.ndarray], prefix: str = "") -> DataFrame:
+    """Every row and column of docs, with <prefix>p_<category> and <prefix>toxic at its end (an input column of such a name goes)."""
+    new = [f"{prefix}p_{c}" for c in CATEGORIES] + [f"{prefix}toxic"]
     docs = docs.drop(*new)
     shared = share(docs, model)
 
@@ -153,10 +153,16 @@ def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
 
     schema = StructType(list(docs.schema))
     for c in new:
-        schema = schema.add(c, "boolean" if c == "toxic" else "double")
+        schema = schema.add(c, "boolean" if c == new[-1] else "double")
     return docs.mapInArrow(task, schema)
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the documents found toxic; all columns kept."""
+    scored = score(docs, fit(docs, labels), prefix="__")
+    return scored.where("not __toxic").select(*docs.columns)
+
+
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
