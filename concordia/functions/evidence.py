@@ -41,7 +41,7 @@ def clamp_evidence(raw: Column) -> Column:
     bare = F.trim(F.regexp_replace(raw, '^"|"$', ""))
     n = F.when(raw == "null", 0.0).when(bare == "", 0.0).when(raw == "true", 1.0).when(raw == "false", 0.0).otherwise(F.expr("null").cast("double"))
     n = F.coalesce(n, F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare.try_cast("double")))
-    return F.coalesce(F.greatest(F.lit(1), F.least(F.lit(4), F.floor(n + 0.5).cast("int"))), F.lit(2))
+    return F.when(n.isNull(), 2).otherwise(F.greatest(F.lit(1), F.least(F.lit(4), F.floor(n + 0.5).cast("int"))))
 
 
 def trust_level(name: Column) -> Column:

@@ -160,3 +160,48 @@ def idempotence(spark: SparkSession) -> DataFrame:
                 per = per.select(F.lit(space).alias("space"), F.lit(score).alias("score"), F.lit(name).alias("representation"), "decision_fails", "state_fails", "total")
                 out = per if out is None else out.unionByName(per)
     return out
+
+
+def compounded(spark: SparkSession, claims: int = 2, levels: tuple[int, ...] = (1, 2), n: int = 3) -> DataFrame:
+    """(representation, profile_id, cost, nary_in, got_in): folds that change which claims of a chain are in.
+
+    Claim 0 is an axiom and each further claim rests on the one before; a
+    claim is in when it is resolved to assert and its premise is in. A branch
+    says about each claim nothing, assert or refute at a level. Scores are
+    egalitarian; the in sets are bit masks; one row for each profile of which
+    some order differs.
+    """
+    if n < 3:
+        raise ValueError("folding fewer than three branches never differs from merging them at once")
+    per = 1 + 2 * len(levels)
+    total = per ** (claims * n)
+    rows = spark.range(total, numPartitions=max(1, min(64, total // 2000))).withColumnRenamed("id", "profile_id")
+    cells = [(k, c) for k in range(n) for c in range(claims)]
+    table = " ".join(f"when {i} then {e}" for i, e in enumerate(levels))
+    digit = {cell: f"(profile_id div {per ** (len(cells) - 1 - i)} % {per})" for i, cell in enumerate(cells)}
+    said = []
+    for (k, c), d in digit.items():  # options: nothing, assert by level, refute by level
+        said += [f"if({d} between 1 and {len(levels)}, case {d} - 1 {table} end, 0) as a{k}_{c}", f"if({d} > {len(levels)}, case {d} - 1 - {len(levels)} {table} end, 0) as r{k}_{c}"]
+    names = [f"{v}{k}_{c}" for v in "ar" for k, c in cells]
+    orders = ", ".join("array(" + ", ".join(map(str, o)) + ")" for o in permutations(range(n)))
+    keeps = ", ".join(f"'{r}'" for r in E.REPRESENTATIONS)
+    cost = " + ".join(f"cast(a{k}_{c} + r{k}_{c} > 0 as int)" for k, c in cells)
+    rows = rows.selectExpr("profile_id", *said).selectExpr("*", f"{cost} as cost", "1 as bits", f"explode(array({orders})) as o").selectExpr("*", f"explode(array({keeps})) as representation")
+    at = [f"case o[{k}] " + " ".join(f"when {b} then {v}{b}_{c}" for b in range(n)) + f" end as {v}x{k}_{c}" for v in "ar" for k, c in cells]
+    keys = ["profile_id", "cost", "bits", "representation"]
+    x = [f"{v}x{k}_{c}" for v in "ar" for k, c in cells]
+    rows = rows.selectExpr(*keys, *at)
+    span = range(claims)
+    rows = rows.selectExpr(*keys, *x, *[f"{' + '.join(_unit(f'{v}x{k}_{c}') for k in range(n))} as {v}n_{c}" for v in "ar" for c in span], *[f"{_unit(f'{v}x0_{c}')} as {v}s_{c}" for v in "ar" for c in span], *[f"{v}x0_{c} as {v}m_{c}" for v in "ar" for c in span])
+    held = [*x, *[f"{v}n_{c}" for v in "ar" for c in span]]
+    for k in range(1, n):
+        rows = rows.selectExpr(*keys, *held, *[f"{v}s_{c} + {_unit(f'{v}x{k}_{c}')} as {v}s_{c}" for v in "ar" for c in span], *[f"greatest({v}m_{c}, {v}x{k}_{c}) as {v}m_{c}" for v in "ar" for c in span])
+        lost = lambda v, c: f"representation <> 'JOIN' and {v}s_{c} < {'r' if v == 'a' else 'a'}s_{c}"
+        rows = rows.selectExpr(*keys, *held, *[f"if({lost(v, c)}, 0L, if(representation = 'MAX', {_unit(f'{v}m_{c}')}, {v}s_{c})) as {v}s_{c}" for v in "ar" for c in span], *[f"if({lost(v, c)}, 0, {v}m_{c}) as {v}m_{c}" for v in "ar" for c in span])
+
+    def mask(kind: str) -> str:
+        holds = [f"a{kind}_{c} > r{kind}_{c}" for c in span]
+        return " + ".join(f"if({' and '.join(holds[: c + 1])}, {1 << c}, 0)" for c in span)
+
+    found = rows.selectExpr("representation", "profile_id", "cost", f"{mask('n')} as nary_in", f"{mask('s')} as got_in").where("nary_in <> got_in")
+    return found.groupBy("representation", "profile_id").agg(F.first("cost").alias("cost"), F.first("nary_in").alias("nary_in"), F.min("got_in").alias("got_in"))

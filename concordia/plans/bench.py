@@ -190,7 +190,7 @@ def score(spark: SparkSession, seeds: Iterable[int], budget: int, branches: int
     single = covered(branch_texts(messages), "session_id").groupBy("seed").agg(F.max("bridge").alias("best_single"))
     fought = facts.groupBy("seed", "key").agg(F.max(F.when(F.col("correct"), F.col("value"))).alias("right"), F.max(F.when(~F.col("correct"), F.col("value"))).alias("wrong"), F.count("*").alias("n")).where("n >= 2")
     met = built.join(F.broadcast(fought), "seed").withColumn("_r", T.mentions(F.col("text"), F.col("right"))).withColumn("_w", T.mentions(F.col("text"), F.col("wrong")))
-    ties = met.groupBy("seed", "arm").agg(F.avg((F.col("_r") & ~F.col("_w")).cast("double")).alias("unambiguous"), F.count_if(F.col("_r") & F.col("_w")).alias("both"), F.count_if(~F.col("_r") & F.col("_w")).alias("wrong_only"), F.count_if(~F.col("_r") & ~F.col("_w")).alias("absent"))
+    ties = met.groupBy("seed", "arm").agg(F.avg((F.col("_r") & ~F.col("_w")).cast("double")).alias("unambiguous"), F.count_if(F.col("_r") & F.col("_w")).alias("both_values"), F.count_if(~F.col("_r") & F.col("_w")).alias("wrong_only"), F.count_if(~F.col("_r") & ~F.col("_w")).alias("absent"))
     words = spark.createDataFrame([(v,) for t in TOPICS for v in t[1:3]], "value string").distinct()
     said = facts.select("seed", "value").distinct()
     never = facts.select("seed").distinct().join(F.broadcast(words)).join(said, ["seed", "value"], "left_anti")
@@ -200,9 +200,24 @@ def score(spark: SparkSession, seeds: Iterable[int], budget: int, branches: int
     return out.join(built.select("seed", "arm", T.token_estimate(F.col("text")).alias("tokens")), ["seed", "arm"]).withColumn("bridge_gain", F.col("bridge") - F.col("best_single")).withColumn("unambiguous", F.coalesce("unambiguous", F.lit(1.0)))
 
 
+def conflict_decisions(facts: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Per seed: total, correct, wrong, missing, accuracy of the decisions that a rendered text shows for contested keys.
+
+    parsed: (seed, key, outcome, values) from ``render.parse_lines``; a slot
+    without values, or none, is missing; nothing contested is accuracy 1.
+    """
+    fought = facts.groupBy("seed", "key").agg(F.count("*").alias("n"), F.max(F.when(F.col("correct"), F.col("value"))).alias("right")).where("n >= 2")
+    met = fought.join(parsed.select("seed", "key", "values"), ["seed", "key"], "left")
+    shown = F.coalesce(F.size("values"), F.lit(0)) > 0
+    right = F.coalesce(F.exists("values", lambda v: T.normalise_mention(v) == T.normalise_mention(F.col("right"))), F.lit(False))
+    per = met.groupBy("seed").agg(F.count("*").alias("total"), F.count_if(right).alias("correct"), F.count_if(shown & ~right).alias("wrong"), F.count_if(~shown).alias("missing"))
+    every = facts.select("seed").distinct().join(per, "seed", "left").fillna(0, ["total", "correct", "wrong", "missing"])
+    return every.withColumn("accuracy", F.when(F.col("total") > 0, F.col("correct") / F.col("total")).otherwise(1.0))
+
+
 def rollup(scored: DataFrame) -> DataFrame:
     """Means over seeds, one row for each arm in a fixed order."""
-    names = ["local", "bridge", "bridge_gain", "best_single", "unambiguous", "both", "invented", "tokens"]
+    names = ["local", "bridge", "bridge_gain", "best_single", "unambiguous", "both_values", "invented", "tokens"]
     per = scored.groupBy("arm").agg(*[F.round(F.avg(c), 4).alias(c) for c in names])
     place = F.array_position(F.array(*map(F.lit, ("none", "single", "concat", "heuristic", "oracle"))), F.col("arm"))
     return per.withColumn("place", place.cast("int")).orderBy("place")

@@ -190,6 +190,12 @@ def idempotence(spark, d):
     return X.idempotence(spark).select("space", "score", "representation", "decision_fails", (F.col("state_fails") > 0).alias("state_changes"))
 
 
+@query("SELECT 'MAX' AS representation, CAST(3 AS INTEGER) AS least_cost, true AS found")
+def compounded_failures(spark, d):
+    found = X.compounded(spark).where("representation = 'MAX'")
+    return found.groupBy("representation").agg(F.min("cost").cast("int").alias("least_cost"), (F.count("*") > 0).alias("found"))
+
+
 # --- text ----------------------------------------------------------------------------
 
 _NEG = "(^|\\s)(" + "|".join(w.replace("'", "''") for w in T.NEGATING_WORDS) + ")\\b"
@@ -596,9 +602,30 @@ def stream_slot_decisions(spark, d):
     return _flat(ST.run_to_end(ST.slot_decisions(op, ["key"]), "concordia_slot_decisions", "complete"), "key")
 
 
-@query()
+# The published means over seeds 1-5 at 400 and 1200 tokens (2 branches, 10 topics, 50 bridge questions).
+_PUBLISHED = """(400, 'none', 0, 0, 0, 0, 0.0, 0), (400, 'single', 0.5, 0, 0, 0.5, 0.0, 0), (400, 'concat', 0.6, 0.18, 0.18, 0.5, 0.0, 0), (400, 'heuristic', 0.95, 0.98, 0.98, 0.5, 0.8, 0), (400, 'oracle', 1, 1, 1, 1, 0.0, 0),
+(1200, 'single', 0.5, 0, 0, 0.5, 0.0, 0), (1200, 'concat', 1, 1, 1, 0, 2.0, 0), (1200, 'heuristic', 1, 1, 1, 0, 2.0, 0), (1200, 'oracle', 1, 1, 1, 1, 0.0, 0)"""
+_MEANS = ["local", "bridge", "bridge_gain", "unambiguous", "both_values", "invented"]
+
+
+@query("SELECT CAST(budget AS INTEGER) AS budget, arm, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _MEANS) + f" FROM (VALUES {_PUBLISHED}) AS t(budget, arm, {', '.join(_MEANS)})")
 def bench_rollup(spark, d):
-    return B.rollup(B.score(spark, seeds=range(1, 6), budget=400))
+    parts = [B.rollup(B.score(spark, seeds=range(1, 6), budget=b)).select(F.lit(b).alias("budget"), "arm", *_MEANS) for b in (400, 1200)]
+    return parts[0].unionByName(parts[1].where("arm <> 'none'"))
+
+
+@query("SELECT CAST(seed AS BIGINT) AS seed, CAST(2 AS BIGINT) AS total, CAST(2 AS BIGINT) AS correct, CAST(0 AS BIGINT) AS wrong, CAST(0 AS BIGINT) AS missing, CAST(1 AS DOUBLE) AS accuracy FROM range(1, 6) t(seed)")
+def bench_conflicts_oracle(spark, d):
+    facts, _, _ = B.tables(spark, range(1, 6), topics=10)
+    claims = B.oracle_claims(facts)
+    state, slots = G.decided_slots(claims)
+    text = G.render_claims(claims, slots, state, budget=1200).select(F.col("merge_group").alias("seed"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return B.conflict_decisions(facts, R.parse_lines(text, ["seed"]))
+
+
+@query()
+def bench_tokens(spark, d):
+    return B.rollup(B.score(spark, seeds=range(1, 6), budget=400)).select("arm", "tokens")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
