@@ -602,6 +602,12 @@ def stream_slot_decisions(spark, d):
     return _flat(ST.run_to_end(ST.slot_decisions(op, ["key"]), "concordia_slot_decisions", "complete"), "key")
 
 
+@query(f"""WITH items AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS k, event_type AS v, CAST(CAST(ts AS DATE) AS VARCHAR) AS s, 1 + event_id % 4 AS e FROM events), {_decide_sql()} SELECT k AS key, CASE outcome WHEN 'resolved' THEN 'resolved:' || winner ELSE 'disputed:' || tied_csv END AS decision, n_items FROM dec""")
+def stream_stateful_decisions(spark, d):
+    op = _event_opinions(ST.read_table(spark, d, "events")).drop("ts")
+    return ST.run_to_end(ST.stateful_decisions(op, ["key"]), "concordia_stateful", "update")
+
+
 # The published means over seeds 1-5 at 400 and 1200 tokens (2 branches, 10 topics, 50 bridge questions).
 _PUBLISHED = """(400, 'none', 0, 0, 0, 0, 0.0, 0), (400, 'single', 0.5, 0, 0, 0.5, 0.0, 0), (400, 'concat', 0.6, 0.18, 0.18, 0.5, 0.0, 0), (400, 'heuristic', 0.95, 0.98, 0.98, 0.5, 0.8, 0), (400, 'oracle', 1, 1, 1, 1, 0.0, 0),
 (1200, 'single', 0.5, 0, 0, 0.5, 0.0, 0), (1200, 'concat', 1, 1, 1, 0, 2.0, 0), (1200, 'heuristic', 1, 1, 1, 0, 2.0, 0), (1200, 'oracle', 1, 1, 1, 1, 0.0, 0)"""

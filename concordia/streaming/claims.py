@@ -9,6 +9,8 @@ guarantee for rows later than it.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +70,35 @@ def fold_in_arrival_order(batches: list[DataFrame], keys: list[str], representat
             union = F.array_union(F.coalesce("state", empty), F.coalesce("_new", empty))
             acc = met.select(*keys, keep(union, score).alias("state"))
     return acc.select(*keys, E.decision_text(E.winners(F.col("state"), score)).alias("decision"))
+
+
+def stateful_decisions(opinions: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, decision, n_items) whenever a slot's decision changes: an explicit state of triples for each slot.
+
+    The same rule as ``slot_decisions`` for consumers that want changes only,
+    not every updated slot. Scores are egalitarian.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    from ..ship import ship
+
+    ship(opinions.sparkSession)
+
+    def step(key, frames, state: GroupState):
+        import pandas as pd
+
+        triples, before = ({tuple(x) for x in json.loads(state.get[0])}, state.get[1]) if state.exists else (set(), "")
+        for f in frames:
+            triples |= {(str(v), str(s), int(e)) for v, s, e in zip(f["value"], f["source"], f["evidence"], strict=True)}
+        scores: dict[str, int] = {}
+        for v, _, e in triples:
+            scores[v] = scores.get(v, 0) + (1 << (e - 1) if 1 <= e <= 4 else 0)
+        best = sorted(v for v, n in scores.items() if n == max(scores.values()))
+        now = f"resolved:{best[0]}" if len(best) == 1 else "disputed:" + ",".join(best)
+        state.update((json.dumps(sorted(triples)), now))
+        if now != before:
+            yield pd.DataFrame({**{k: [x] for k, x in zip(keys, key, strict=True)}, "decision": [now], "n_items": [len(triples)]})
+
+    kinds = dict(opinions.dtypes)
+    out = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", decision string, n_items long"
+    return opinions.groupBy(*keys).applyInPandasWithState(step, out, "triples string, decision string", "update", GroupStateTimeout.NoTimeout)
