@@ -7,19 +7,22 @@ class, so copies never meet.
 k = 2u (1 - t) / (1 + t) elements.  Hashing elements into more than k groups,
 at least one group is alike in both, and its hash is a common signature
 (sizes fall into intervals so that both sides agree on k; a text signs for its
-own interval and the next).  So no link is lost, and since a group is alike
-only if all its elements are, texts that merely share a passage rarely meet.
-Signatures shuffle as two longs; those met by more than one class connect
-their classes into *regions*, and no link leaves a region.
-
-*R-tree.*  In a region, elements are hashed into ``GROUPS`` groups and each
-class is the point of its group counts.  A tree over the points keeps the
-upper corner and the size range of each node; the sum over coordinates of
+own interval and the next).  So no link is lost.  Signatures shuffle as two
+longs; those met by more than one class form blocks, and blocks of the same
+classes are one.
+
+*R-tree.*  Elements are hashed into ``GROUPS`` groups and each class is the
+point of its group counts.  In a block, a tree over the points keeps the upper
+corner and the size range of each node; the sum over coordinates of
 min(query, corner) bounds the overlap with anything below, and a node is
-entered only if that reaches what the threshold needs.  Pairs that survive at
-the leaves and are not yet connected are verified on the sets.
+entered only if that reaches what the threshold needs.  Classes that survive
+this connect into *regions*; no link leaves a region, and texts that merely
+share a passage rarely share one.
+
+*Verification.*  In a region, pairs that survive the same tree and are not yet
+connected are verified on the sets.  Only classes in regions are read again.
 
-*Large regions.*  A region beyond ``REGION_ELEMENTS`` is dealt into chunks.
+*Size.*  A block or region beyond what one task holds is dealt into chunks.
 Each chunk is linked within itself, then one class of each component found,
 then chunks against chunks, except where both hold one and the same
 component: a group of near copies of any size is linked in chunks of bounded
@@ -34,7 +37,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
@@ -45,8 +48,11 @@ from .store import cut, meet, sized_broadcast, table
 U64 = np.uint64
 GROUPS = 64
 FANOUT = 16
-#: Elements of the sets that one task holds at once (8 bytes each).
-REGION_ELEMENTS = 1_500_000
+#: Bytes of sets, and of points, that one task holds at once.
+SET_BYTES = 12 << 20
+POINT_BYTES = 2 << 20
+#: A block of more classes than this is not compared with others for being the same.
+BLOCK_ROWS = 1 << 20
 
 
 # --- sets and signatures ------------------------------------------------------
@@ -69,23 +75,28 @@ def sets(t: K.Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
 def intervals(t: float, most: int) -> np.ndarray:
     """Upper ends of size intervals: each reaches from the last end + 1 to that over t."""
     ends = [0]
-    while ends[-1] < most:
+    past = 0
+    while past < 2:  # two more than needed: a text signs for the next interval too
         ends.append(max(ends[-1] + 1, int((ends[-1] + 1) / t + 1e-9)))
+        past += ends[-1] > most
     return np.array(ends)
 
 
 def signatures(h: np.ndarray, first: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, text) of each group of each text, for its own size interval and the next."""
+    """(signature, text) of each group of each text, for its own size interval and the next.
+
+    A pair of intervals i and i or i + 1 meets under i + 1, where its sizes sum
+    to at most the ends of both.
+    """
     n = np.diff(first)
-    ends = intervals(t, int(n.max(initial=0)) + 1)
+    ends = intervals(t, int(n.max(initial=0)))
     own = np.searchsorted(ends, n)
-    top = np.append(ends, [int(ends[-1] / t) + 1])
     sigs, docs = [], []
     doc = np.repeat(np.arange(len(n)), n)
     mixed = K.mix(h ^ U64(0x5851F42D4C957F2D))
     for step in (0, 1):
         tag = own + step
-        k = np.floor(2 * top[np.minimum(tag, len(top) - 1)] * (1 - t) / (1 + t) + 1e-9).astype(np.int64)
+        k = np.floor((ends[tag] + ends[np.maximum(tag, 1) - 1]) * (1 - t) / (1 + t) + 1e-9).astype(np.int64)
         slack = np.minimum(3, k // 4)
         m = k + 1 + slack
         base = np.concatenate([[0], np.cumsum(m)])
@@ -117,42 +128,97 @@ def _class_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return K.mix(a ^ K.mix(b + np.diff(first).astype(np.uint64)))
 
 
-def _describe(width: int, t: float):
+def _points(h: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Each set's size and group counts as bytes.
+
+    A set of n elements has 64 groups, or as many powers of two more as leave
+    at most eight elements a group: with fuller groups the counts of unrelated
+    large sets would come too near each other.
+    """
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        n = b - a
+        bits = max(6, (max(n, 1) - 1).bit_length() - 3)
+        counts = np.bincount((h[a:b] >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        top = counts.max()
+        kind = np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32
+        out.append(n.to_bytes(8, "little") + bytes([bits, kind().itemsize]) + counts.astype(kind).tobytes())
+    return out
+
+
+def _point(raw: bytes) -> tuple[int, np.ndarray]:
+    kind = {1: np.uint8, 2: np.uint16, 4: np.uint32}[raw[9]]
+    return int.from_bytes(raw[:8], "little"), np.frombuffer(raw, kind, 1 << raw[8], 10).astype(np.int64)
+
+
+def _coarse(counts: np.ndarray, groups: int) -> np.ndarray:
+    return counts if len(counts) == groups else counts.reshape(groups, -1).sum(axis=1)
+
+
+def _describe(width: int):
+    """Rows (doc_id, text) to (doc_id, n, c, point): size and key of each set, and its size and group counts as bytes."""
+
     def task(batches):
         for batch in batches:
-            n, keys, lists = [], [], []
+            n, keys, points = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             for _, _, texts in K.slices(batch):
                 h, first = sets(texts, width)
-                sig, doc = signatures(h, first, t)
-                order = np.argsort(doc, kind="stable")
-                at = np.searchsorted(doc[order], np.arange(len(texts) + 1))
                 n.append(np.diff(first))
                 keys.append(_class_keys(h, first).view(np.int64))
-                lists.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sig[order].view(np.int64))))
-            none = np.zeros(0, np.int64)
-            yield pa.record_batch(
-                [batch.column(0), pa.array(np.concatenate([none, *n]).astype(np.int64)), pa.array(np.concatenate([none, *keys])), pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int64()))],
-                ["doc_id", "n", "c", "sigs"],
-            )
+                points += _points(h, first)
+            yield pa.record_batch([batch.column(0), pa.array(np.concatenate(n)), pa.array(np.concatenate(keys)), pa.array(points, pa.binary())], ["doc_id", "n", "c", "point"])
 
     return task
 
 
-def _stars(batches):
-    """Rows (sig, c) sorted by both: an edge from each class of a block to the block's first."""
-    last_sig, leader = None, None
+def _sign(width: int, t: float):
+    """Rows (text) to (sig, c); a slice's repeated pairs (copies) once."""
+
+    def task(batches):
+        for batch in batches:
+            for _, _, texts in K.slices(batch):
+                h, first = sets(texts, width)
+                keys = _class_keys(h, first)
+                keep = np.flatnonzero(np.bincount(np.unique(keys, return_index=True)[1], minlength=len(keys)))
+                sig, doc = signatures(h, first, t)
+                once = np.isin(doc, keep)
+                yield pa.record_batch([pa.array(sig[once].view(np.int64)), pa.array(keys[doc[once]].view(np.int64))], ["sig", "c"])
+
+    return task
+
+
+def _blocks(batches):
+    """Rows (sig, c) sorted by both to (block, c) of blocks with more than one class, each set of classes once a task."""
+    seen: set[int] = set()
+    rest = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def emit(sig: np.ndarray, c: np.ndarray):
+        fresh = np.ones(len(sig), bool)
+        fresh[1:] = (sig[1:] != sig[:-1]) | (c[1:] != c[:-1])
+        sig, c = sig[fresh], c[fresh]
+        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        n = np.diff(np.append(start, len(sig)))
+        total = np.add.reduceat(K.mix(c.view(np.uint64)), start) if len(start) else np.zeros(0, np.uint64)
+        block = K.mix(total + n.astype(np.uint64)).view(np.int64)
+        new = np.zeros(len(start), bool)
+        for i in np.flatnonzero(n > 1):
+            if int(block[i]) not in seen:
+                seen.add(int(block[i]))
+                new[i] = True
+        if len(seen) > BLOCK_ROWS:
+            seen.clear()
+        rows = np.repeat(new, n)
+        return pa.record_batch([pa.array(np.repeat(block, n)[rows]), pa.array(c[rows])], ["b", "c"])
+
     for batch in batches:
-        sig, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        sig, c = (np.concatenate([r, batch.column(k).to_numpy()]) for k, r in enumerate(rest))
         if not len(sig):
             continue
-        start = np.ones(len(sig), bool)
-        start[1:] = sig[1:] != sig[:-1]
-        start[0] = last_sig is None or sig[0] != last_sig
-        head = np.maximum.accumulate(np.where(start, np.arange(len(sig)), -1))
-        lead = np.where(head >= 0, c[np.maximum(head, 0)], leader if leader is not None else 0)
-        last_sig, leader = sig[-1], lead[-1]
-        pair = np.unique(np.stack([lead, c], axis=1)[lead != c], axis=0)
-        yield pa.record_batch([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+        last = int(np.searchsorted(sig, sig[-1]))  # the last block may go on in the next batch
+        yield emit(sig[:last], c[:last])
+        rest = (sig[last:], np.unique(c[last:]))
+        rest = (np.full(len(rest[1]), sig[-1]), rest[1])
+    yield emit(*rest)
 
 
 # --- the R-tree ---------------------------------------------------------------
@@ -194,21 +260,18 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
 
 
-def link_classes(found: list[np.ndarray], t_num: int, t_den: int, label: np.ndarray | None = None, side: np.ndarray | None = None) -> np.ndarray:
-    """Component number of each set (each ascending). label: components known before; side: only pairs of different sides meet."""
-    m = len(found)
-    parent = np.arange(m)
+def connect(sizes: np.ndarray, points: np.ndarray, t: float, links, label: np.ndarray | None = None, side: np.ndarray | None = None) -> np.ndarray:
+    """Component number of each class; links(i, j) decides a pair that survives the tree.
+
+    label: components known before; side: only pairs of different sides meet.
+    """
+    m = len(sizes)
+    comp = np.arange(m)
     if label is not None:
         _, head, back = np.unique(label, return_index=True, return_inverse=True)
-        parent = head[back]
-    sizes = np.array([len(x) for x in found])
+        comp = head[back]
     order = np.argsort(sizes, kind="stable")
-    points = np.zeros((m, GROUPS), np.int32)
-    for i, x in enumerate(found):
-        points[i] = np.bincount((x >> U64(58)).astype(np.int64), minlength=GROUPS)
     tree = CountTree(points[order], sizes[order])
-    comp = parent.copy()  # flat labels: merging relabels the smaller part
-    t = t_num / t_den
     members: dict[int, list[int]] = {}
     for i, c in enumerate(comp):
         members.setdefault(int(c), []).append(i)
@@ -223,10 +286,7 @@ def link_classes(found: list[np.ndarray], t_num: int, t_den: int, label: np.ndar
             continue
         at, bound = tree.search(points[i], int(sizes[i]), t, open_)
         for j in order[at[np.argsort(-bound, kind="stable")]]:
-            if comp[i] == comp[j]:
-                continue
-            o = overlap(found[i], found[j])
-            if t_den * o >= t_num * (int(sizes[i]) + int(sizes[j]) - o):
+            if comp[i] != comp[j] and links(i, j):
                 x, y = int(comp[i]), int(comp[j])
                 if len(members[x]) > len(members[y]):
                     x, y = y, x
@@ -235,21 +295,46 @@ def link_classes(found: list[np.ndarray], t_num: int, t_den: int, label: np.ndar
     return comp
 
 
-def _link_rows(t_num: int, t_den: int):
-    """Groups of rows (g, region, c, comp, side, elements) to edges (a, b) that connect what links."""
+def _link_rows(t_num: int, t_den: int, verify: bool):
+    """Groups of rows (g, region, c, comp, side, payload) to edges (a, b) that connect what links.
+
+    payload: a set's elements if verify, else its point, and what survives the tree and the bound at
+    the finer groups of both links.
+    """
+    t = t_num / t_den
+
+    def components_of(payload: list[bytes], label: np.ndarray, side: np.ndarray | None) -> np.ndarray:
+        if verify:
+            found = [np.frombuffer(x, np.uint64) for x in payload]
+            sizes = np.array([len(x) for x in found])
+            points = np.array([np.bincount((x >> U64(58)).astype(np.int64), minlength=GROUPS) for x in found])
+
+            def links(i, j):
+                o = overlap(found[i], found[j])
+                return t_den * o >= t_num * (int(sizes[i]) + int(sizes[j]) - o)
+        else:
+            got = [_point(x) for x in payload]
+            fine = [p for _, p in got]
+            sizes, points = np.array([n for n, _ in got]), np.array([_coarse(p, GROUPS) for p in fine])
+
+            def links(i, j):
+                groups = min(len(fine[i]), len(fine[j]))
+                bound = np.minimum(_coarse(fine[i], groups), _coarse(fine[j], groups)).sum()
+                return bound * (1 + t) >= t * (sizes[i] + sizes[j]) - 1e-6
+
+        return connect(sizes, points, t, links, label, side)
 
     def task(tab: pa.Table) -> pa.Table:
         tab = tab.sort_by([("region", "ascending"), ("c", "ascending")])
         region, c, comp, side = (tab[k].to_numpy() for k in ("region", "c", "comp", "side"))
-        data = tab["elements"].combine_chunks()
+        data = tab["payload"].combine_chunks()
         a, b = [], []
         cuts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]])) if len(region) else np.zeros(1, np.int64)
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             rows = np.arange(s, e)
             rows = rows[np.concatenate([[True], c[s + 1 : e] != c[s : e - 1]])]  # a class counts once
-            found = [np.frombuffer(data[int(i)].as_buffer(), np.uint64) for i in rows]
-            known, sides = comp[rows], side[rows]
-            got = link_classes(found, t_num, t_den, known, sides if len(np.unique(sides)) > 1 else None)
+            sides = side[rows]
+            got = components_of([data[int(i)].as_buffer().to_pybytes() for i in rows], comp[rows], sides if len(np.unique(sides)) > 1 else None)
             _, head, back = np.unique(got, return_index=True, return_inverse=True)
             lead = rows[head[back]]
             new = lead != rows
@@ -270,20 +355,23 @@ def link(docs: DataFrame, width: int = 5, t_num: int = 80, t_den: int = 100, id_
     ship(spark)
     t = t_num / t_den
     need = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    seen = cut(need.mapInArrow(_describe(width, t), "doc_id bigint, n bigint, c bigint, sigs array<bigint>"))
+    seen = cut(need.mapInArrow(_describe(width), "doc_id bigint, n bigint, c bigint, point binary"))
     named = seen.where("n > 0 and doc_id is not null")
     n_rows = seen.count()
     classes = cut(named.groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")))
-    blocks = named.select(F.explode("sigs").alias("sig"), "c").repartition("sig").sortWithinPartitions("sig", "c")
-    regions = cut(components(blocks.mapInArrow(_stars, "a bigint, b bigint")))
-    # the sets of classes in regions, from one text of each
-    wanted = cut(classes.join(regions, F.col("c") == F.col("node")).select("c", "rep", "n", F.col("root").alias("region")))
-    total = wanted.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
+    signed = need.where("doc_id is not null").select("text").mapInArrow(_sign(width, t), "sig bigint, c bigint")
+    blocks = signed.repartition("sig").sortWithinPartitions("sig", "c").mapInArrow(_blocks, "b bigint, c bigint")
+    blocks = cut(blocks.groupBy("b", "c").agg(F.lit(1).alias("_one")).drop("_one"))
+    met = cut(blocks.select(F.col("c").alias("_c")).distinct())
+    n_met = met.count()
     comps = None
-    if total["rows"]:
-        texts = need.join(sized_broadcast(wanted.select("rep", "c", "region"), 32.0 * total["rows"]), F.col("doc_id") == F.col("rep"))
-        held = _elements(texts, width)
-        comps = _link_regions(cut(held) if total["n"] > REGION_ELEMENTS else held, wanted, total["n"], t_num, t_den)
+    if n_met:
+        points = named.join(sized_broadcast(met, 16.0 * n_met), F.col("c") == F.col("_c"), "left_semi").dropDuplicates(["c"]).select(F.col("c").alias("_c"), "point")
+        held = blocks.join(sized_broadcast(cut(points), 160.0 * n_met), F.col("c") == F.col("_c")).select(F.col("b").alias("region"), "c", F.col("point").alias("payload"))
+        near = _link_groups(held, POINT_BYTES, _link_rows(t_num, t_den, verify=False))
+        wanted = cut(classes.join(near, F.col("c") == F.col("node")).select("c", "rep", F.col("root").alias("region")))
+        texts = need.join(sized_broadcast(wanted.select("rep", "c", "region"), 32.0 * n_met), F.col("doc_id") == F.col("rep"))
+        comps = _link_groups(_elements(texts, width), SET_BYTES, _link_rows(t_num, t_den, verify=True))
     per = classes.select("c", "copies", F.col("rep").alias("component_id"))
     if comps is not None:
         reps = classes.select(F.col("c").alias("_c"), "rep")
@@ -296,7 +384,7 @@ def link(docs: DataFrame, width: int = 5, t_num: int = 80, t_den: int = 100, id_
 
 
 def _elements(texts: DataFrame, width: int) -> DataFrame:
-    """(region, c, elements): the set of each class as bytes of ascending longs."""
+    """(region, c, payload): the set of each class as bytes of ascending longs."""
 
     def task(batches):
         for batch in batches:
@@ -309,67 +397,69 @@ def _elements(texts: DataFrame, width: int) -> DataFrame:
                     if keys[i] == c[a + i]:
                         keep.append(a + i)
                         out.append(np.sort(h[first[i] : first[i + 1]]).tobytes())
-            yield pa.record_batch([batch.column(2).take(pa.array(keep, pa.int64())), pa.array(c[keep]), pa.array(out, pa.binary())], ["region", "c", "elements"])
+            yield pa.record_batch([batch.column(2).take(pa.array(keep, pa.int64())), pa.array(c[keep]), pa.array(out, pa.binary())], ["region", "c", "payload"])
 
-    return texts.select("text", "c", "region").mapInArrow(task, "region bigint, c bigint, elements binary")
+    return texts.select("text", "c", "region").mapInArrow(task, "region bigint, c bigint, payload binary")
 
 
-def _link_regions(held: DataFrame, wanted: DataFrame, total: int, t_num: int, t_den: int) -> DataFrame:
-    """(node, root) of classes that link, over all regions."""
-    sizes = cut(wanted.groupBy("region").agg(F.sum("n").alias("_elements"), F.count("*").alias("_rows")))
-    large = sizes.where(F.col("_elements") > REGION_ELEMENTS)
+_EDGE = "a bigint, b bigint"
+
+
+def _link_groups(held: DataFrame, limit: int, work) -> DataFrame:
+    """(node, root) of classes that link. held: (region, c, payload); only classes of one region may link."""
+    held = cut(held)
+    sizes = cut(held.groupBy("region").agg(F.sum(F.length("payload")).alias("_bytes")))
+    total = sizes.agg(F.sum("_bytes")).first()[0] or 0
+    large = sizes.where(F.col("_bytes") > limit).withColumnRenamed("region", "_r")
     n_large = large.count()
-    edge = "a bigint, b bigint"
-    work = _link_rows(t_num, t_den)
-    bins = max(1, -(-int(total) // (REGION_ELEMENTS // 2)))
-    plain = [F.col("c").alias("comp"), F.lit(0).cast("long").alias("side"), "elements"]
+    bins = max(1, -(-int(total) // (limit // 2)))
     small = held
     if n_large:
-        named = F.broadcast(large.select(F.col("region").alias("_r"), "_elements"))
-        small = held.join(named, F.col("region") == F.col("_r"), "left_anti")
+        large = sized_broadcast(large, 24.0 * n_large)
+        small = held.join(large, F.col("region") == F.col("_r"), "left_anti")
+    plain = [F.col("c").alias("comp"), F.lit(0).cast("long").alias("side"), "payload"]
     grouped = small.select(F.pmod(F.xxhash64("region"), F.lit(bins)).alias("g"), "region", "c", *plain)
-    links = grouped.groupBy("g").applyInArrow(work, edge)
+    links = cut(grouped.groupBy("g").applyInArrow(work, _EDGE))
     if n_large:
-        links = cut(links)
-        big = held.join(named, F.col("region") == F.col("_r")).drop("_r")
-        links = links.unionByName(_link_large(big, edge, work))
+        links = links.unionByName(_link_large(held.join(large, F.col("region") == F.col("_r")).drop("_r"), limit, work))
     return cut(components(links))
 
 
-def _link_large(big: DataFrame, edge: str, work) -> DataFrame:
+def _link_large(big: DataFrame, limit: int, work) -> DataFrame:
     """Edges of regions beyond one task: within chunks, then among one class of each component, then chunk against chunk."""
-    chunks = F.ceil(F.col("_elements") / (REGION_ELEMENTS // 2))
+    half = limit // 2
+    weight = F.sum(F.length("payload"))
     side = F.lit(0).cast("long").alias("side")
-    dealt = big.withColumn("g", F.xxhash64("region", F.pmod(F.xxhash64("c"), chunks)))
-    inner = cut(dealt.select("g", "region", "c", F.col("c").alias("comp"), side, "elements").groupBy("g").applyInArrow(work, edge))
-    found = inner
-    # one class of each component, again and again until a region's fit in one group
-    for _ in range(8):
+
+    def inside(rows: DataFrame, chunks: Column, salt: int) -> DataFrame:
+        g = F.xxhash64("region", F.pmod(F.xxhash64("c", F.lit(salt)), chunks)).alias("g")
+        return cut(rows.select(g, "region", "c", F.col("c").alias("comp"), side, "payload").groupBy("g").applyInArrow(work, _EDGE))
+
+    found = inside(big, F.ceil(F.col("_bytes") / half), 0)
+    left = None
+    for turn in range(1, 9):  # one class of each component, while that shrinks
         comps = cut(components(found))
         lead = big.join(comps.where("node <> root").select("node"), F.col("c") == F.col("node"), "left_anti")
-        per = lead.groupBy("region").agg(F.sum(F.length("elements") / 8).alias("_left"))
-        spread = F.ceil(F.col("_left") / (REGION_ELEMENTS // 2))
-        again = lead.join(per.withColumnRenamed("region", "_r"), F.col("region") == F.col("_r")).withColumn("_n", spread)
-        most = again.agg(F.max("_n")).first()[0] or 1
-        more = cut(again.select(F.xxhash64("region", F.pmod(F.xxhash64("c", F.lit(_)), F.col("_n"))).alias("g"), "region", "c", F.col("c").alias("comp"), side, "elements").groupBy("g").applyInArrow(work, edge))
-        found = cut(found.unionByName(more))
-        if most <= 1 or more.isEmpty():
+        per = cut(lead.groupBy("region").agg(weight.alias("_left")).withColumnRenamed("region", "_r"))
+        now = per.agg(F.sum("_left")).first()[0] or 0
+        if left is not None and now > 0.7 * left:
             break
+        left = now
+        found = cut(found.unionByName(inside(lead.join(per, F.col("region") == F.col("_r")), F.ceil(F.col("_left") / half), turn)))
     # chunks by component; a pair of chunks that holds one component only is done
     comps = cut(components(found))
     rows = big.join(comps, F.col("c") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "c")).drop("node", "root")
-    weight = rows.groupBy("region", "comp").agg(F.sum(F.length("elements") / 8).alias("_w")).withColumnsRenamed({"region": "_r", "comp": "_k"})
-    rows = rows.join(weight, (F.col("region") == F.col("_r")) & (F.col("comp") == F.col("_k"))).drop("_r", "_k")
-    half = REGION_ELEMENTS // 2
+    heavy = rows.groupBy("region", "comp").agg(weight.alias("_w")).withColumnsRenamed({"region": "_r", "comp": "_k"})
+    rows = rows.join(heavy, (F.col("region") == F.col("_r")) & (F.col("comp") == F.col("_k"))).drop("_r", "_k")
     pure = F.col("_w") >= half / 2
-    mixed = F.pmod(F.xxhash64("comp"), F.ceil(F.col("_elements") / half))
-    rows = cut(rows.withColumn("pure", F.when(pure, F.col("comp"))).withColumn("chunk", F.when(pure, F.xxhash64("comp", F.pmod(F.xxhash64("c"), F.ceil(F.col("_w") / half)))).otherwise(F.xxhash64("region", mixed))))
-    heads = rows.groupBy("region", "chunk").agg(F.first("pure").alias("pure"))
+    mixed = F.pmod(F.xxhash64("comp"), F.ceil(F.col("_bytes") / half))
+    rows = cut(rows.withColumn("pure", F.when(pure, F.col("comp"))).withColumn("chunk", F.when(pure, F.xxhash64(F.lit("pure"), "region", "comp", F.pmod(F.xxhash64("c"), F.ceil(F.col("_w") / half)))).otherwise(F.xxhash64(F.lit("mixed"), "region", mixed))))
+    heads = cut(rows.groupBy("region", "chunk").agg(F.first("pure").alias("pure")))
     x, y = (heads.select(F.col("region").alias(f"r{k}"), F.col("chunk").alias(f"x{k}"), F.col("pure").alias(f"p{k}")) for k in (0, 1))
     pairs = x.join(y, (F.col("r0") == F.col("r1")) & (F.col("x0") <= F.col("x1"))).where("p0 is null or p1 is null or p0 <> p1")
     ends = pairs.select("r0", F.xxhash64("x0", "x1").alias("g"), F.explode(F.array_distinct(F.array("x0", "x1"))).alias("at"), (F.col("x0") == F.col("x1")).alias("same"))
-    met = rows.join(ends, (F.col("region") == F.col("r0")) & (F.col("chunk") == F.col("at")))
-    cross = met.select("g", "region", "c", "comp", F.when(F.col("same"), F.lit(0)).otherwise(F.col("at")).alias("side"), "elements").groupBy("g").applyInArrow(work, edge)
+    both = rows.join(ends, (F.col("region") == F.col("r0")) & (F.col("chunk") == F.col("at")))
+    cross = both.select("g", "region", "c", "comp", F.when(F.col("same"), F.lit(0)).otherwise(F.col("at")).alias("side"), "payload").groupBy("g").applyInArrow(work, _EDGE)
     return found.unionByName(cut(cross))
 
 
