@@ -14,7 +14,10 @@ into shards; each shard orders its own suffixes into blocks that agree on
 their first 8, 16, ... bytes, and the shards' block lists are merged by
 refining their interleave round by round: a block's place in the next round is
 its place and that of the block as many bytes on, so a round merges short
-sorted lists of blocks and never sorts all suffixes of the bin.  A block of
+sorted lists of blocks and never sorts all suffixes of the bin.  (An anchor so
+common that its segments alone exceed a bin, a passage in a third of all texts
+with ever other words around it, is not gathered: its windows meet by two
+64-bit hashes in a combining aggregation.)  A block of
 one suffix is settled and leaves; what is left after the round of 200 bytes
 are the intervals of common prefix 200 or more.  (A round doubles the depth
 where the one-character form would take 200 rounds; the order is the same.)
@@ -30,7 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
@@ -44,7 +47,7 @@ _REACH = SPAN - GRAM + 1  # substrings that compete for a window
 _POS = U64(0xFFFFFF)
 _PIECE = 1 << 23
 #: Text of one bin and of one shard, in bytes.
-BIN_BYTES = 4 << 20
+BIN_BYTES = 1 << 20
 SHARD_BYTES = 1 << 18
 
 
@@ -211,6 +214,18 @@ def _with_text(need: DataFrame, per_text: DataFrame, n_bytes: float) -> DataFram
     return need.join(sized_broadcast(per_text, n_bytes), need["doc_id"].eqNullSafe(per_text["_id"]))
 
 
+def _union(spans: Column) -> Column:
+    """Maximal runs of sorted spans: a text has many anchors but few runs."""
+    kind = "array<struct<lo:int,hi:int>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        longer = F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], x["hi"]).alias("hi"))
+        return F.when((F.size(acc) > 0) & (x["lo"] <= F.get(acc, F.size(acc) - 1)["hi"]), F.array_append(F.slice(acc, 1, F.size(acc) - 1), longer)).otherwise(F.array_append(acc, x))
+
+    return F.aggregate(spans, F.array().cast(kind), step)
+
+
 def _cut_segments(batches):
     """Rows (text, tk, list of (lo, hi, h, multi)) to one row for each segment with its bytes."""
     for batch in batches:
@@ -226,6 +241,31 @@ def _cut_segments(batches):
         yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["h", "tk", "lo", "windows", "multi", "bytes"])
 
 
+def _hash_windows(batches):
+    """Segments (h, tk, lo, windows, multi, bytes) of very common anchors to one row for each window: two hashes and its place."""
+    for batch in batches:
+        tk, lo, n = (batch.column(k).to_numpy() for k in (1, 2, 3))
+        multi = batch.column(4).to_numpy(zero_copy_only=False)
+        t = K.texts_of(batch.column(5).cast(pa.large_binary()).view(pa.large_string())) if batch.num_rows else None
+        if t is None:
+            continue
+        rows = np.repeat(np.arange(len(n)), n)
+        inner = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+        at = t.off[:-1][rows] + inner
+        sums = K.prefix_sums(t.buf)
+        a, b = K.span_hash(sums, at, at + SPAN), K.span_hash(sums, at + SPAN // 3, at + 2 * SPAN // 3)
+        cols = [a.view(np.int64), b.view(np.int64), tk[rows], (lo[rows] + inner).astype(np.int32)]
+        yield pa.record_batch([*map(pa.array, cols), pa.array(multi[rows])], ["a", "b", "tk", "lo", "multi"])
+
+
+def _common_spans(pieces: DataFrame) -> DataFrame:
+    """Covered spans in segments of anchors too common for one bin: windows meet by hash, combined before the shuffle."""
+    w = cut(pieces.mapInArrow(_hash_windows, "a bigint, b bigint, tk bigint, lo int, multi boolean"))
+    again = w.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("multi").alias("any")).where("n > 1 or any").select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    met = w.join(cut(again), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
+    return met.select("tk", "lo", (F.col("lo") + SPAN).alias("hi"))
+
+
 def _remove(keep_text: bool):
     def task(batches):
         for batch in batches:
@@ -273,13 +313,22 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     texts = _with_text(need, wanted, 40.0 * n_parts).select("text", "tk", "parts")
     pieces = texts.mapInArrow(_cut_segments, "h bigint, tk bigint, lo int, windows int, multi boolean, bytes binary")
     bins = max(1, -(-n_bytes // BIN_BYTES))
+    heavy = cut(kinds.groupBy(F.col("h").alias("_h")).agg(F.sum(F.col("w.hi") - F.col("w.lo") + 1 + SPAN).alias("_size")).where(F.col("_size") > BIN_BYTES).select("_h"))
+    n_heavy = heavy.count()
+    common = None
+    if n_heavy:
+        heavy = sized_broadcast(heavy, 16.0 * n_heavy)
+        common = _common_spans(pieces.join(heavy, F.col("h") == F.col("_h"), "left_semi").select("h", "tk", "lo", "windows", "multi", "bytes"))
+        pieces = pieces.join(heavy, F.col("h") == F.col("_h"), "left_anti")
     shards = pieces.groupBy(F.pmod(F.xxhash64("h"), F.lit(bins)).alias("g"))
     # a segment of several copies is a partner only: its own copies are covered above
     ids = wanted.select(F.col("tk").alias("_tk"), "_id")
     merged = cut(shards.applyInArrow(_bin_spans, "tk bigint, lo int, hi int"))
+    if common is not None:
+        merged = merged.unionByName(common)
     merged = merged.join(sized_broadcast(ids, 24.0 * n_parts), F.col("tk") == F.col("_tk")).select(F.col("_id").alias("doc_id"), "tk", "lo", "hi")
     multi = marked.where("multi").select(F.col("tk").alias("_tk")).distinct()
-    spans = whole.unionByName(same).unionByName(merged).groupBy("tk", "doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = whole.unionByName(same).unionByName(merged).groupBy("tk", "doc_id").agg(_union(F.sort_array(F.collect_list(F.struct("lo", "hi")))).alias("spans"))
     spans = cut(spans.join(sized_broadcast(multi, 24.0 * all_rows.count() / 2), F.col("tk") == F.col("_tk"), "left_anti").select(F.col("tk").alias("_key"), F.col("doc_id").alias("_id"), "spans"))
     n_spans = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
     hit = _with_text(need, spans, 24.0 * n_spans).select("doc_id", "text", "_key", "spans").mapInArrow(_remove(keep_text), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
