@@ -3,7 +3,9 @@
 A large star points a node's larger neighbours to the smallest node in reach,
 a small star does so for its smaller ones; both are an aggregation and a join,
 so a node with very many neighbours is combined before it moves.  A few rounds
-leave stars only.  Each round is materialised; nothing is collected.
+leave stars only.  The join tells nodes of very many neighbours apart: the few
+there can be are broadcast (``store.meet``), so the centre of a large star is
+not gathered by one task.  Each round is materialised; nothing is collected.
 """
 
 from __future__ import annotations
@@ -11,26 +13,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, meet
 
 
-def _pull(edges: DataFrame) -> DataFrame:
-    """(v, u, m): edges with the smallest node m among u and its neighbours v of the given direction."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")).withColumnRenamed("u", "_u")
-    return edges.join(least, F.col("u") == F.col("_u")).drop("_u")
+def _pull(edges: DataFrame, n: int) -> DataFrame:
+    """edges (u, v) with m, the smallest node among u and its neighbours v of the given direction."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")).withColumn("m", F.least("m", "u"))
+    return meet(edges.select("u", "v"), least, "u", "_n", n).select("u", "v", "m")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b longs); root: the smallest node of its component."""
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    seen = None
+    seen, n = None, e.count()
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _pull(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _pull(large)
+        large = _pull(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = _pull(large, n)
         e = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if mark == seen:
             break
-        seen = mark
+        seen, n = mark, mark[0]
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

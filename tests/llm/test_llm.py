@@ -504,3 +504,25 @@ def test_pipeline_stages(spark, sf):
             assert all(i == c for i, _, c in linked(left, 5, 80, 100))
     assert docs.columns == ["doc_id", "n_tokens", "ids", "decoded"]
     assert Counter(r.doc_id for r in P.run(spark, sf).select("doc_id").collect()) == after
+
+
+def test_components_of_random_graphs(spark):
+    from concordia.llm.components import components
+
+    rng = np.random.default_rng(6)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (260, 2))] + [(0, 1000 + k) for k in range(400)] + [(2000 + k, 2001 + k) for k in range(60)] + [(5, 5)]
+    root = {}
+
+    def up(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = up(a), up(b)
+        root[max(x, y)] = min(x, y)
+    got = [tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
+    assert Counter(got) == Counter((x, up(x)) for x in root if x not in alone)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
