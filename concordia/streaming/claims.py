@@ -10,6 +10,7 @@ guarantee for rows later than it.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +51,11 @@ def windowed_decisions(opinions: DataFrame, ts: str, late: str, width: str, keys
 def run_to_end(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """Everything the stream has now, as a table (memory sink; for results that fit the driver)."""
     spark = stream.sparkSession
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:  # state and offsets where every executor reaches them
+        writer = writer.option("checkpointLocation", f"{shared}/stream-{uuid.uuid4().hex}")
+    q = writer.start()
     q.awaitTermination()
     return spark.table(name)
 
