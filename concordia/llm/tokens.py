@@ -24,6 +24,7 @@ import re
 from dataclasses import dataclass, field
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -31,8 +32,10 @@ from .store import table
 from .training import share
 
 MARK = "▁"
-#: Segments that a worker remembers before it starts anew.
-CACHE = 300_000
+#: Segments in each half of a worker's cache; when the newer half is full the older one is forgotten.
+CACHE = 250_000
+#: Characters after which a worker hands on what it has.
+PIECE_CHARS = 1 << 20
 _BYTE = -1  # in the table: a character that fell back to bytes
 
 
@@ -61,8 +64,11 @@ def load_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(ids, rank, tuple(bytes_))
 
 
-def merge_by_rank(text: str, rank: dict[str, float]) -> list[str]:
-    """Merging as defined: the best ranked adjacent pair, leftmost first, until none is a piece."""
+def merge_by_rank(text: str, rank: dict[str, float], made: dict[str, tuple[str, str]] | None = None) -> list[str]:
+    """Merging as defined: the best ranked adjacent pair, leftmost first, until none is a piece.
+
+    made: gets the two parts of the last merge if one piece is left.
+    """
     parts = list(text)
     while len(parts) > 1:
         best, at = None, -1
@@ -72,6 +78,8 @@ def merge_by_rank(text: str, rank: dict[str, float]) -> list[str]:
                 best, at = r, i
         if best is None:
             break
+        if made is not None and len(parts) == 2:
+            made[text] = (parts[0], parts[1])
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
     return parts
 
@@ -81,6 +89,7 @@ class Codec:
     vocabulary: Vocabulary
     _pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
     _cache: dict[str, tuple[str, str]] = field(default_factory=dict)
+    _older: dict[str, tuple[str, str]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         v = self.vocabulary
@@ -89,18 +98,39 @@ class Codec:
             self._match.add_word(piece, piece)
         self._match.make_automaton()
         self._chars = {p for p in v.ids if len(p) == 1}
-        self._alone = {p for p in v.ids if merge_by_rank(p, v.rank) == [p]}
+        self._made: dict[str, tuple[str, str]] = {}
+        self._alone = {p for p in v.ids if merge_by_rank(p, v.rank, self._made) == [p]}
         self._piece = {i: p for p, i in v.ids.items()}
+        self._shown = {i: p.replace(MARK, " ") for i, p in self._piece.items()}
         self._byte = {i: b for b, i in enumerate(v.bytes_)}
         if any(MARK in p.lstrip(MARK) for p in v.ids):
             raise ValueError("a piece holds the space mark behind another character")
         self._cut = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
     def _fits(self, a: str, b: str) -> bool:
-        got = self._pairs.get((a, b))
-        if got is None:
-            got = self._pairs[(a, b)] = merge_by_rank(a + b, self.vocabulary.rank) == [a, b]
-        return got
+        """Whether merging a + b gives a, b: no piece over their border may ever form.
+
+        The merges of both are undone from the last on. At each moment the two
+        parts at the border must not be a pair that would merge before either
+        takes part in its own next merge; of equal ranks the left one goes first.
+        """
+        rank, made = self.vocabulary.rank, self._made
+        key, until_a, until_b = (a, b), float("inf"), float("inf")
+        ok = True
+        while True:
+            r = rank.get(a + b)
+            if r is not None and r < until_a and r <= until_b:
+                ok = False
+                break
+            at_a, at_b = (rank[a] if a in made else -1.0), (rank[b] if b in made else -1.0)
+            if at_a < 0 and at_b < 0:
+                break
+            if at_a > at_b:
+                until_a, a = at_a, made[a][1]
+            else:
+                until_b, b = at_b, made[b][0]
+        self._pairs[key] = ok
+        return ok
 
     def segment(self, s: str) -> list[int]:
         """Ids of a segment: fill the table of last tokens, then read it backwards."""
@@ -141,6 +171,10 @@ class Codec:
 
     def _pieces(self, ids: list[int]) -> str:
         """Text of ids, marks as spaces; runs of bytes as UTF-8, what is not valid as U+FFFD."""
+        try:
+            return "".join(map(self._shown.__getitem__, ids))
+        except KeyError:  # bytes among them
+            pass
         out, raw = [], bytearray()
         for i in [*ids, None]:
             b = self._byte.get(i)
@@ -151,25 +185,31 @@ class Codec:
                 out.append(raw.decode("utf-8", "replace"))
                 raw.clear()
             if i is not None:
-                out.append(self._piece[i].replace(MARK, " "))
+                out.append(self._shown[i])
         return "".join(out)
 
     def _both(self, s: str) -> tuple[str, str]:
-        ids = self.segment(s)
+        """A segment's ids and text, from the older half of the cache or anew."""
         if len(self._cache) >= CACHE:
-            self._cache.clear()
+            self._older, self._cache = self._cache, {}
         if len(self._pairs) >= 4 * CACHE:
             self._pairs.clear()
-        got = self._cache[s] = (",".join(map(str, ids)), self._pieces(ids))
+        got = self._older.get(s)
+        if got is None:
+            ids = self.segment(s)
+            got = (",".join(map(str, ids)), self._pieces(ids))
+        self._cache[s] = got
         return got
 
     def digest(self, text: str | None) -> tuple[str, str]:
         """(decimal ids joined by commas, decoded text)."""
         if not text:
             return "", ""
-        cache, both = self._cache, self._both
-        got = [cache.get(s) or both(s) for s in self._cut.findall(MARK + text.replace(" ", MARK))]
-        return ",".join([g[0] for g in got]), "".join([g[1] for g in got])[1:]
+        got = []
+        for s in self._cut.findall(MARK + text.replace(" ", MARK)):
+            got.append(self._cache.get(s) or self._both(s))
+        ids, shown = zip(*got, strict=True)
+        return ",".join(ids), "".join(shown)[1:]
 
     def encode(self, text: str | None) -> list[int]:
         ids = self.digest(text)[0]
@@ -197,21 +237,31 @@ def encode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids array, decoded text) of every row; without ids and text, their digests."""
     shared = share(docs, load_vocabulary(path))
 
+    def rows_of(ids_of: list[str], shown: list[str], doc_ids: pa.Array) -> pa.RecordBatch:
+        n = [x.count(",") + 1 if x else 0 for x in ids_of]
+        if ids:
+            # numbers are parsed in one pass over the joined ids, not one by one
+            flat = np.array(",".join(x for x in ids_of if x).split(","), dtype=np.int32) if any(n) else np.zeros(0, np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
+            return pa.record_batch([doc_ids, pa.array(n, pa.int64()), lists, pa.array(shown, pa.string())], names)
+        sha = [[hashlib.sha256(x.encode()).hexdigest() for x in col] for col in (ids_of, shown)]
+        return pa.record_batch([doc_ids, pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in sha)], names)
+
     def task(batches):
         codec = _codec(shared)
         for batch in batches:
-            n, a, b = [], [], []
-            for text in batch.column(1):
+            # output leaves in pieces of bounded size, however long the texts of a batch are
+            first, held, ids_of, shown = 0, 0, [], []
+            for i, text in enumerate(batch.column(1)):
                 joined, back = codec.digest(text.as_py())
-                n.append(joined.count(",") + 1 if joined else 0)
-                if ids:
-                    a.append(list(map(int, joined.split(","))) if joined else [])
-                    b.append(back)
-                else:
-                    a.append(hashlib.sha256(joined.encode()).hexdigest())
-                    b.append(hashlib.sha256(back.encode()).hexdigest())
-            kind = pa.list_(pa.int32()) if ids else pa.string()
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a, kind), pa.array(b, pa.string())], names)
+                ids_of.append(joined)
+                shown.append(back)
+                held += len(back)
+                if held >= PIECE_CHARS:
+                    yield rows_of(ids_of, shown, batch.column(0)[first : i + 1])
+                    first, held, ids_of, shown = i + 1, 0, [], []
+            if ids_of or not batch.num_rows:
+                yield rows_of(ids_of, shown, batch.column(0)[first:])
 
     names = ["doc_id", "n_tokens", "ids", "decoded"] if ids else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     schema = f"doc_id bigint, n_tokens bigint, {names[2]} {'array<int>' if ids else 'string'}, {names[3]} string"
