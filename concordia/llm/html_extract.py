@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
+from .kernel import tidy
 from .store import BROADCAST_BYTES, cut, table
 
 #: Streams aligned by one call; a host with more is aligned in a tree.
@@ -423,7 +424,7 @@ def _align_batches(batches):
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, wrapper, slots): each host's wrapper as text and its slots' statistics."""
     ship(pages.sparkSession)
-    seen = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_observe, "host string, kind string, key string, n long, chars long, linked double, least string, most string")
+    seen = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(tidy(_observe), "host string, kind string, key string, n long, chars long, linked double, least string, most string")
     seen = cut(seen.groupBy("host", "kind", "key").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("least").alias("least"), F.max("most").alias("most")))
     shapes = seen.where("kind = 'stream'").select("host", F.col("key").alias("shape"))
     while True:
@@ -479,7 +480,7 @@ def extract(pages: DataFrame) -> DataFrame:
             for batch in batches:
                 yield run(batch, lambda i, url: found.get(host_of(url), none))
 
-        return need.mapInArrow(task, schema)
+        return need.mapInArrow(tidy(task), schema)
 
     host = F.coalesce(F.lower(F.regexp_extract("url", _HOST.pattern, 1)), F.lit(""))
 

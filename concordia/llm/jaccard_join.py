@@ -52,7 +52,7 @@ FANOUT = 16
 SET_BYTES = 12 << 20
 POINT_BYTES = 2 << 20
 #: A block of more classes than this is not compared with others for being the same.
-BLOCK_ROWS = 1 << 20
+BLOCK_ROWS = 1 << 18
 
 
 # --- sets and signatures ------------------------------------------------------
@@ -355,12 +355,12 @@ def link(docs: DataFrame, width: int = 5, t_num: int = 80, t_den: int = 100, id_
     ship(spark)
     t = t_num / t_den
     need = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    seen = cut(need.mapInArrow(_describe(width), "doc_id bigint, n bigint, c bigint, point binary"))
+    seen = cut(need.mapInArrow(K.tidy(_describe(width)), "doc_id bigint, n bigint, c bigint, point binary"))
     named = seen.where("n > 0 and doc_id is not null")
     n_rows = seen.count()
     classes = cut(named.groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")))
-    signed = need.where("doc_id is not null").select("text").mapInArrow(_sign(width, t), "sig bigint, c bigint")
-    blocks = signed.repartition("sig").sortWithinPartitions("sig", "c").mapInArrow(_blocks, "b bigint, c bigint")
+    signed = need.where("doc_id is not null").select("text").mapInArrow(K.tidy(_sign(width, t)), "sig bigint, c bigint")
+    blocks = signed.repartition("sig").sortWithinPartitions("sig", "c").mapInArrow(K.tidy(_blocks), "b bigint, c bigint")
     blocks = cut(blocks.groupBy("b", "c").agg(F.lit(1).alias("_one")).drop("_one"))
     met = cut(blocks.select(F.col("c").alias("_c")).distinct())
     n_met = met.count()
@@ -399,7 +399,7 @@ def _elements(texts: DataFrame, width: int) -> DataFrame:
                         out.append(np.sort(h[first[i] : first[i + 1]]).tobytes())
             yield pa.record_batch([batch.column(2).take(pa.array(keep, pa.int64())), pa.array(c[keep]), pa.array(out, pa.binary())], ["region", "c", "payload"])
 
-    return texts.select("text", "c", "region").mapInArrow(task, "region bigint, c bigint, payload binary")
+    return texts.select("text", "c", "region").mapInArrow(K.tidy(task), "region bigint, c bigint, payload binary")
 
 
 _EDGE = "a bigint, b bigint"
@@ -419,7 +419,7 @@ def _link_groups(held: DataFrame, limit: int, work) -> DataFrame:
         small = held.join(large, F.col("region") == F.col("_r"), "left_anti")
     plain = [F.col("c").alias("comp"), F.lit(0).cast("long").alias("side"), "payload"]
     grouped = small.select(F.pmod(F.xxhash64("region"), F.lit(bins)).alias("g"), "region", "c", *plain)
-    links = cut(grouped.groupBy("g").applyInArrow(work, _EDGE))
+    links = cut(grouped.groupBy("g").applyInArrow(K.tidy_group(work), _EDGE))
     if n_large:
         links = links.unionByName(_link_large(held.join(large, F.col("region") == F.col("_r")).drop("_r"), limit, work))
     return cut(components(links))
@@ -433,7 +433,7 @@ def _link_large(big: DataFrame, limit: int, work) -> DataFrame:
 
     def inside(rows: DataFrame, chunks: Column, salt: int) -> DataFrame:
         g = F.xxhash64("region", F.pmod(F.xxhash64("c", F.lit(salt)), chunks)).alias("g")
-        return cut(rows.select(g, "region", "c", F.col("c").alias("comp"), side, "payload").groupBy("g").applyInArrow(work, _EDGE))
+        return cut(rows.select(g, "region", "c", F.col("c").alias("comp"), side, "payload").groupBy("g").applyInArrow(K.tidy_group(work), _EDGE))
 
     found = inside(big, F.ceil(F.col("_bytes") / half), 0)
     left = None
@@ -459,7 +459,7 @@ def _link_large(big: DataFrame, limit: int, work) -> DataFrame:
     pairs = x.join(y, (F.col("r0") == F.col("r1")) & (F.col("x0") <= F.col("x1"))).where("p0 is null or p1 is null or p0 <> p1")
     ends = pairs.select("r0", F.xxhash64("x0", "x1").alias("g"), F.explode(F.array_distinct(F.array("x0", "x1"))).alias("at"), (F.col("x0") == F.col("x1")).alias("same"))
     both = rows.join(ends, (F.col("region") == F.col("r0")) & (F.col("chunk") == F.col("at")))
-    cross = both.select("g", "region", "c", "comp", F.when(F.col("same"), F.lit(0)).otherwise(F.col("at")).alias("side"), "payload").groupBy("g").applyInArrow(work, _EDGE)
+    cross = both.select("g", "region", "c", "comp", F.when(F.col("same"), F.lit(0)).otherwise(F.col("at")).alias("side"), "payload").groupBy("g").applyInArrow(K.tidy_group(work), _EDGE)
     return found.unionByName(cut(cross))
 
 

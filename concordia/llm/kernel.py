@@ -9,8 +9,10 @@ whatever the batch holds; one text is never cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +70,41 @@ def slices(batch: pa.RecordBatch, name: str = "text", limit: int = SLICE_BYTES)
         at = end
 
 
+def release() -> None:
+    """Give memory that a worker no longer uses back to the system: idle workers count against their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(task: Callable) -> Callable:
+    """A task over Arrow batches that releases memory when it ends."""
+
+    @wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            release()
+
+    return run
+
+
+def tidy_group(task: Callable) -> Callable:
+    """A function of one Arrow table that releases memory after each."""
+
+    @wraps(task)
+    def run(table):
+        try:
+            return task(table)
+        finally:
+            release()
+
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64 bits (in a new array)."""
     h = h ^ (h >> U64(30))

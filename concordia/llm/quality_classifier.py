@@ -55,7 +55,7 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 p[a:b] = L.sigmoid(m["bias"][0] + K.per_doc_sum(m["weights"][ids].astype(np.float64), first))
             yield pa.record_batch([batch.column(0), pa.array(p)], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id bigint, score double")
+    return docs.select("doc_id", "text").mapInArrow(K.tidy(task), "doc_id bigint, score double")
 
 
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:

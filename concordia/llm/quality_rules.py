@@ -116,7 +116,7 @@ def apply(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             yield pa.record_batch([batch.column(0), *(pa.array(c[k]) for k in _COUNTS), pa.array(failed), pa.array(~failed & (p >= KEEP_AT)), pa.array(p)], ["doc_id", *_COUNTS, "base_failed", "kept", "probability"])
 
     schema = "doc_id bigint, " + ", ".join(f"{k} bigint" for k in _COUNTS) + ", base_failed boolean, kept boolean, probability double"
-    return docs.select("doc_id", "text").mapInArrow(task, schema)
+    return docs.select("doc_id", "text").mapInArrow(K.tidy(task), schema)
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -260,7 +260,7 @@ def _hash_windows(batches):
 
 def _common_spans(pieces: DataFrame) -> DataFrame:
     """Covered spans in segments of anchors too common for one bin: windows meet by hash, combined before the shuffle."""
-    w = cut(pieces.mapInArrow(_hash_windows, "a bigint, b bigint, tk bigint, lo int, multi boolean"))
+    w = cut(pieces.mapInArrow(K.tidy(_hash_windows), "a bigint, b bigint, tk bigint, lo int, multi boolean"))
     again = w.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("multi").alias("any")).where("n > 1 or any").select(F.col("a").alias("_a"), F.col("b").alias("_b"))
     met = w.join(cut(again), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
     return met.select("tk", "lo", (F.col("lo") + SPAN).alias("hi"))
@@ -290,7 +290,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept bytes of texts with spans]) of every row."""
     ship(docs.sparkSession)
     need = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = need.mapInArrow(_describe, "doc_id bigint, tk bigint, n_bytes bigint, sha string, h array<bigint>, seg array<bigint>, lo array<int>, hi array<int>")
+    found = need.mapInArrow(K.tidy(_describe), "doc_id bigint, tk bigint, n_bytes bigint, sha string, h array<bigint>, seg array<bigint>, lo array<int>, hi array<int>")
     all_rows = cut(found.withColumn("row", F.monotonically_increasing_id()))
     copies = cut(all_rows.groupBy("tk").agg(F.count("*").alias("_n"), F.min("row").alias("_first")).where("_n > 1").withColumnRenamed("tk", "_tk"))
     copies = sized_broadcast(copies, 40.0 * copies.count())
@@ -311,7 +311,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     size = wanted.agg(F.sum(F.size("parts")).alias("n"), F.sum(F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["hi"] - p["lo"] + 1 + SPAN)).alias("bytes")).first()
     n_parts, n_bytes = size["n"] or 0, size["bytes"] or 0
     texts = _with_text(need, wanted, 40.0 * n_parts).select("text", "tk", "parts")
-    pieces = texts.mapInArrow(_cut_segments, "h bigint, tk bigint, lo int, windows int, multi boolean, bytes binary")
+    pieces = texts.mapInArrow(K.tidy(_cut_segments), "h bigint, tk bigint, lo int, windows int, multi boolean, bytes binary")
     bins = max(1, -(-n_bytes // BIN_BYTES))
     heavy = cut(kinds.groupBy(F.col("h").alias("_h")).agg(F.sum(F.col("w.hi") - F.col("w.lo") + 1 + SPAN).alias("_size")).where(F.col("_size") > BIN_BYTES).select("_h"))
     n_heavy = heavy.count()
@@ -323,7 +323,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     shards = pieces.groupBy(F.pmod(F.xxhash64("h"), F.lit(bins)).alias("g"))
     # a segment of several copies is a partner only: its own copies are covered above
     ids = wanted.select(F.col("tk").alias("_tk"), "_id")
-    merged = cut(shards.applyInArrow(_bin_spans, "tk bigint, lo int, hi int"))
+    merged = cut(shards.applyInArrow(K.tidy_group(_bin_spans), "tk bigint, lo int, hi int"))
     if common is not None:
         merged = merged.unionByName(common)
     merged = merged.join(sized_broadcast(ids, 24.0 * n_parts), F.col("tk") == F.col("_tk")).select(F.col("_id").alias("doc_id"), "tk", "lo", "hi")
@@ -331,7 +331,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     spans = whole.unionByName(same).unionByName(merged).groupBy("tk", "doc_id").agg(_union(F.sort_array(F.collect_list(F.struct("lo", "hi")))).alias("spans"))
     spans = cut(spans.join(sized_broadcast(multi, 24.0 * all_rows.count() / 2), F.col("tk") == F.col("_tk"), "left_anti").select(F.col("tk").alias("_key"), F.col("doc_id").alias("_id"), "spans"))
     n_spans = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    hit = _with_text(need, spans, 24.0 * n_spans).select("doc_id", "text", "_key", "spans").mapInArrow(_remove(keep_text), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    hit = _with_text(need, spans, 24.0 * n_spans).select("doc_id", "text", "_key", "spans").mapInArrow(K.tidy(_remove(keep_text)), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     zero = F.lit(0).cast("long")
     long = F.col("multi") & (F.col("n_bytes") >= SPAN)
     rest = marked.join(sized_broadcast(spans.select("_key"), 16.0 * n_spans), F.col("tk") == F.col("_key"), "left_anti")

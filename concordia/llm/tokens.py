@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .kernel import tidy
 from .store import table
 from .training import share
 
@@ -265,7 +266,7 @@ def encode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
 
     names = ["doc_id", "n_tokens", "ids", "decoded"] if ids else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     schema = f"doc_id bigint, n_tokens bigint, {names[2]} {'array<int>' if ids else 'string'}, {names[3]} string"
-    return docs.select("doc_id", "text").mapInArrow(task, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(task), schema)
 
 
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:

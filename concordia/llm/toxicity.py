@@ -154,7 +154,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], prefix: str = "") -> Da
     schema = StructType(list(docs.schema))
     for c in new:
         schema = schema.add(c, "boolean" if c == new[-1] else "double")
-    return docs.mapInArrow(task, schema)
+    return docs.mapInArrow(K.tidy(task), schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

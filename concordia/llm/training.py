@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
+from .kernel import tidy
 
 SAMPLE_ROWS = 8192
 HELD_OUT_MOD = 5
@@ -46,7 +47,7 @@ def fit_in_task(sample: DataFrame, fit: Callable[[pa.Table], dict[str, np.ndarra
             np.savez_compressed(out, **fit(table))
             yield pa.record_batch([pa.array([out.getvalue()], pa.binary())], ["model"])
 
-    rows = sample.repartition(1).mapInArrow(task, "model binary").collect()
+    rows = sample.repartition(1).mapInArrow(tidy(task), "model binary").collect()
     if not rows:
         return {}
     with np.load(io.BytesIO(bytes(rows[0]["model"]))) as z:

@@ -506,9 +506,12 @@ def test_pipeline_stages(spark, sf):
     assert Counter(r.doc_id for r in P.run(spark, sf).select("doc_id").collect()) == after
 
 
-def test_components_of_random_graphs(spark):
-    from concordia.llm.components import components
+@pytest.mark.parametrize("few", [0, 1 << 14])
+def test_components_of_random_graphs(spark, few, monkeypatch):
+    from concordia.llm import components as module
 
+    monkeypatch.setattr(module, "FEW", few)
+    components = module.components
     rng = np.random.default_rng(6)
     edges = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (260, 2))] + [(0, 1000 + k) for k in range(400)] + [(2000 + k, 2001 + k) for k in range(60)] + [(5, 5)]
     root = {}
