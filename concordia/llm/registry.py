@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.SQL}
+    return {"op6_jaccard_join": jaccard_join.SQL, "op7_suffix_dedup": suffix_dedup.SQL, "op9_exact_dedup": exact_dedup.SQL}
