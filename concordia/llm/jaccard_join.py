@@ -375,8 +375,8 @@ def link(docs: DataFrame, width: int = 5, t_num: int = 80, t_den: int = 100, id_
     per = classes.select("c", "copies", F.col("rep").alias("component_id"))
     if comps is not None:
         reps = classes.select(F.col("c").alias("_c"), "rep")
-        labels = comps.join(reps, F.col("node") == F.col("_c")).groupBy("root").agg(F.min("rep").alias("label")).withColumnRenamed("root", "_root")
-        named_comps = comps.join(labels, F.col("root") == F.col("_root")).select(F.col("node").alias("_node"), "label")
+        labels = cut(comps.join(reps, F.col("node") == F.col("_c")).groupBy("root").agg(F.min("rep").alias("label"), F.count("*").alias("_n")))
+        named_comps = meet(comps, labels, "root", "_n", n_met).select(F.col("node").alias("_node"), "label")
         per = per.join(named_comps, F.col("c") == F.col("_node"), "left").select("c", "copies", F.coalesce("label", "component_id").alias("component_id"))
     out = meet(named.select("doc_id", "n", "c"), cut(per), "c", "copies", n_rows).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = seen.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -472,3 +472,16 @@ def drop_near_copies(docs: DataFrame, width: int = 5, t_num: int = 80, t_den: in
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"), width=3, t_num=90, t_den=100)
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+u AS (SELECT doc_id, unnest(s) AS x FROM sh),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS o FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT i, j FROM p JOIN sh si ON si.doc_id = i JOIN sh sj ON sj.doc_id = j WHERE 100 * o >= 90 * (len(si.s) + len(sj.s) - o)),
+e AS (SELECT i AS a, j AS b FROM l UNION ALL SELECT j, i FROM l),
+r AS (SELECT doc_id, doc_id AS other FROM sh UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a),
+c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT sh.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sh JOIN c USING (doc_id)
+"""
