@@ -86,7 +86,7 @@ def parse_alignment(answers: DataFrame, sources: DataFrame, max_slots: int = 40)
     usable = slots.where("reason is null")
     known = sources.select("merge_group", F.col("source").alias("_known")).distinct()
     each = usable.select("merge_group", "at", "key", F.col("s.type").alias("type"), F.col("s.derivedFrom").alias("derived_from"), F.posexplode_outer("s.opinions").alias("o_at", "o_raw")).withColumn("o", F.from_json("o_raw", OPINION_SCHEMA))
-    each = each.join(F.broadcast(known), (each["merge_group"] == known["merge_group"]) & (F.col("o.source") == F.col("_known")), "left").drop(known["merge_group"])
+    each = each.join(known, (each["merge_group"] == known["merge_group"]) & (F.col("o.source") == F.col("_known")), "left").drop(known["merge_group"])
     value = F.lower(T.trim(F.coalesce("o.value", F.lit(""))))
     each = each.withColumn("value", value).withColumn("reason", F.when(F.col("o_raw").isNull(), "no-opinions").when(F.col("_known").isNull(), "unknown-source").when(F.length("value") == 0, "empty-value"))
     good = each.where("reason is null")
