@@ -9,8 +9,8 @@ each prefix; ids are read backwards from the end.  A pair's compatibility is
 found once by merging its joined text and remembered.
 
 No piece holds the space mark behind another character, nor a character that
-falls back to bytes, so no token crosses such a place: a text is cut there
-into segments, and a bounded cache holds the segments met by a worker.
+falls back to bytes, nor joins most punctuation to other characters, so no
+token crosses such a place: a text is cut there into segments, and a bounded cache holds the segments met by a worker.
 
 Defined cases: a null text is empty and has no ids; a mark in the text itself
 counts as a space, as in the library; characters outside the vocabulary become
@@ -85,15 +85,26 @@ def merge_by_rank(text: str, rank: dict[str, float], made: dict[str, tuple[str,
     return parts
 
 
+class _Cache(dict):
+    """A dictionary that finds what it misses by a function."""
+
+    def __init__(self, find):
+        super().__init__()
+        self._find = find
+
+    def __missing__(self, key):
+        return self._find(key)
+
+
 @dataclass
 class Codec:
     vocabulary: Vocabulary
     _pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
-    _cache: dict[str, tuple[str, str]] = field(default_factory=dict)
     _older: dict[str, tuple[str, str]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         v = self.vocabulary
+        self._cache = _Cache(self._both)
         self._match = ahocorasick.Automaton()
         for piece in v.ids:
             self._match.add_word(piece, piece)
@@ -106,7 +117,19 @@ class Codec:
         self._byte = {i: b for b, i in enumerate(v.bytes_)}
         if any(MARK in p.lstrip(MARK) for p in v.ids):
             raise ValueError("a piece holds the space mark behind another character")
-        self._cut = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
+        alone = self._standing_apart(v.ids)
+        word = f"[^{MARK}\n{alone}]"
+        self._cut = re.compile(f"\n|{MARK}+(?:[{alone}]+|{word}*)|[{alone}]+|{word}+" if alone else f"\n|{MARK}+{word}*|{word}+")
+
+    @staticmethod
+    def _standing_apart(pieces) -> str:
+        """Punctuation that no piece joins to other characters but the mark: texts may be cut around runs of it."""
+        chars = {c for p in pieces for c in p if not (c.isalpha() or c.isdecimal())} - {MARK, "\n"}
+        while True:
+            mixed = {c for p in pieces for a, b in zip(p, p[1:], strict=False) if MARK not in (a, b) and (a in chars) != (b in chars) for c in (a, b)}
+            if not mixed & chars:
+                return "".join(re.escape(c) for c in sorted(chars))
+            chars -= mixed
 
     def _fits(self, a: str, b: str) -> bool:
         """Whether merging a + b gives a, b: no piece over their border may ever form.
@@ -192,10 +215,10 @@ class Codec:
     def _both(self, s: str) -> tuple[str, str]:
         """A segment's ids and text, from the older half of the cache or anew."""
         if len(self._cache) >= CACHE:
-            self._older, self._cache = self._cache, {}
+            self._older, self._cache = self._cache, _Cache(self._both)
         if len(self._pairs) >= 4 * CACHE:
             self._pairs.clear()
-        got = self._older.get(s)
+        got = self._cache.get(s) or self._older.get(s)
         if got is None:
             ids = self.segment(s)
             got = (",".join(map(str, ids)), self._pieces(ids))
@@ -206,9 +229,8 @@ class Codec:
         """(decimal ids joined by commas, decoded text)."""
         if not text:
             return "", ""
-        got = []
-        for s in self._cut.findall(MARK + text.replace(" ", MARK)):
-            got.append(self._cache.get(s) or self._both(s))
+        # a cache that fills up on the way is replaced for the next text
+        got = map(self._cache.__getitem__, self._cut.findall(MARK + text.replace(" ", MARK)))
         ids, shown = zip(*got, strict=True)
         return ",".join(ids), "".join(shown)[1:]
 
