@@ -13,7 +13,9 @@
    host's pages hold there: slots inside menus, headers, footers, sidebars,
    notices, adverts, forms and reader comments, slots whose text is the same
    on all pages, and slots outside the main container are not content.
-4. Each page is read again and keeps the texts in its wrapper's content slots.
+4. Each page is read again and keeps the texts in its content slots.  The main
+   container is chosen among the slots that the page has, so a host may hold
+   any number of templates; a page without a host is judged by itself.
 
 Defined cases: null or empty html gives an empty text; a page without a host
 belongs to the host ''; character references are decoded; unclosed and
@@ -335,29 +337,34 @@ def _excluded(path: str, by_class: bool) -> bool:
     return False
 
 
-def content_paths(wrapper: list, stats: dict[str, tuple[int, int, float, bool]], pages: int) -> list[str]:
-    """Paths of the content slots. stats: path -> (pages, characters, linked characters, one text only)."""
-    every = list(dict.fromkeys(slots(wrapper)))
-    varying = {p: stats[p][1] - stats[p][2] for p in every if p in stats and not (stats[p][3] and stats[p][0] >= CONSTANT_PAGES)}
-    total = sum(varying.values()) or 1
-    kept = [p for p in varying if not _excluded(p, True)]
-    if sum(varying[p] for p in kept) < 0.1 * total:  # names that mean nothing on this host
-        kept = [p for p in varying if not _excluded(p, False)]
-    mains = [p for p in kept if any("+" in x[:2] for x in _parts(p))]
-    if mains and sum(varying[p] for p in mains) >= 0.3 * sum(varying[p] for p in kept):
-        return sorted(mains)
+def host_slots(every: list[str], stats: dict[str, tuple[int, int, float, bool]]) -> list[tuple[str, float, bool]]:
+    """(path, unlinked characters a page, template text) of the slots that may be content. stats: path -> (pages, characters, linked characters, one text only)."""
+    every = [p for p in dict.fromkeys(every) if p in stats]
+    constant = {p: stats[p][3] and stats[p][0] >= CONSTANT_PAGES for p in every}
+    varying = {p: stats[p][1] - stats[p][2] for p in every if not constant[p]}
+    # names mean nothing on a host where they leave out nearly all text
+    by_class = sum(v for p, v in varying.items() if not _excluded(p, True)) >= 0.1 * (sum(varying.values()) or 1)
+    return [(p, (stats[p][1] - stats[p][2]) / stats[p][0], constant[p]) for p in every if not _excluded(p, by_class)]
+
+
+def content_paths(found: dict[str, tuple[float, bool]]) -> frozenset[str]:
+    """The content slots among those of one page. found: path -> (weight, template text)."""
+    varying = {p: w for p, (w, constant) in found.items() if not constant}
+    whole = sum(varying.values())
+    mains = [p for p in varying if any("+" in x[:2] for x in _parts(p))]
+    if mains and sum(varying[p] for p in mains) >= 0.3 * whole:
+        return frozenset(mains)
     held: dict[str, float] = defaultdict(float)
-    for p in kept:
+    for p in varying:
         parts = _parts(p)
         for k in range(len(parts)):
             if parts[k].lstrip("-+").split(".")[0] not in ("p", "li", "td", "th", "tr", "h1", "h2", "h3", "h4", "h5", "h6"):
                 held["/" + "/".join(parts[: k + 1])] += varying[p]
-    whole = sum(varying[p] for p in kept)
     good = [c for c, v in held.items() if v >= MAIN_SHARE * whole]
     if not good:
-        return sorted(kept)
+        return frozenset(varying)
     main = max(good, key=lambda c: (c.count("/"), held[c], c))
-    return sorted(p for p in kept if p == main or p.startswith(main + "/"))
+    return frozenset(p for p in varying if p == main or p.startswith(main + "/"))
 
 
 # --- the operator -------------------------------------------------------------
@@ -388,14 +395,17 @@ def _observe(batches):
             row = seen.setdefault((host, "stream", shape), [0, 0, 0.0, None, None])
             row[0] += 1
             path: list[str] = []
+            met: set[str] = set()
             for kind, value in tokens:
                 if kind == "<":
                     path.append("/" + value)
                 elif kind == ">":
                     path.pop()
                 else:
-                    row = seen.setdefault((host, "slot", "".join(path)), [0, 0, 0.0, None, None])
-                    row[0] += 1
+                    key = "".join(path)
+                    row = seen.setdefault((host, "slot", key), [0, 0, 0.0, None, None])
+                    row[0] += key not in met
+                    met.add(key)
                     row[1] += len(value[0])
                     row[2] += len(value[0]) * value[1]
                     row[3] = value[0][:64] if row[3] is None or value[0][:64] < row[3] else row[3]
@@ -441,44 +451,61 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     return shapes.select("host", F.col("shape").alias("wrapper")).join(stats, "host", "left")
 
 
+_SLOTS = "array<struct<path: string, weight: double, same: boolean>>"
+
+
 def content_slots(wraps: DataFrame) -> DataFrame:
-    """(host, paths): the wrappers' content slots."""
+    """(host, slots): the wrappers' slots that may be content."""
 
     def task(batches):
         for batch in batches:
             out = []
-            for wrapper, found, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for wrapper, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 stats = {s["key"]: (s["n"], s["chars"], s["linked"], s["same"]) for s in found or []}
-                out.append(content_paths(json.loads(wrapper), stats, n or 0))
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(pa.string()))], ["host", "paths"])
+                out.append([dict(zip(("path", "weight", "same"), x, strict=True)) for x in host_slots(slots(json.loads(wrapper)), stats)])
+            kind = pa.list_(pa.struct([("path", pa.string()), ("weight", pa.float64()), ("same", pa.bool_())]))
+            yield pa.record_batch([batch.column(0), pa.array(out, kind)], ["host", "slots"])
+
+    return wraps.select("host", "wrapper", "slots").mapInArrow(task, f"host string, slots {_SLOTS}")
 
-    return wraps.select("host", "wrapper", "slots", "n").mapInArrow(task, "host string, paths array<string>")
 
+def main_text(page: str | None, rules: dict[str, tuple[float, bool]] | None) -> str:
+    """Text of the page's content slots; rules: its host's slots (path -> weight, template text), None without a host.
 
-def main_text(page: str | None, paths: frozenset[str]) -> str:
-    return "\n\n".join(text for path, text, _ in _blocks(page or "") if path in paths)
+    Slots are chosen among the page's own, so pages of another template on the
+    host have no say in them.  A slot weighs what it holds on the host's pages
+    that have it, or on this page if that is more.
+    """
+    blocks = list(_blocks(page or ""))
+    own: dict[str, float] = defaultdict(float)
+    for path, text, share in blocks:
+        own[path] += len(text) * (1 - share)
+    if rules is None:
+        stats = {path: (1, w, 0.0, False) for path, w in own.items()}
+        rules = {path: (w, same) for path, w, same in host_slots(list(own), stats)}
+    paths = content_paths({p: (max(rules[p][0], w), rules[p][1]) for p, w in own.items() if p in rules})
+    return "\n\n".join(text for path, text, _ in blocks if path in paths)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages."""
     spark = pages.sparkSession
-    rules = cut(content_slots(wrappers(pages)))
-    size = rules.agg(F.sum(F.length("host") + 8 + F.aggregate("paths", F.lit(0), lambda a, x: a + F.length(x) + 8)).alias("b")).first()["b"] or 0
+    rules = cut(content_slots(wrappers(pages)).where("host <> ''"))
+    size = rules.agg(F.sum(F.length("host") + 8 + F.aggregate("slots", F.lit(0), lambda a, x: a + F.length(x["path"]) + 24)).alias("b")).first()["b"] or 0
     need = pages.select("page_id", "url", "html")
     schema = "page_id bigint, url string, text string, n_chars bigint"
 
-    def run(batch, paths_of):
-        texts = [main_text(page, paths_of(i, url)) for i, (url, page) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))]
+    def run(batch, rules_of):
+        texts = [main_text(page, rules_of(i, url)) for i, (url, page) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))]
         return pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    none: frozenset[str] = frozenset()
     if size <= BROADCAST_BYTES:
-        shared = spark.sparkContext.broadcast({r["host"]: frozenset(r["paths"]) for r in rules.collect()})
+        shared = spark.sparkContext.broadcast({r["host"]: {x["path"]: (x["weight"], x["same"]) for x in r["slots"]} for r in rules.collect()})
 
         def task(batches):
             found = shared.value
             for batch in batches:
-                yield run(batch, lambda i, url: found.get(host_of(url), none))
+                yield run(batch, lambda i, url: found.get(host_of(url)))
 
         return need.mapInArrow(tidy(task), schema)
 
@@ -486,10 +513,10 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def joined(batches):
         for batch in batches:
-            paths = [frozenset(p or ()) for p in batch.column(3).to_pylist()]
-            yield run(batch, lambda i, url: paths[i])
+            rules = [None if r is None else {x["path"]: (x["weight"], x["same"]) for x in r} for r in batch.column(3).to_pylist()]
+            yield run(batch, lambda i, url: rules[i])
 
-    return need.withColumn("_host", host).join(rules.withColumnRenamed("host", "_host"), "_host", "left").select("page_id", "url", "html", "paths").mapInArrow(joined, schema)
+    return need.withColumn("_host", host).join(rules.withColumnRenamed("host", "_host"), "_host", "left").select("page_id", "url", "html", "slots").mapInArrow(joined, schema)
 
 
 def op1_html_extract(spark, sf_dir: str) -> DataFrame:

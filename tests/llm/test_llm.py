@@ -93,6 +93,21 @@ def test_html_without_an_article_tag(spark):
     assert got[100] == "" and got[102] == "" and got[101] == "x\n\ny <b>"
 
 
+def _texts(spark, rows):
+    return {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_of_several_templates_on_a_host(spark):
+    def say(i):
+        return f"Words of page {i} that no other page has. " * 5
+
+    rows = [(i, "http://two.example/x", f"<body><article><p>{say(i)}</p></article></body>" if i % 10 < 3 else f'<body><div class="post-body"><p>{say(i)}</p></div></body>') for i in range(20)]
+    rows += [(i, "http://body.example/x", f'<body class="category-{"news" if i % 20 < 13 else "sport"}"><p>{say(i)}</p></body>') for i in range(100, 120)]
+    rows += [(i, None, f'<body><div class="c{"xyz"[i % 3]}"><p>{say(i)}</p></div></body>' if i % 5 else f"<body><article><p>{say(i)}</p></article></body>") for i in range(200, 220)]
+    got = _texts(spark, rows)
+    assert got == {i: say(i).strip() for i, _, _ in rows}
+
+
 def test_wrapper_alignment_generalises():
     a, b = (json.loads(html_extract.stream(x)) for x in ("<body><h1>t</h1><p>a</p></body>", "<body><h1>t</h1><p>a</p><p>b</p><ul><li>x</li></ul></body>"))
     w = html_extract.align(a, b)
