@@ -12,7 +12,7 @@
 3. The wrapper's slots are told apart by where they stand and by what the
    host's pages hold there: slots inside menus, headers, footers, sidebars,
    notices, adverts, forms and reader comments, slots whose text is the same
-   on all pages, and slots outside the main container are not content.
+   on all pages outside the main container, and slots outside the main container are not content.
 4. Each page is read again and keeps the texts in its content slots.  The main
    container is chosen among the slots that the page has, so a host may hold
    any number of templates; a page without a host is judged by itself.
@@ -25,6 +25,7 @@ end; a repeated row gives a repeated row.
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import json
 import re
@@ -41,7 +42,7 @@ from .store import BROADCAST_BYTES, cut, table
 
 #: Streams aligned by one call; a host with more is aligned in a tree.
 CHUNK = 64
-#: A slot is a template's own text if it reads the same on so many pages or more.
+#: A slot is a template's own text if it reads the same on pages of so many different main texts or more.
 CONSTANT_PAGES = 3
 #: The main container holds at least this share of a host's varying text.
 MAIN_SHARE = 0.6
@@ -338,9 +339,9 @@ def _excluded(path: str, by_class: bool) -> bool:
 
 
 def host_slots(every: list[str], stats: dict[str, tuple[int, int, float, bool]]) -> list[tuple[str, float, bool]]:
-    """(path, unlinked characters a page, template text) of the slots that may be content. stats: path -> (pages, characters, linked characters, one text only)."""
+    """(path, unlinked characters a page, template text) of the slots that may be content. stats: path -> (pages, characters, linked characters, template text)."""
     every = [p for p in dict.fromkeys(every) if p in stats]
-    constant = {p: stats[p][3] and stats[p][0] >= CONSTANT_PAGES for p in every}
+    constant = {p: stats[p][3] for p in every}
     varying = {p: stats[p][1] - stats[p][2] for p in every if not constant[p]}
     # names mean nothing on a host where they leave out nearly all text
     by_class = sum(v for p, v in varying.items() if not _excluded(p, True)) >= 0.1 * (sum(varying.values()) or 1)
@@ -348,11 +349,14 @@ def host_slots(every: list[str], stats: dict[str, tuple[int, int, float, bool]])
 
 
 def content_paths(found: dict[str, tuple[float, bool]]) -> frozenset[str]:
-    """The content slots among those of one page. found: path -> (weight, template text)."""
+    """The content slots among those of one page. found: path -> (weight, template text).
+
+    Template text has no say in where the main container is; inside it, it is content.
+    """
     varying = {p: w for p, (w, constant) in found.items() if not constant}
     whole = sum(varying.values())
-    mains = [p for p in varying if any("+" in x[:2] for x in _parts(p))]
-    if mains and sum(varying[p] for p in mains) >= 0.3 * whole:
+    mains = [p for p in found if any("+" in x[:2] for x in _parts(p))]
+    if mains and sum(varying.get(p, 0.0) for p in mains) >= 0.3 * whole:
         return frozenset(mains)
     held: dict[str, float] = defaultdict(float)
     for p in varying:
@@ -364,7 +368,7 @@ def content_paths(found: dict[str, tuple[float, bool]]) -> frozenset[str]:
     if not good:
         return frozenset(varying)
     main = max(good, key=lambda c: (c.count("/"), held[c], c))
-    return frozenset(p for p in varying if p == main or p.startswith(main + "/"))
+    return frozenset(p for p in found if p == main or p.startswith(main + "/"))
 
 
 # --- the operator -------------------------------------------------------------
@@ -382,8 +386,17 @@ def _blocks(page: str):
             yield "".join(path), value[0], value[1]
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _observe(batches):
-    """Streams and slot statistics, one row for each host, kind and key in a batch."""
+    """Streams and slot statistics, one row for each host, kind and key in a batch.
+
+    least and most are hashes of a slot's whole texts. prints are hashes of its
+    pages' longest texts outside menus and the like, by which copies and near
+    copies of a page count once; CONSTANT_PAGES of them are enough.
+    """
     for batch in batches:
         seen: dict[tuple[str, str, str], list] = {}
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -392,10 +405,11 @@ def _observe(batches):
             host = host_of(url)
             tokens = list(read(page))
             shape = json.dumps(_tree(fold([k if k == "#" else k + v for k, v in tokens])), ensure_ascii=False, separators=(",", ":"))
-            row = seen.setdefault((host, "stream", shape), [0, 0, 0.0, None, None])
+            row = seen.setdefault((host, "stream", shape), [0, 0, 0.0, None, None, set()])
             row[0] += 1
             path: list[str] = []
-            met: set[str] = set()
+            met: dict[str, set[int]] = {}
+            longest = (False, 0, 0)
             for kind, value in tokens:
                 if kind == "<":
                     path.append("/" + value)
@@ -403,18 +417,23 @@ def _observe(batches):
                     path.pop()
                 else:
                     key = "".join(path)
-                    row = seen.setdefault((host, "slot", key), [0, 0, 0.0, None, None])
+                    row = seen.setdefault((host, "slot", key), [0, 0, 0.0, None, None, set()])
                     row[0] += key not in met
-                    met.add(key)
+                    met[key] = row[5]
                     row[1] += len(value[0])
                     row[2] += len(value[0]) * value[1]
-                    row[3] = value[0][:64] if row[3] is None or value[0][:64] < row[3] else row[3]
-                    row[4] = value[0][:64] if row[4] is None or value[0][:64] > row[4] else row[4]
+                    text = _hash(value[0])
+                    row[3] = text if row[3] is None else min(row[3], text)
+                    row[4] = text if row[4] is None else max(row[4], text)
+                    longest = max(longest, (not _excluded(key, True), len(value[0]), text))
+            for prints in met.values():
+                if len(prints) < CONSTANT_PAGES:
+                    prints.add(longest[2])
         keys = list(seen)
-        cols = list(zip(*(seen[k] for k in keys), strict=True)) or [[]] * 5
+        cols = list(zip(*(seen[k] for k in keys), strict=True)) or [[]] * 6
         yield pa.record_batch(
-            [pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string())],
-            ["host", "kind", "key", "n", "chars", "linked", "least", "most"],
+            [pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array([sorted(x) for x in cols[5]], pa.list_(pa.int64()))],
+            ["host", "kind", "key", "n", "chars", "linked", "least", "most", "prints"],
         )
 
 
@@ -434,8 +453,8 @@ def _align_batches(batches):
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, wrapper, slots): each host's wrapper as text and its slots' statistics."""
     ship(pages.sparkSession)
-    seen = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(tidy(_observe), "host string, kind string, key string, n long, chars long, linked double, least string, most string")
-    seen = cut(seen.groupBy("host", "kind", "key").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("least").alias("least"), F.max("most").alias("most")))
+    seen = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(tidy(_observe), "host string, kind string, key string, n long, chars long, linked double, least long, most long, prints array<long>")
+    seen = cut(seen.groupBy("host", "kind", "key").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("least").alias("least"), F.max("most").alias("most"), F.array_distinct(F.flatten(F.collect_set("prints"))).alias("prints")))
     shapes = seen.where("kind = 'stream'").select("host", F.col("key").alias("shape"))
     while True:
         counted = shapes.groupBy("host").agg(F.count("*").alias("n"))
@@ -447,7 +466,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
         if most <= CHUNK:
             break
         shapes = cut(shapes)
-    stats = seen.where("kind = 'slot'").groupBy("host").agg(F.collect_list(F.struct("key", "n", "chars", "linked", (F.col("least") == F.col("most")).alias("same"))).alias("slots"), F.sum("n").alias("n"))
+    stats = seen.where("kind = 'slot'").groupBy("host").agg(F.collect_list(F.struct("key", "n", "chars", "linked", ((F.col("least") == F.col("most")) & (F.size("prints") >= CONSTANT_PAGES)).alias("same"))).alias("slots"), F.sum("n").alias("n"))
     return shapes.select("host", F.col("shape").alias("wrapper")).join(stats, "host", "left")
 
 

@@ -108,6 +108,21 @@ def test_html_of_several_templates_on_a_host(spark):
     assert got == {i: say(i).strip() for i, _, _ in rows}
 
 
+def test_html_equal_texts_are_not_template_text(spark, monkeypatch):
+    licence = "This text is published under a licence that many of our pages begin with, "
+    rows = [(i, "http://prefix.example/x", f"<body><h1>Title {i}</h1><div class='p'><p>{licence * 2}and it goes on with {i}.</p></div></body>") for i in range(6)]
+    rows += [(i, "http://copy.example/x", f"<body><nav>Menu {i}</nav><h1>A title</h1><p>{licence}</p><div class='date'>Day {i % 2}</div></body>") for i in range(10, 16)]
+    rows += [(20, "http://cells.example/x", "<body><h1>Scores</h1><table><tr><td>nil</td><td>nil</td><td>nil</td></tr></table></body>")]
+    rows += [(i, "http://main.example/x", f"<body><div>Always</div><article><h2>Weather</h2><p>{licence}{i}</p></article></body>") for i in range(30, 36)]
+    for limit in (html_extract.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(html_extract, "BROADCAST_BYTES", limit)
+        got = _texts(spark, rows)
+        assert all(got[i] == f"{licence * 2}and it goes on with {i}." for i in range(6))
+        assert all("A title" in got[i] and licence.strip() in got[i] and "Menu" not in got[i] for i in range(10, 16))
+        assert got[20].count("nil") == 3
+        assert all(got[i] == f"Weather\n\n{licence}{i}" for i in range(30, 36))
+
+
 def test_wrapper_alignment_generalises():
     a, b = (json.loads(html_extract.stream(x)) for x in ("<body><h1>t</h1><p>a</p></body>", "<body><h1>t</h1><p>a</p><p>b</p><ul><li>x</li></ul></body>"))
     w = html_extract.align(a, b)
