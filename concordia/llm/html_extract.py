@@ -56,15 +56,20 @@ _RAW = frozenset("script style noscript template iframe svg math object canvas t
 _OUT = frozenset("head nav footer aside form menu dialog fieldset".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSES_P = _BLOCK - {"html", "head", "body"}
-_OUT_NAME = re.compile(
-    r"(?:^|[-_])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|sidebar|nav|navbar|navigation|menu|"
-    r"breadcrumb|breadcrumbs|footer|header|masthead|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|share|"
-    r"sharing|social|related|recommended|comment|comments|commentlist|disqus|reply|replies|respond|pagination|pager|toolbar|widget|widgets|login|search|skip)(?:[-_]|$)"
+_OUT_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar nav navbar navigation menu "
+    "breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup share "
+    "sharing social related recommended comment comments commentlist disqus reply replies respond pagination pager toolbar widget widgets login search skip".split()
 )
+#: Words that say nothing beside one of the above.
+_PLACE_WORDS = frozenset("site list box area wrap wrapper container link links button buttons bar left right top bottom 0".split())
+#: A container named so in part only is content if it holds this share of its page, mostly not links.
+PART_SHARE = 0.05
+LINKED_SHARE = 0.5
 _OUT_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 _KEEPS_CLASS = frozenset("html body main article".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)")
 
 
@@ -75,15 +80,20 @@ def host_of(url: str | None) -> str:
 
 @lru_cache(maxsize=4096)
 def _label(tag: str, attrs: str) -> str:
-    """A block tag with what of its attributes tells its place: '-' marks it as never content, '+' as main."""
-    found = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTR.findall(attrs)} if attrs else {}
+    """A block tag with what of its attributes tells its place: '-' marks it as never content, '~' as named so in part, '+' as main."""
+    found: dict[str, str] = {}
+    for k, v in _ATTR.findall(attrs) if attrs else ():
+        found.setdefault(k.lower(), (v or "").strip("\"'").lower())
     names = sorted(re.sub(r"\d+", "0", x) for x in f"{found.get('class', '')} {found.get('id', '')}".split())
     role = found.get("role", "")
     out = tag in _OUT or role in _OUT_ROLE or "hidden" in found or found.get("aria-hidden") == "true" or tag == "header"
-    if tag not in _KEEPS_CLASS and any(_OUT_NAME.search(x) and not re.match(r"(?:has|with|no|without)[-_]", x) for x in names):
-        out = True
+    part = False
+    for words in (set(re.split("[-_]+", x)) for x in names if tag not in _KEEPS_CLASS and not re.match(r"(?:has|with|no|without)[-_]", x)):
+        if words & _OUT_WORDS:
+            part = True
+            out = out or words <= _OUT_WORDS | _PLACE_WORDS
     main = tag in ("article", "main") or role in ("main", "article") or found.get("itemprop") == "articlebody"
-    return ("-" if out else "") + ("+" if main else "") + tag + "".join("." + x for x in names[:3])
+    return ("-" if out else "~" if part else "") + ("+" if main else "") + tag + "".join("." + x for x in names[:3])
 
 
 def read(page: str):
@@ -311,7 +321,7 @@ def expression(wrapper: list) -> str:
         if x == "#":
             return "#"
         if x[0] == "n":
-            return f"<{x[1]}>{expression(x[2])}</{x[1].lstrip('-+')}>"
+            return f"<{x[1]}>{expression(x[2])}</{x[1].lstrip('-~+')}>"
         return f"({expression(x[1])}){x[0]}"
     return "".join(map(one, wrapper))
 
@@ -327,10 +337,10 @@ def _excluded(path: str, by_class: bool) -> bool:
     inside = False
     parts = _parts(path)
     for part in parts:
-        name = part.lstrip("-+").split(".")
+        name = part.lstrip("-~+").split(".")
         if part[0] == "-":
             if name[0] == "header" and inside and len(name) == 1:
-                if not any(x.lstrip("-+").split(".")[0] in _HEADING for x in parts):
+                if not any(x.lstrip("-~+").split(".")[0] in _HEADING for x in parts):
                     return True
             elif by_class or name[0] in _OUT or name[0] == "header":
                 return True
@@ -338,22 +348,43 @@ def _excluded(path: str, by_class: bool) -> bool:
     return False
 
 
-def host_slots(every: list[str], stats: dict[str, tuple[int, int, float, bool]]) -> list[tuple[str, float, bool]]:
-    """(path, unlinked characters a page, template text) of the slots that may be content. stats: path -> (pages, characters, linked characters, template text)."""
+def host_slots(every: list[str], stats: dict[str, tuple[int, int, float, bool]]) -> list[tuple[str, float, float, bool]]:
+    """(path, unlinked and linked characters a page, template text) of the slots that may be content. stats: path -> (pages, characters, linked characters, template text)."""
     every = [p for p in dict.fromkeys(every) if p in stats]
     constant = {p: stats[p][3] for p in every}
     varying = {p: stats[p][1] - stats[p][2] for p in every if not constant[p]}
     # names mean nothing on a host where they leave out nearly all text
     by_class = sum(v for p, v in varying.items() if not _excluded(p, True)) >= 0.1 * (sum(varying.values()) or 1)
-    return [(p, (stats[p][1] - stats[p][2]) / stats[p][0], constant[p]) for p in every if not _excluded(p, by_class)]
-
-
-def content_paths(found: dict[str, tuple[float, bool]]) -> frozenset[str]:
-    """The content slots among those of one page. found: path -> (weight, template text).
+    return [(p, (stats[p][1] - stats[p][2]) / stats[p][0], stats[p][2] / stats[p][0], constant[p]) for p in every if not _excluded(p, by_class)]
+
+
+def _small_parts(found: dict[str, tuple[float, float, bool]]) -> set[str]:
+    """Slots inside containers that are named as never content in part, and hold little of the page or mostly links."""
+    inside: dict[str, list[str]] = defaultdict(list)
+    for p in found:
+        if "/~" in p:
+            parts = _parts(p)
+            for k, x in enumerate(parts):
+                if x[0] == "~":
+                    inside["/" + "/".join(parts[: k + 1])].append(p)
+    whole = sum(w for w, _, constant in found.values() if not constant)
+    out: set[str] = set()
+    for container, paths in inside.items():
+        plain, linked = (sum(found[p][i] for p in paths) for i in (0, 1))
+        little = plain < PART_SHARE * whole and "+" not in container
+        if little or linked >= LINKED_SHARE * (plain + linked):
+            out.update(paths)
+    return out if len(out) < len(found) else set()
+
+
+def content_paths(found: dict[str, tuple[float, float, bool]]) -> frozenset[str]:
+    """The content slots among those of one page. found: path -> (weight, linked characters, template text).
 
     Template text has no say in where the main container is; inside it, it is content.
     """
-    varying = {p: w for p, (w, constant) in found.items() if not constant}
+    small = _small_parts(found)
+    found = {p: x for p, x in found.items() if p not in small}
+    varying = {p: w for p, (w, _, constant) in found.items() if not constant}
     whole = sum(varying.values())
     mains = [p for p in found if any("+" in x[:2] for x in _parts(p))]
     if mains and sum(varying.get(p, 0.0) for p in mains) >= 0.3 * whole:
@@ -362,7 +393,7 @@ def content_paths(found: dict[str, tuple[float, bool]]) -> frozenset[str]:
     for p in varying:
         parts = _parts(p)
         for k in range(len(parts)):
-            if parts[k].lstrip("-+").split(".")[0] not in ("p", "li", "td", "th", "tr", "h1", "h2", "h3", "h4", "h5", "h6"):
+            if parts[k].lstrip("-~+").split(".")[0] not in ("p", "li", "td", "th", "tr", "h1", "h2", "h3", "h4", "h5", "h6"):
                 held["/" + "/".join(parts[: k + 1])] += varying[p]
     good = [c for c, v in held.items() if v >= MAIN_SHARE * whole]
     if not good:
@@ -470,7 +501,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     return shapes.select("host", F.col("shape").alias("wrapper")).join(stats, "host", "left")
 
 
-_SLOTS = "array<struct<path: string, weight: double, same: boolean>>"
+_SLOTS = "array<struct<path: string, weight: double, linked: double, same: boolean>>"
 
 
 def content_slots(wraps: DataFrame) -> DataFrame:
@@ -481,28 +512,28 @@ def content_slots(wraps: DataFrame) -> DataFrame:
             out = []
             for wrapper, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 stats = {s["key"]: (s["n"], s["chars"], s["linked"], s["same"]) for s in found or []}
-                out.append([dict(zip(("path", "weight", "same"), x, strict=True)) for x in host_slots(slots(json.loads(wrapper)), stats)])
-            kind = pa.list_(pa.struct([("path", pa.string()), ("weight", pa.float64()), ("same", pa.bool_())]))
+                out.append([dict(zip(("path", "weight", "linked", "same"), x, strict=True)) for x in host_slots(slots(json.loads(wrapper)), stats)])
+            kind = pa.list_(pa.struct([("path", pa.string()), ("weight", pa.float64()), ("linked", pa.float64()), ("same", pa.bool_())]))
             yield pa.record_batch([batch.column(0), pa.array(out, kind)], ["host", "slots"])
 
     return wraps.select("host", "wrapper", "slots").mapInArrow(task, f"host string, slots {_SLOTS}")
 
 
-def main_text(page: str | None, rules: dict[str, tuple[float, bool]] | None) -> str:
-    """Text of the page's content slots; rules: its host's slots (path -> weight, template text), None without a host.
+def main_text(page: str | None, rules: dict[str, tuple[float, float, bool]] | None) -> str:
+    """Text of the page's content slots; rules: its host's slots (path -> weight, linked characters, template text), None without a host.
 
     Slots are chosen among the page's own, so pages of another template on the
     host have no say in them.  A slot weighs what it holds on the host's pages
     that have it, or on this page if that is more.
     """
     blocks = list(_blocks(page or ""))
-    own: dict[str, float] = defaultdict(float)
+    own: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
     for path, text, share in blocks:
-        own[path] += len(text) * (1 - share)
-    if rules is None:
-        stats = {path: (1, w, 0.0, False) for path, w in own.items()}
-        rules = {path: (w, same) for path, w, same in host_slots(list(own), stats)}
-    paths = content_paths({p: (max(rules[p][0], w), rules[p][1]) for p, w in own.items() if p in rules})
+        own[path][0] += len(text) * (1 - share)
+        own[path][1] += len(text) * share
+    if rules is None or not any(p in rules for p in own):  # all of this page is named as its host's menus are
+        rules = {p: x for p, *x in host_slots(list(own), {p: (1, a + b, b, False) for p, (a, b) in own.items()})}
+    paths = content_paths({p: (max(rules[p][0], a), max(rules[p][1], b), rules[p][2]) for p, (a, b) in own.items() if p in rules})
     return "\n\n".join(text for path, text, _ in blocks if path in paths)
 
 
@@ -510,7 +541,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages."""
     spark = pages.sparkSession
     rules = cut(content_slots(wrappers(pages)).where("host <> ''"))
-    size = rules.agg(F.sum(F.length("host") + 8 + F.aggregate("slots", F.lit(0), lambda a, x: a + F.length(x["path"]) + 24)).alias("b")).first()["b"] or 0
+    size = rules.agg(F.sum(F.length("host") + 8 + F.aggregate("slots", F.lit(0), lambda a, x: a + F.length(x["path"]) + 32)).alias("b")).first()["b"] or 0
     need = pages.select("page_id", "url", "html")
     schema = "page_id bigint, url string, text string, n_chars bigint"
 
@@ -519,7 +550,7 @@ def extract(pages: DataFrame) -> DataFrame:
         return pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     if size <= BROADCAST_BYTES:
-        shared = spark.sparkContext.broadcast({r["host"]: {x["path"]: (x["weight"], x["same"]) for x in r["slots"]} for r in rules.collect()})
+        shared = spark.sparkContext.broadcast({r["host"]: {x["path"]: (x["weight"], x["linked"], x["same"]) for x in r["slots"]} for r in rules.collect()})
 
         def task(batches):
             found = shared.value
@@ -532,7 +563,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def joined(batches):
         for batch in batches:
-            rules = [None if r is None else {x["path"]: (x["weight"], x["same"]) for x in r} for r in batch.column(3).to_pylist()]
+            rules = [None if r is None else {x["path"]: (x["weight"], x["linked"], x["same"]) for x in r} for r in batch.column(3).to_pylist()]
             yield run(batch, lambda i, url: rules[i])
 
     return need.withColumn("_host", host).join(rules.withColumnRenamed("host", "_host"), "_host", "left").select("page_id", "url", "html", "slots").mapInArrow(joined, schema)

@@ -123,6 +123,18 @@ def test_html_equal_texts_are_not_template_text(spark, monkeypatch):
         assert all(got[i] == f"Weather\n\n{licence}{i}" for i in range(30, 36))
 
 
+def test_html_names_that_hold_an_excluded_word(spark):
+    def page(i, attrs):
+        return f"<body><div class='content'><h1>Title {i}</h1><p>{f'Lead {i} of a page. ' * 9}</p><div {attrs}><p>{f'Block {i} of it. ' * 6}</p></div></div></body>"
+
+    named = ['style="overflow:hidden"', 'data-hidden="x" title="a role=menu"', 'class="elementor-widget-text-editor"', 'class="post-share-target"', "class=related-work"]
+    rows = [(100 * k + i, f"http://h{k}.example/", page(i, attrs)) for k, attrs in enumerate(named) for i in range(5)]
+    rows += [(1000 + i, "http://out.example/", page(i, attrs)) for i, attrs in enumerate(["hidden", 'class="comment-list"', 'id="sidebar"', 'aria-hidden="true"', 'class="cookie-notice box"'])]
+    rows += [(2000 + i, "http://links.example/", page(i, "class=related-posts").replace("<p>Block", "<p><a href=/>Block")) for i in range(5)]
+    got = _texts(spark, rows)
+    assert all(f"Lead {i % 100}" in t and (f"Block {i % 100}" in t) == (i < 1000) for i, t in got.items())
+
+
 def test_wrapper_alignment_generalises():
     a, b = (json.loads(html_extract.stream(x)) for x in ("<body><h1>t</h1><p>a</p></body>", "<body><h1>t</h1><p>a</p><p>b</p><ul><li>x</li></ul></body>"))
     w = html_extract.align(a, b)
