@@ -12,6 +12,7 @@ import math
 from dataclasses import dataclass, field
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,38 +108,92 @@ def set_utility(s: Slots, chosen: list[int], w: Weights = DEFAULT) -> float:
     return total + sum(w.coverage * w.type_value.get(k, w.other_type) * 0.1 * (1 - math.exp(-w.gamma * n)) for k, n in counts.items())
 
 
-def by_density(s: Slots, budget: int, seed: tuple[int, ...] = (), w: Weights = DEFAULT) -> list[int]:
-    """Picks by gain for each token from a seed on; of equal ones the smaller key."""
+def by_density(s: Slots, budget: int, seed: tuple[int, ...] = (), w: Weights = DEFAULT, among: list[int] | None = None) -> list[int]:
+    """Picks by gain for each token from a seed on; of equal ones the smaller key. among: the slots that may be picked (all)."""
     chosen, used, counts = list(seed), sum(s.cost[i] for i in seed), {}
     for i in seed:
         counts[s.kind[i]] = counts.get(s.kind[i], 0) + 1
-    left = [i for i in range(len(s.key)) if i not in set(seed)]
+    left = np.array([i for i in (range(len(s.key)) if among is None else among) if i not in set(seed)], int)
+    cost, worth = np.array(s.cost)[left], np.array(s.worth, float)[left]
+    kinds = sorted({s.kind[i] for i in left})
+    kind = np.array([kinds.index(s.kind[i]) for i in left], int)
+    gain = np.array([coverage_gain(k, counts.get(k, 0), w) for k in kinds])
+    free = np.ones(len(left), bool)
     while True:
-        left = [i for i in left if used + s.cost[i] <= budget]  # what does not fit now never will
-        if not left:
+        free &= used + cost <= budget  # what does not fit now never will
+        at = np.flatnonzero(free)
+        if not len(at):
             return chosen
-        gain = {k: coverage_gain(k, counts.get(k, 0), w) for k in {s.kind[i] for i in left}}
-        best = max((s.worth[i] + gain[s.kind[i]]) / s.cost[i] for i in left)
-        pick = min((i for i in left if (s.worth[i] + gain[s.kind[i]]) / s.cost[i] == best), key=lambda i: s.key[i])
-        left.remove(pick)
+        density = (worth[at] + gain[kind[at]]) / cost[at]
+        best = min(at[density == density.max()].tolist(), key=lambda i: s.key[left[i]])
+        free[best] = False
+        pick, k = int(left[best]), s.kind[left[best]]
         chosen.append(pick)
         used += s.cost[pick]
-        counts[s.kind[pick]] = counts.get(s.kind[pick], 0) + 1
+        counts[k] = counts.get(k, 0) + 1
+        gain[kind[best]] = coverage_gain(k, counts[k], w)
+
+
+def _useful(s: Slots, fits: list[int], budget: int) -> list[int]:
+    """Of slots of one type and cost, the first by worth and key, as many as a budget holds: a packing with another one is no better."""
+    alike: dict[tuple[str, int], list[int]] = {}
+    for i in sorted(fits, key=lambda i: (-s.worth[i], s.key[i])):
+        alike.setdefault((s.kind[i], s.cost[i]), []).append(i)
+    return sorted(i for (_, cost), xs in alike.items() for i in (xs[: budget // cost] if cost > 0 else xs))
 
 
 def pack(s: Slots, budget: int, algorithm: str = "partial", seed_size: int = 2, w: Weights = DEFAULT) -> tuple[list[int], str]:
-    """(chosen slots in order of choice, algorithm that found them). ``partial`` also starts from every small subset."""
+    """(chosen slots in order of choice, algorithm that found them). ``partial`` also starts from every small subset.
+
+    A start is left out only where it cannot lead to more: its own worth and
+    what the rest of the budget could hold in fractions, each slot counted as
+    the first of its type, is a bound.
+    """
     fits = [i for i in range(len(s.key)) if s.cost[i] <= budget]
     if not fits:
         return [], algorithm
-    best, how = by_density(s, budget, (), w), "density"
-    if algorithm == "partial":
-        value = set_utility(s, best, w)
-        for seed in combinations(fits, min(seed_size, len(fits))):
-            if sum(s.cost[i] for i in seed) <= budget:
-                got = by_density(s, budget, seed, w)
-                if (found := set_utility(s, got, w)) > value:
-                    best, value, how = got, found, "partial"
+    best, how = by_density(s, budget, (), w, fits), "density"
+    if algorithm != "partial":
+        return best, how
+    size = min(seed_size, len(fits))
+    useful = _useful(s, fits, budget)
+    if len(useful) < size:
+        useful = fits
+    most = {i: s.worth[i] + coverage_gain(s.kind[i], 0, w) for i in useful}
+    dense = sorted((i for i in useful if most[i] > 0), key=lambda i: -most[i] / s.cost[i] if s.cost[i] > 0 else -math.inf)
+
+    def rest(room: int, seed: tuple[int, ...]) -> float:
+        total = 0.0
+        for i in dense:
+            if i in seed:
+                continue
+            if s.cost[i] >= room > 0:
+                return total + most[i] * room / s.cost[i]
+            if s.cost[i] <= room:
+                total += most[i]
+                room -= s.cost[i]
+            elif room <= 0:
+                return total
+        return total
+
+    room_for = [rest(b, ()) for b in range(budget + 1)]
+    value, edge = set_utility(s, best, w), 1e-6
+    starts = []
+    for seed in combinations(useful, size):
+        room = budget - sum(s.cost[i] for i in seed)
+        if room >= 0:
+            own = sum(most[i] for i in seed)
+            if own + room_for[room] >= value - edge and (bound := own + rest(room, seed)) >= value - edge:
+                starts.append((-bound, seed))
+    starts.sort()
+    first: tuple[int, ...] = ()
+    for bound, seed in starts:
+        if -bound < value - edge:
+            break
+        got = by_density(s, budget, seed, w, useful)
+        found = set_utility(s, got, w)
+        if found > value or (found == value and how == "partial" and seed < first):
+            best, value, how, first = got, found, "partial", seed
     return best, how
 
 

@@ -515,7 +515,7 @@ def relevance(spark, d):
 
 def _packable(spark, d) -> DataFrame:
     n = F.col("key").cast("long")
-    return featured(spark, d).where(n <= 400).withColumn("cost", (10 + n % 37).cast("long")).withColumn("worth", P.personal_utility())
+    return featured(spark, d).withColumn("cost", (10 + n % 37).cast("long")).withColumn("worth", P.personal_utility())
 
 
 @query()

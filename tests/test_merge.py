@@ -243,3 +243,38 @@ def test_compounded_failures(spark):
     assert found.where("representation = 'MAX'").agg(F.min("cost")).first()[0] == 3
     with pytest.raises(ValueError, match="three branches"):
         X.compounded(spark, n=2)
+
+
+def test_packing_takes_all_parts(spark, sf):
+    from concordia import registry
+
+    keys = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey").distinct().count()
+    assert keys == registry.queries()["pack_density"](spark, sf).count() and keys > 0
+    parts = spark.createDataFrame([(k, "A", k, 0.0, 1, 1) for k in range(395, 406)], "l_partkey long, l_returnflag string, l_suppkey long, l_quantity double, l_linenumber int, l_orderkey long")
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as d:
+        parts.write.parquet(f"{d}/lineitem.parquet")
+        assert {r.key for r in registry.queries()["pack_partial"](spark, d).collect()} == {str(k) for k in range(395, 406)}
+
+
+def test_bounded_packing_equals_every_start():
+    import random
+    from itertools import combinations
+
+    from concordia.operators import pack as P
+
+    for seed in range(30):
+        r = random.Random(seed)
+        n = r.randint(1, 40)
+        s = P.Slots([f"{r.random():.6f}" for _ in range(n)], [r.choice(["Goal", "Fact", "OpenQ"]) for _ in range(n)], [r.randint(3, 12) for _ in range(n)], [r.choice([1.0, 4.5, 9.0, 20.0]) for _ in range(n)])
+        budget = r.randint(5, 60)
+        fits = [i for i in range(n) if s.cost[i] <= budget]
+        best, how = P.by_density(s, budget), "density"
+        value = P.set_utility(s, best)
+        for start in combinations(fits, min(2, len(fits))):
+            if sum(s.cost[i] for i in start) <= budget and (found := P.set_utility(s, got := P.by_density(s, budget, start))) > value:
+                best, value, how = got, found, "partial"
+        got, name = P.pack(s, budget)
+        assert abs(P.set_utility(s, got) - value) < 1e-9
+        assert not fits or name == how
