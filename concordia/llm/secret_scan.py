@@ -1,7 +1,9 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, SQL functions only.
 
 A candidate is a word with a run of 16 or more key characters and a digit
-among them, or a value of 8 or more after a word such as ``password =``.  Only
+among them, a value of 8 or more after a word such as ``password =``, or a
+private key block.  A word that holds several values (JSON, a query string) is
+one candidate for each.  Only
 texts that hold one are split into words.  Each candidate is described by its
 length, its changes of character class, how much of it dictionary words cover,
 whether it is part of a path, and its neighbouring words.  The forest is
@@ -31,6 +33,17 @@ LONG = rf"(?=[A-Za-z+/_=.~-]*[0-9]){_KEY}{{16,}}"
 NAMED = r"(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credentials?)[\"']?\s*(?:[:=]|=>|:=)\s*[\"']?[^\s\"']{8,}"
 _LABEL = r"(?i)passw|passphrase|pwd|secret|token|api_?-?key|access_?-?key|auth|bearer|private_?-?key|credential"
 _INNOCENT = r"(?i)commit|sha\d*|md5|checksum|digest|hash|uuid|guid|isbn|version|build|revision|serial|invoice|order|phone|card|account|file|path|page|issue|ticket|example|sample|placeholder|dummy|test"
+#: A private key block is one word; inside it white space stands as these characters.
+BLOCK = r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----.*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_SPACES, _HELD = " \t\n\x0b\f\r", "\ue000\ue001\ue002\ue003\ue004\ue005"
+#: Where a word without spaces holds several values: before a name, between quoted values, between long runs.
+_QUOTE, _MARK = "[\"'`]", r"[,;&|?{}()\[\]<>]"
+_BETWEEN = "|".join([
+    rf"{_QUOTE}?{_MARK}+(?:{_QUOTE}?(?=[A-Za-z_][A-Za-z0-9_.-]{{0,60}}{_QUOTE}?[:=]))",
+    rf"{_QUOTE}{_MARK}*[,;|]{_MARK}*{_QUOTE}",
+    rf"(?<={_KEY}{{16}}){_QUOTE}?{_MARK}+{_QUOTE}?(?={_KEY}{{16}})",
+    rf"(?<={_KEY}{{16}})(?<=[0-9]{_KEY}{{0,15}}):(?={_KEY}{{16}})",
+])
 #: Words that make a value readable text rather than a key (fixed values).
 DICTIONARY = (
     "the and for with from this that your here example sample test demo dummy placeholder change secret password token key value user name admin data file "
@@ -123,9 +136,15 @@ def train(spark: SparkSession, findings: DataFrame | None = None) -> list:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, word_at, word, value, before, after) of every candidate."""
+    """(doc_id, word_at, word, value, before, after) of every candidate. word_at counts words, of which one may hold several candidates."""
     text = F.col(text_col)
-    holds = docs.where(text.rlike(LONG) | text.rlike(NAMED)).select(F.col(id_col).alias("doc_id"), F.split(text, WHITE).alias("w"))
+    holds = docs.where(text.rlike(LONG) | text.rlike(NAMED) | text.rlike(BLOCK)).select(F.col(id_col).alias("doc_id"), text.alias("t"))
+    held = F.transform(F.regexp_extract_all("t", F.lit(BLOCK), F.lit(0)), lambda b: F.concat(F.lit(" "), F.translate(b, _SPACES, _HELD), F.lit(" ")))
+    around = F.zip_with(F.split("t", BLOCK), held, lambda part, block: F.concat(part, F.coalesce(block, F.lit(""))))
+    words = F.split(F.when(F.col("t").rlike(BLOCK), F.array_join(around, "")).otherwise(F.col("t")), WHITE)
+    pieces = lambda x: F.when(x.startswith("-----BEGIN"), F.array(x)).otherwise(F.filter(F.split(x, _BETWEEN), lambda p: (p != "") | (x == "")))
+    holds = holds.select("doc_id", F.flatten(F.transform(words, lambda x, i: F.transform(pieces(x), lambda p: F.struct(p.alias("p"), i.alias("i"))))).alias("pi"))
+    holds = holds.select("doc_id", F.transform("pi", lambda x: F.translate(x["p"], _HELD, _SPACES)).alias("w"), F.col("pi.i").alias("at"))
     named = rf"(?:{_LABEL[4:]})"
 
     def is_candidate(i: Column) -> Column:
@@ -133,22 +152,22 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         one, two = F.get("w", i - 1), F.get("w", i - 2)
         label = rf"(?i){named}\w*[\"']?\s*"
         after_label = (F.length(word) >= 8) & (one.rlike(label + "(?:[:=]|=>|:=)$") | (one.isin("=", ":", ":=", "=>") & two.rlike(label + "$")))
-        return word.rlike(LONG) | word.rlike(NAMED) | F.coalesce(after_label, F.lit(False))
-
-    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), is_candidate)
-    rows = holds.select("doc_id", "w", F.explode(at).alias("word_at"))
-    word = F.get("w", F.col("word_at"))
-    before = F.array_join(F.slice("w", F.greatest(F.lit(1), F.col("word_at") - 2), F.least(F.col("word_at"), F.lit(3))), " ")
-    rows = rows.select("doc_id", "word_at", word.alias("word"), before.alias("before"), F.coalesce(F.get("w", F.col("word_at") + 1), F.lit("")).alias("after"))
-    trimmed = F.regexp_replace("word", r"^(?:[A-Za-z_-]+[\"']?(?:[:=]|=>|:=))?[\"'`(<\[{]*|[\"'`)>\]},.;:!?]*$", "")
-    value = F.when(F.regexp_extract("word", f"({LONG})", 1) != "", F.regexp_extract(trimmed, r"^\S*$", 0)).otherwise(trimmed)
+        return word.rlike(BLOCK) | word.rlike(LONG) | word.rlike(NAMED) | F.coalesce(after_label, F.lit(False))
+
+    found = F.filter(F.sequence(F.lit(0), F.size("w") - 1), is_candidate)
+    rows = holds.where(F.size("w") > 0).select("doc_id", "w", "at", F.explode(found).alias("k"))
+    word = F.get("w", F.col("k"))
+    before = F.array_join(F.slice("w", F.greatest(F.lit(1), F.col("k") - 2), F.least(F.col("k"), F.lit(3))), " ")
+    rows = rows.select("doc_id", F.get("at", F.col("k")).alias("word_at"), word.alias("word"), before.alias("before"), F.coalesce(F.get("w", F.col("k") + 1), F.lit("")).alias("after"))
+    trimmed = F.regexp_replace("word", r"^(?:[A-Za-z_-]+[\"']?(?:[:=]|=>|:=)|[A-Za-z_][A-Za-z0-9_.-]*[\"']?(?:=>|:=|[:=])(?=[\"'`]))?[\"'`(<\[{]*|[\"'`)>\]},.;:!?]*$", "")
+    value = F.when(F.col("word").rlike(BLOCK), F.regexp_extract("word", BLOCK, 0)).when(F.regexp_extract("word", f"({LONG})", 1) != "", F.regexp_extract(trimmed, r"^\S*$", 0)).otherwise(trimmed)
     return rows.withColumn("value", value).where(F.length("value") >= 8)
 
 
 def scan(docs: DataFrame, model: list | None = None) -> DataFrame:
     """(doc_id, word_at, n_chars, value_sha256, score, is_secret) of every candidate."""
     model = model or train(docs.sparkSession)
-    scored = described(candidates(docs)).withColumn("score", forest.expression(model, list(FEATURES)))
+    scored = described(candidates(docs)).withColumn("score", F.when(F.col("value").rlike(BLOCK), 1.0).otherwise(forest.expression(model, list(FEATURES))))
     return scored.select("doc_id", "word_at", F.length("value").alias("n_chars"), F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), "score", (F.col("score") >= SECRET_AT).alias("is_secret"))
 
 

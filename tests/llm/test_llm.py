@@ -279,6 +279,24 @@ def test_secrets(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_secrets_in_words_without_spaces(spark):
+    a, b, c = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "Zk3vQ9xT2mLp7RwB", "hunter!Two#77"
+    base64 = "MIIEpAIBAAKCAQEA04dbebab91ab85687d33eeaaf9ac699e1188f962Zk3vQ9xT"
+    block = f"-----BEGIN RSA {'PRIVATE'} KEY-----\n{base64}\n{base64[::-1]}\n-----END RSA {'PRIVATE'} KEY-----"
+    rows = [
+        (1, f'first {{"api_key":"{a}","user":{{"n":1,"password":"{c}"}},"list":["{b}","{a[::-1]}"]}} last'),
+        (2, f"https://host.example/x?token={a}&secret={b}&page=2"),
+        (3, f"see\n{block}\nand token = {b} end"),
+    ]
+    h = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    got = secret_scan.scan(frame(spark, rows)).collect()
+    found = {(r.doc_id, r.value_sha256): r for r in got}
+    want = {(1, h(a)), (1, h(c)), (1, h(b)), (1, h(a[::-1])), (2, h(a)), (2, h(b)), (3, h(block)), (3, h(b))}
+    assert want == set(found) and len(got) == len(want)
+    assert {found[k].word_at for k in want if k[0] == 1} == {1} and found[(3, h(block))].n_chars == len(block)
+    assert all(found[k].is_secret for k in ((1, h(a)), (1, h(b)), (2, h(a)), (2, h(b)), (3, h(block)), (3, h(b))))
+
+
 def test_forest_generalises(spark):
     model = secret_scan.train(spark)
     other = spark.createDataFrame(secret_scan.labelled_findings(seed=9, each=12), "word string, value string, before string, after string, secret int")
