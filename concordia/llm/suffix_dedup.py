@@ -10,26 +10,36 @@ alike says that all its windows are repeated.  Only segments of the other
 anchors, those where copies begin to differ, need their text.
 
 *Shards.*  Those segments are dealt into bins by anchor.  In a bin, text is cut
-into shards; each shard orders its own suffixes into blocks that agree on
-their first 8, 16, ... bytes, and the shards' block lists are merged by
-refining their interleave round by round: a block's place in the next round is
-its place and that of the block as many bytes on, so a round merges short
-sorted lists of blocks and never sorts all suffixes of the bin.  (An anchor so
-common that its segments alone exceed a bin, a passage in a third of all texts
-with ever other words around it, is not gathered: its windows meet by two
-64-bit hashes in a combining aggregation.)  A block of
-one suffix is settled and leaves; what is left after the round of 200 bytes
-are the intervals of common prefix 200 or more.  (A round doubles the depth
-where the one-character form would take 200 rounds; the order is the same.)
+into shards.  Each shard has its own Burrows-Wheeler transform, of contexts of
+``CONTEXT`` bytes: its suffixes in the order of those bytes, the symbol before
+each, and the place of the suffix that begins with that symbol.  The shards'
+orders are merged once into an interleave, which is then refined round by
+round: read in order, each suffix sends the suffix one symbol longer to the
+bucket of its symbol, so the new interleave is in order of one symbol more.
+Two neighbours stay in one interval as long as their symbols and the intervals
+they came from are the same; the round in which they part is the length of
+their common prefix.  Buckets are filled by counting; no suffix is compared or
+sorted again.  A suffix alone in its interval is settled and leaves, as does
+all that would grow from it, so a round handles what is still repeated.  The
+intervals after ``SPAN`` bytes are the repeated strings.  A symbol is as many
+bytes as leave at most 65,536 different ones in the bin (8, 4 or 2, so 24 to 96
+rounds).
+
+An anchor so common that its segments alone exceed a bin (a passage in a third
+of all texts with ever other words around it) is not gathered: its windows
+meet by two 64-bit hashes in a combining aggregation, with the same result.
 
 Strings never reach over the end of a text.  Defined cases: null is the empty
 text; texts under 200 bytes keep all; rows equal in text are copies of each
-other, whatever their ids; a null id is kept.
+other, whatever their ids, and repeated rows too; a null id is kept; an empty
+table gives no rows; a long text is read in pieces of ``_PIECE`` bytes that
+overlap by a window and may be its own partner; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +59,9 @@ _PIECE = 1 << 23
 #: Text of one bin and of one shard, in bytes.
 BIN_BYTES = 1 << 20
 SHARD_BYTES = 1 << 18
+#: Bytes by which a shard's transform is ordered, and bytes a symbol may have.
+CONTEXT = 8
+SYMBOL_BYTES = (8, 4, 2)
 
 
 def _anchors_of(buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
@@ -123,6 +136,30 @@ def _describe(batches):
 # --- shards --------------------------------------------------------------------
 
 
+def _contexts(buf: np.ndarray) -> np.ndarray:
+    """The CONTEXT bytes from each place on as a number (zeros past the end)."""
+    padded = np.concatenate([buf, np.zeros(CONTEXT, np.uint8)]).astype(np.uint64)
+    out = np.zeros(len(buf), np.uint64)
+    for k in range(CONTEXT):
+        out = (out << U64(8)) | padded[k : k + len(buf)]
+    return out
+
+
+def _changes(sorted_keys: np.ndarray) -> np.ndarray:
+    out = np.ones(len(sorted_keys), bool)
+    out[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    return out
+
+
+def _alphabet(keys: np.ndarray) -> tuple[int, np.ndarray]:
+    """(bytes of a symbol, number of the first symbol of each of the ascending contexts)."""
+    for n in SYMBOL_BYTES:
+        number = np.cumsum(_changes(keys >> U64(8 * (CONTEXT - n)))) - 1
+        if not len(number) or number[-1] < 1 << 16:
+            break
+    return n, number.astype(np.uint16)
+
+
 def repeated_windows(texts: list[bytes], n_windows: list[int], multiple: list[bool]) -> list[np.ndarray]:
     """For each text, which of its first n_windows starts have a window that occurs twice or more over all texts.
 
@@ -131,46 +168,52 @@ def repeated_windows(texts: list[bytes], n_windows: list[int], multiple: list[bo
     sizes = np.array([len(x) for x in texts])
     off = np.concatenate([[0], np.cumsum(sizes)])
     buf = np.frombuffer(b"".join(texts), np.uint8)
-    shards = [0]
-    for i, o in enumerate(off[1:]):
-        if o - off[shards[-1]] >= SHARD_BYTES or i == len(texts) - 1:
-            shards.append(i + 1)
-    end = np.repeat(off[1:], sizes)
-    n = len(buf)
-    padded = np.concatenate([buf, np.zeros(8, np.uint8)]).astype(np.uint64)
-    word = np.zeros(n, np.uint64)
-    for k in range(8):
-        word = (word << U64(8)) | padded[k : k + n]
-    alive = [np.arange(off[a], off[b])[np.arange(off[a], off[b]) + 8 <= end[off[a] : off[b]]] for a, b in zip(shards[:-1], shards[1:], strict=True)]
-    place = np.zeros(n, np.int64)  # block of each open suffix, 0: settled
-    weight = np.repeat(np.where(multiple, 2, 1), sizes)
-    depth = 8
-    keys = [word[x] for x in alive]
-    while True:
-        # each shard's own sorted blocks, then their interleave
-        own = [np.unique(k, return_inverse=True) for k in keys]
-        blocks, merged = np.unique(np.concatenate([o[0] for o in own]), return_inverse=True)
-        size = np.zeros(len(blocks), np.int64)
-        cuts = np.concatenate([[0], np.cumsum([len(o[0]) for o in own])])
-        where = [merged[cuts[s] : cuts[s + 1]] for s in range(len(own))]
-        for (u, inverse), w, x in zip(own, where, alive, strict=True):
-            size[w] += np.bincount(inverse, weights=weight[x], minlength=len(u)).astype(np.int64)
-        rank = np.where(size > 1, np.cumsum(size > 1), 0)
-        place[:] = 0
-        nxt = min(depth, SPAN - depth)
-        for s, ((_, inverse), w) in enumerate(zip(own, where, strict=True)):
-            place[alive[s]] = rank[w[inverse]]
+    begin, end = np.repeat(off[:-1], sizes), np.repeat(off[1:], sizes)
+    # each shard's suffixes in order of their contexts; a rank counts them over all shards
+    context = _contexts(buf)
+    places = np.flatnonzero(np.arange(len(buf)) + CONTEXT <= end)
+    cuts = off[np.searchsorted(off, np.arange(0, len(buf) + SHARD_BYTES, SHARD_BYTES).clip(max=len(buf)))]
+    parts = [places[a:b][np.argsort(context[places[a:b]], kind="stable")] for a, b in itertools.pairwise(np.searchsorted(places, cuts))]
+    order = np.concatenate(parts)
+    context = context[order]
+    # the first interleave: the shards' sorted lists merge by their contexts
+    interleave = np.argsort(context, kind="stable").astype(np.int32)
+    keys = context[interleave]
+    n, number = _alphabet(keys)
+    # the transforms: the rank of the suffix one symbol longer (-1: none), and that symbol
+    rank = np.full(len(buf), -1, np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    back = np.where(order - n >= begin[order], rank[np.maximum(order - n, 0)], np.int32(-1))
+    symbol = np.zeros(len(order), np.uint16)
+    symbol[interleave] = number
+    before = symbol[back]  # that of -1 is never read
+    weight = np.repeat(np.where(multiple, np.uint8(2), np.uint8(1)), sizes)[order]
+    single = not any(multiple)
+    parted = _changes(keys)
+    depth = CONTEXT
+    while len(interleave):
+        if single:
+            alone = parted & np.append(parted[1:], True)
+        else:
+            first = np.flatnonzero(parted)
+            held = np.add.reduceat(weight[interleave].astype(np.int32), first)
+            alone = np.repeat(held == 1, np.diff(np.append(first, len(parted))))
+        block = np.cumsum(parted, dtype=np.int32)
         if depth == SPAN:
+            interleave = interleave[~alone]
             break
-        step = nxt
-        keys = []
-        for s, x in enumerate(alive):
-            x = x[(place[x] > 0) & (x + depth + step <= end[x])]
-            x = x[place[x + step] > 0]
-            alive[s] = x
-            keys.append((place[x].astype(np.uint64) << U64(32)) | place[x + step].astype(np.uint64))
-        depth += step
-    return [place[a : a + m] > 0 for a, m in zip(off[:-1], n_windows, strict=True)]
+        goes_on = ~alone
+        goes_on &= back[interleave] >= 0
+        interleave, block = interleave[goes_on], block[goes_on]
+        bucket = before[interleave]
+        moved = np.argsort(bucket, kind="stable")  # 16 bits: filled by counting
+        interleave, block, bucket = back[interleave[moved]], block[moved], bucket[moved]
+        parted = _changes(bucket)
+        parted[1:] |= block[1:] != block[:-1]
+        depth += n
+    again = np.zeros(len(buf), bool)
+    again[order[interleave]] = True
+    return [again[a : a + m] for a, m in zip(off[:-1], n_windows, strict=True)]
 
 
 def _bin_spans(tab: pa.Table) -> pa.Table:
