@@ -12,8 +12,10 @@ table of value, before, after, secret can be passed) and applied as one
 expression, so the scan is a map over documents without a shuffle.
 
 Findings never carry the secret itself, but its length and SHA-256.
-Defined cases: null and empty texts have no findings; a null id is kept; the
-same value found twice gives two findings.
+Defined cases: null and empty texts, and an empty table, have no findings; a
+null id is kept; equal rows have the same findings, each; the same value found
+twice gives two findings; a text of any length is scanned whole, in time that
+grows with it; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from . import forest
 from .store import WHITE, table
 
 _KEY = r"[A-Za-z0-9+/_=.~-]"
-LONG = rf"(?=[A-Za-z+/_=.~-]*[0-9]){_KEY}{{16,}}"
+#: Inside a run of 16 or more key characters with a digit; no start looks further than that, so a long run costs its length.
+LONG = rf"(?={_KEY}{{16}})[A-Za-z+/_=.~-]{{0,15}}[0-9]"
 NAMED = r"(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credentials?)[\"']?\s*(?:[:=]|=>|:=)\s*[\"']?[^\s\"']{8,}"
 _LABEL = r"(?i)passw|passphrase|pwd|secret|token|api_?-?key|access_?-?key|auth|bearer|private_?-?key|credential"
 _INNOCENT = r"(?i)commit|sha\d*|md5|checksum|digest|hash|uuid|guid|isbn|version|build|revision|serial|invoice|order|phone|card|account|file|path|page|issue|ticket|example|sample|placeholder|dummy|test"
@@ -37,18 +40,24 @@ _INNOCENT = r"(?i)commit|sha\d*|md5|checksum|digest|hash|uuid|guid|isbn|version|
 BLOCK = r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----.*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
 _SPACES, _HELD = " \t\n\x0b\f\r", "\ue000\ue001\ue002\ue003\ue004\ue005"
 #: Where a word without spaces holds several values: before a name, between quoted values, between long runs.
+#: A run of marks is entered at its beginning only and never given back, so a long one costs its length.
 _QUOTE, _MARK = "[\"'`]", r"[,;&|?{}()\[\]<>]"
 _BETWEEN = "|".join([
-    rf"{_QUOTE}?{_MARK}+(?:{_QUOTE}?(?=[A-Za-z_][A-Za-z0-9_.-]{{0,60}}{_QUOTE}?[:=]))",
-    rf"{_QUOTE}{_MARK}*[,;|]{_MARK}*{_QUOTE}",
-    rf"(?<={_KEY}{{16}}){_QUOTE}?{_MARK}+{_QUOTE}?(?={_KEY}{{16}})",
+    rf"(?:{_QUOTE}|(?<!{_MARK})){_MARK}++(?:{_QUOTE}?(?=[A-Za-z_][A-Za-z0-9_.-]{{0,60}}{_QUOTE}?[:=]))",
+    rf"{_QUOTE}(?=[&?{{}}()\[\]<>]*+[,;|]){_MARK}++{_QUOTE}",
+    rf"(?<={_KEY}{{16}}){_QUOTE}?{_MARK}++{_QUOTE}?(?={_KEY}{{16}})",
     rf"(?<={_KEY}{{16}})(?<=[0-9]{_KEY}{{0,15}}):(?={_KEY}{{16}})",
 ])
 #: Words that make a value readable text rather than a key (fixed values).
 DICTIONARY = (
     "the and for with from this that your here example sample test demo dummy placeholder change secret password token key value user name admin data file "
     "image page index main class method function config default build version release module package service client server update delete create insert select "
-    "public private static final string number value list array table column document report summary archive backup download upload assets images style script"
+    "public private static final string number value list array table column document report summary archive backup download upload assets images style script "
+    "about account action active address after again all also amount another answer apply author base before between block body book button cache call case category change check "
+    "child city code color command comment common company content context control copy country current custom customer date default detail device display domain edit email empty "
+    "enable end error event field filter find first folder form format found from global group handler have header help history home host info input item just know language last "
+    "left level library life line link load local location login long look make manager market may member menu message mobile model module month more most move music network never "
+    "new news next node note object office only open option order other output over part people person phone photo place plan play point policy post price print process product"
 ).split()
 _WORDS = "(?i)(?:" + "|".join(sorted(set(DICTIONARY), key=lambda w: (-len(w), w))) + ")"
 SECRET_AT = 0.5
@@ -97,6 +106,7 @@ def labelled_findings(seed: int = 1, each: int = 60) -> list[tuple[str, str, str
         add(some(alnum, 20, 44), label, 1)
         add(some(alnum + "+/", 28, 60) + "=", label, 1)
         add(r.choice(["AKIA", "ASIA"]) + some(string.ascii_uppercase + string.digits, 16, 16), r.choice([label, *plain]), 1)
+        # beginnings in two parts: no text of this repository looks like a credential
         add(r.choice(["gh" + "p_", "sk" + "-", "xox" + "b-", "glp" + "at-", "h" + "f_"]) + some(alnum, 24, 40), r.choice([label, *plain]), 1)
         add("ey" + "J" + some(alnum, 20, 60) + "." + some(alnum, 20, 60), r.choice([label, *plain]), 1)
         value = some(alnum + "!#%", 9, 20)
@@ -150,7 +160,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def is_candidate(i: Column) -> Column:
         word = F.get("w", i)
         one, two = F.get("w", i - 1), F.get("w", i - 2)
-        label = rf"(?i){named}\w*[\"']?\s*"
+        label = rf"(?i){named}\w{{0,40}}[\"']?\s*"
         after_label = (F.length(word) >= 8) & (one.rlike(label + "(?:[:=]|=>|:=)$") | (one.isin("=", ":", ":=", "=>") & two.rlike(label + "$")))
         return word.rlike(BLOCK) | word.rlike(LONG) | word.rlike(NAMED) | F.coalesce(after_label, F.lit(False))
 
@@ -159,7 +169,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     word = F.get("w", F.col("k"))
     before = F.array_join(F.slice("w", F.greatest(F.lit(1), F.col("k") - 2), F.least(F.col("k"), F.lit(3))), " ")
     rows = rows.select("doc_id", F.get("at", F.col("k")).alias("word_at"), word.alias("word"), before.alias("before"), F.coalesce(F.get("w", F.col("k") + 1), F.lit("")).alias("after"))
-    trimmed = F.regexp_replace("word", r"^(?:[A-Za-z_-]+[\"']?(?:[:=]|=>|:=)|[A-Za-z_][A-Za-z0-9_.-]*[\"']?(?:=>|:=|[:=])(?=[\"'`]))?[\"'`(<\[{]*|[\"'`)>\]},.;:!?]*$", "")
+    inner = F.regexp_replace("word", r"^(?:[A-Za-z_-]+[\"']?(?:[:=]|=>|:=)|[A-Za-z_][A-Za-z0-9_.-]*[\"']?(?:=>|:=|[:=])(?=[\"'`]))?[\"'`(<\[{]*", "")
+    inner = F.regexp_replace(inner, r"^([^\"'`]{8,})[\"'`][^A-Za-z0-9\"'`]*$", "$1")  # up to its closing quote, whatever marks follow
+    trimmed = F.regexp_replace(inner, r"(?<![\"'`)>\]},.;:!?])[\"'`)>\]},.;:!?]*+$", "")
     value = F.when(F.col("word").rlike(BLOCK), F.regexp_extract("word", BLOCK, 0)).when(F.regexp_extract("word", f"({LONG})", 1) != "", F.regexp_extract(trimmed, r"^\S*$", 0)).otherwise(trimmed)
     return rows.withColumn("value", value).where(F.length("value") >= 8)
 
