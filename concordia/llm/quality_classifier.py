@@ -7,7 +7,9 @@ time; L1 keeps most weights at 0.  Scoring is one gather and running sum over
 the distinct ids of each whole text, in Arrow batches, without a shuffle.
 
 Defined cases: a null text is an empty one and scores the bias alone; a null
-id is kept and never held out; without any labelled row every score is 0.5.
+id is kept and never held out; without any labelled row every score is 0.5;
+equal rows are scored alike, each; an empty table gives no rows; a text of any
+length counts with the set of its words and pairs; other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,9 +44,19 @@ def _fit(sample: pa.Table) -> dict[str, np.ndarray]:
     return {"bias": np.array([bias]), "weights": w.astype(np.float32)}
 
 
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str, np.ndarray]:
+    """Bias and weights; labels has doc_id and quality."""
+    return fit_in_task(labelled(docs, labels, "quality", sample_rows), _fit)
+
+
 def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, score) of every row of docs; labels has doc_id and quality."""
-    model = share(docs, fit_in_task(labelled(docs, labels, "quality", sample_rows), _fit))
+    """(doc_id, score) of every row of docs by a model of its labelled rows."""
+    return score_with(docs, fit(docs, labels, sample_rows))
+
+
+def score_with(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+    """(doc_id, score) of every row of docs."""
+    model = share(docs, model)
 
     def task(batches):
         m = model.value

@@ -7,15 +7,23 @@ model learns how far to trust it.  Each link is a logistic regression over the
 set of a text's hashed words and word beginnings (punctuation at the end of a
 word does not count), with L1, so a long clean text gathers no weight.
 
-``labels`` names the categories it has as 0/1 columns.  Where it has only one,
-``toxic``, two categories are derived from it for the chain: ``explicit``, a
-toxic row with a word that the sample's toxic rows hold and its other rows do
-not, and ``repeated``, a toxic row with three such words or more.  The last
-category decides; its threshold is where F1 over the out-of-fold
-probabilities is largest.
-
-Defined cases: a null text is empty and not toxic unless every labelled row
-is; a null id is kept; without labelled rows nothing is toxic.
+The categories are columns of the labels table, each with a label of its own;
+none is computed from another.  ``CATEGORIES`` names them for `labels`, which
+has two: *unfit* (quality 0), then *toxic*.  A table with more toxicity columns
+is a longer chain (``fit``'s categories).  The last category decides; its
+threshold is where F1 over the out-of-fold probabilities is largest.
+
+The sample becomes ids in one task (ids of one row only are left out, as L1
+would do); the folds of a link and its final model are fitted side by side,
+each in a task.
+
+Defined cases: a null or empty text has no words, so its score is that of the
+bias, and it is not toxic unless every labelled row is; a null id is kept;
+equal rows are scored alike, each; an empty table gives no rows; without
+labelled rows nothing is toxic; a label that is null is no training row of that
+category; a text of any length counts with the set of its words; all columns
+of docs stay in ``drop_toxic``, whatever their names, and ``score`` replaces
+input columns named as its own results.
 """
 
 from __future__ import annotations
@@ -28,17 +36,18 @@ from pyspark.sql.types import StructType
 
 from . import kernel as K
 from . import linear as L
-from .store import table
-from .training import SAMPLE_ROWS, fit_in_task, labelled, share
+from .store import fresh, quoted, table
+from .training import SAMPLE_ROWS, each_in_a_task, fit_in_task, labelled, share
 
 BITS = 18
 FAMILIES = {"word_ns": (1,), "prefix_ns": (5, 6, 7), "strip": True}
 N_FAMILIES = 4
 SIZE = N_FAMILIES << BITS
-CATEGORIES = ("explicit", "repeated", "toxic")
+#: The chain over `labels`: each category and what of a row says it.
+CATEGORIES = {"unfit": "1 - quality", "toxic": "toxic"}
 FOLDS = 4
-#: A marker: a hashed word in at least so many toxic rows, and in at most this share of other rows that hold it.
-MARKER_ROWS, MARKER_OTHERS = 5, 0.05
+#: Ids that fewer rows of the sample hold are left out of training.
+LEAST_ROWS = 2
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -50,17 +59,6 @@ def _ids(t: K.Texts) -> tuple[np.ndarray, np.ndarray]:
     return L.present(L.bags(t, BITS, **FAMILIES), BITS)
 
 
-def derive_categories(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Columns explicit, repeated, toxic from the toxic column alone."""
-    seen, others = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    words = [r[r < 1 << BITS] for r in rows]
-    for w, y in zip(words, toxic, strict=True):
-        (seen if y else others)[w] += 1
-    marker = (seen >= MARKER_ROWS) & (others <= MARKER_OTHERS * (seen + others))
-    n = np.array([int(marker[w].sum()) for w in words])
-    return np.stack([toxic & (n >= 1), toxic & (n >= 3), toxic], axis=1).astype(np.float64)
-
-
 def _fit_link(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
     """Bias and weights over hashed ids, then earlier categories; constant for a label that is all 0 or 1."""
     k = earlier.shape[1]
@@ -75,26 +73,36 @@ def _margin(rows: list[np.ndarray], earlier: np.ndarray, bias: float, w: np.ndar
     return np.array([bias + w[ids].sum() for ids in rows]) + earlier @ w[SIZE:]
 
 
-def fit_chain(rows: list[np.ndarray], labels: np.ndarray, folds: int = FOLDS) -> dict[str, np.ndarray]:
-    """labels: one 0/1 column for each category, in chain order."""
+def _one_fit(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, fold: np.ndarray, f: int) -> dict[str, np.ndarray]:
+    """Fit f of a link: out-of-fold margins of fold f, or, for the fit after the last fold, the model of all rows. y: NaN is no label."""
+    known = ~np.isnan(y)
+    use = np.flatnonzero(known & (fold != f))
+    bias, w = _fit_link([rows[i] for i in use], earlier[use], y[use])
+    out = np.flatnonzero(fold == f)
+    return {"bias": np.array([bias]), "weights": w.astype(np.float32), "margin": _margin([rows[i] for i in out], earlier[out], bias, w)}
+
+
+def fit_chain(rows: list[np.ndarray], labels: np.ndarray, folds: int = FOLDS, side_by_side=None) -> dict[str, np.ndarray]:
+    """labels: one column of 0, 1 or NaN for each category, in chain order.
+
+    side_by_side(n, work): [work(0), ..., work(n - 1)], here one after the other.
+    """
     n, k = labels.shape
+    run = side_by_side or (lambda n, work: [work(f) for f in range(n)])
     fold = np.random.default_rng(5).integers(0, folds, n)
     earlier = np.zeros((n, 0))
     biases, weights, oof = [], [], np.full(n, 0.0)
     for c in range(k):
-        y = labels[:, c]
+        y, before = labels[:, c], earlier
+        fits = run(folds + 1, lambda f, y=y, before=before: _one_fit(rows, before, y, fold, f))
+        oof = np.zeros(n)
         for f in range(folds):
-            out, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
-            if len(out) and len(rest):
-                bias, w = _fit_link([rows[i] for i in rest], earlier[rest], y[rest])
-                oof[out] = L.sigmoid(_margin([rows[i] for i in out], earlier[out], bias, w))
-            else:
-                oof[out] = y.mean()
-        bias, w = _fit_link(rows, earlier, y)
-        biases.append(bias)
-        weights.append(np.concatenate([w, np.zeros(k - c)]))
+            oof[fold == f] = L.sigmoid(fits[f]["margin"])
+        biases.append(fits[folds]["bias"][0])
+        weights.append(np.concatenate([fits[folds]["weights"], np.zeros(k - c)]))
         earlier = np.column_stack([earlier, _logit(oof)])
-    return {"bias": np.array(biases), "weights": np.stack(weights).astype(np.float32), "threshold": np.array([best_threshold(oof, labels[:, -1])])}
+    last = ~np.isnan(labels[:, -1])
+    return {"bias": np.array(biases), "weights": np.stack(weights).astype(np.float32), "threshold": np.array([best_threshold(oof[last], labels[last, -1])])}
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -111,12 +119,19 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((q[at] + below) / 2)
 
 
-def _fit(sample: pa.Table) -> dict[str, np.ndarray]:
-    rows = []
+def _features(sample: pa.Table) -> dict[str, np.ndarray]:
+    """The sample as ids that LEAST_ROWS rows or more hold (ids, first) and labels."""
+    first, ids = [np.zeros(1, np.int64)], []
     for _, _, t in K.slices(pa.record_batch([sample["text"].combine_chunks()], ["text"])):
-        first, ids = _ids(t)
-        rows += [ids[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-    return fit_chain(rows, derive_categories(rows, sample["y"].to_numpy().astype(bool)))
+        f, i = _ids(t)
+        first.append(f[1:] + first[-1][-1])
+        ids.append(i)
+    first, ids = np.concatenate(first), np.concatenate(ids)
+    keep = np.bincount(ids, minlength=SIZE)[ids] >= LEAST_ROWS
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    names = [c for c in sample.column_names if c.startswith("y_")]
+    y = np.stack([sample[c].cast(pa.float64()).fill_null(float("nan")).to_numpy() for c in names], axis=1)
+    return {"ids": ids[keep], "first": kept[first], "y": y}
 
 
 def chain_probabilities(first: np.ndarray, ids: np.ndarray, m: dict[str, np.ndarray]) -> np.ndarray:
@@ -131,24 +146,46 @@ def chain_probabilities(first: np.ndarray, ids: np.ndarray, m: dict[str, np.ndar
     return p
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str, np.ndarray]:
-    return fit_in_task(labelled(docs, labels, "toxic", sample_rows), _fit)
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, categories: dict[str, str] = CATEGORIES) -> dict[str, np.ndarray]:
+    """The chain over categories (name -> SQL of a 0/1 value over labels), the deciding one last."""
+    sample = labelled(docs, labels, {f"y_{n}": F.expr(sql) for n, sql in categories.items()}, sample_rows)
+    x = fit_in_task(sample, _features)
+    if not x:
+        return {}
+    shared = share(docs, (x["ids"], x["first"]))
+
+    def side_by_side(n, work):
+        return each_in_a_task(docs.sparkSession, n, work)
+
+    return fit_chain(_Rows(shared), x["y"], side_by_side=side_by_side) | {"names": np.array(list(categories))}
+
+
+class _Rows:
+    """The sample's rows, read from a broadcast where they are used."""
+
+    def __init__(self, shared):
+        self.shared = shared
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        ids, first = self.shared.value
+        return ids[first[i] : first[i + 1]]
 
 
-def score(docs: DataFrame, model: dict[str, np.ndarray], prefix: str = "") -> DataFrame:
-    """Every row and column of docs, with <prefix>p_<category> and <prefix>toxic at its end (an input column of such a name goes)."""
-    new = [f"{prefix}p_{c}" for c in CATEGORIES] + [f"{prefix}toxic"]
+def score(docs: DataFrame, model: dict[str, np.ndarray], names: list[str] | None = None) -> DataFrame:
+    """Every row and column of docs, and at its end p_<category> for each category and toxic (or the given names)."""
+    known = [str(n) for n in model["names"]] if model else list(CATEGORIES)
+    new = names or [f"p_{c}" for c in known] + ["toxic"]
     docs = docs.drop(*new)
-    shared = share(docs, model)
+    shared = share(docs, {k: v for k, v in model.items() if k != "names"})
 
     def task(batches):
         m = shared.value
         for batch in batches:
-            p, toxic = np.zeros((batch.num_rows, len(CATEGORIES))), np.zeros(batch.num_rows, bool)
+            p, toxic = np.zeros((batch.num_rows, len(new) - 1)), np.zeros(batch.num_rows, bool)
             for a, b, t in K.slices(batch) if m else ():
                 p[a:b] = chain_probabilities(*_ids(t), m)
                 toxic[a:b] = p[a:b, -1] >= m["threshold"][0]
-            extra = [pa.array(np.ascontiguousarray(p[:, c])) for c in range(len(CATEGORIES))] + [pa.array(toxic)]
+            extra = [pa.array(np.ascontiguousarray(p[:, c])) for c in range(len(new) - 1)] + [pa.array(toxic)]
             yield pa.record_batch([*batch.columns, *extra], [*batch.schema.names, *new])
 
     schema = StructType(list(docs.schema))
@@ -159,11 +196,12 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], prefix: str = "") -> Da
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the documents found toxic; all columns kept."""
-    scored = score(docs, fit(docs, labels), prefix="__")
-    return scored.where("not __toxic").select(*docs.columns)
+    new = fresh(docs, *[f"p_{c}" for c in CATEGORIES], "toxic")
+    scored = score(docs, fit(docs, labels), new)
+    return scored.where(~F.col(new[-1])).select(*quoted(docs.columns))
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).select("doc_id", "toxic", F.col("p_toxic").alias("score"), "p_explicit", "p_repeated")
+    return score(docs, model).select("doc_id", "toxic", F.col("p_toxic").alias("score"), "p_unfit")
