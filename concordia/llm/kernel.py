@@ -5,6 +5,10 @@ is), and every kernel is a handful of numpy passes over that buffer: there is
 no Python loop over words or characters.  ``slices`` cuts an Arrow batch into
 pieces of bounded bytes so that the eight-byte scratch arrays stay small
 whatever the batch holds; one text is never cut.
+
+Memory: a slice is ``SLICE_BYTES`` or one longer text, and the arrays of a pass
+take 50 to 80 bytes for each of its bytes, so a worker with 2 GB reads texts of
+up to about 25 MB.  (``suffix_dedup`` reads longer ones in pieces.)
 """
 
 from __future__ import annotations
@@ -79,11 +83,22 @@ def release() -> None:
         pass
 
 
-def tidy(task: Callable) -> Callable:
-    """A task over Arrow batches that releases memory when it ends."""
+#: What a worker keeps from task to task, by name; a task of another kind frees it.
+HELD: dict[str, tuple] = {}
+
+
+def _forget(keep: str) -> None:
+    for name in [n for n in HELD if n != keep]:
+        del HELD[name]
+        release()
+
+
+def tidy(task: Callable, keep: str = "") -> Callable:
+    """A task over Arrow batches that frees what other tasks kept, but for ``keep``, and releases memory when it ends."""
 
     @wraps(task)
     def run(batches):
+        _forget(keep)
         try:
             yield from task(batches)
         finally:
@@ -97,6 +112,7 @@ def tidy_group(task: Callable) -> Callable:
 
     @wraps(task)
     def run(table):
+        _forget("")
         try:
             return task(table)
         finally:

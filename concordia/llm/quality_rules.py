@@ -9,7 +9,9 @@ seen.  A text is kept when the base rules pass and that probability is at
 least ``KEEP_AT``.
 
 Defined cases: a null text has no words and fails the base rules; a null id
-is kept as it is; without labelled rows the base rules alone decide.
+is kept as it is; without labelled rows the base rules alone decide; equal
+rows are counted each; an empty table gives no rows; a text of any length is
+counted whole, in memory that grows with it; other columns are not read.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ token crosses such a place: a text is cut there into segments, and a bounded cac
 
 Defined cases: a null text is empty and has no ids; a mark in the text itself
 counts as a space, as in the library; characters outside the vocabulary become
-their UTF-8 bytes.
+their UTF-8 bytes; a null id is kept; equal rows are encoded each; an empty
+table gives no rows; a long text is encoded whole, in memory that grows with
+it, and leaves a worker in a batch of its own; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,13 +30,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kernel import tidy
+from .kernel import HELD, tidy
 from .store import table
 from .training import share
 
 MARK = "▁"
 #: Segments in each half of a worker's cache; when the newer half is full the older one is forgotten.
-CACHE = 250_000
+CACHE = 150_000
+#: Characters of the longest segment that the cache holds, so that its entries bound its bytes.
+CACHED_CHARS = 48
 #: Characters after which a worker hands on what it has.
 PIECE_CHARS = 1 << 20
 _BYTE = -1  # in the table: a character that fell back to bytes
@@ -216,13 +220,14 @@ class Codec:
         """A segment's ids and text, from the older half of the cache or anew."""
         if len(self._cache) >= CACHE:
             self._older, self._cache = self._cache, _Cache(self._both)
-        if len(self._pairs) >= 4 * CACHE:
+        if len(self._pairs) >= 2 * CACHE:
             self._pairs.clear()
         got = self._cache.get(s) or self._older.get(s)
         if got is None:
             ids = self.segment(s)
             got = (",".join(map(str, ids)), self._pieces(ids))
-        self._cache[s] = got
+        if len(s) <= CACHED_CHARS:
+            self._cache[s] = got
         return got
 
     def digest(self, text: str | None) -> tuple[str, str]:
@@ -244,16 +249,12 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
-_codecs: dict[int, Codec] = {}
-
-
 def _codec(shared) -> Codec:
-    """One codec for each worker and vocabulary."""
+    """One codec for each worker and vocabulary, until the worker does something else."""
     key = id(shared.value)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(shared.value)
-    return _codecs[key]
+    if HELD.get("codec", (None,))[0] != key:
+        HELD["codec"] = (key, Codec(shared.value))
+    return HELD["codec"][1]
 
 
 def encode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
@@ -288,7 +289,7 @@ def encode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
 
     names = ["doc_id", "n_tokens", "ids", "decoded"] if ids else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     schema = f"doc_id bigint, n_tokens bigint, {names[2]} {'array<int>' if ids else 'string'}, {names[3]} string"
-    return docs.select("doc_id", "text").mapInArrow(tidy(task), schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(task, keep="codec"), schema)
 
 
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
