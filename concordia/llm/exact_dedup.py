@@ -4,16 +4,21 @@ Pass 1 turns each text into a digest and two slots of a bit space that grows
 with the number of rows, counts the slots (combined before the shuffle: a
 group of copies that holds a third of all rows is one row a task) and packs
 the slots seen twice or more into 4 KB bitmaps.  Those bitmaps are the Bloom
-filter of *possibly repeated* hashes.  Pass 2 tests each row against it: a row
-whose two bits are not both set is certainly alone and passes straight
-through; the others, copies and a few false alarms, are the only ones that
-shuffle, by digest.  Bits per row are fixed, so the filter has a known size:
-it is broadcast when that is under ``store.BROADCAST_BYTES`` and joined by
-bucket beyond, with the same rows either way.
+filter of *possibly repeated* hashes, broadcast at a bounded size
+(``bloom.filter_bytes``) whatever the input.  Pass 2 tests each row against
+it: a row whose two bits are not both set is certainly alone and passes
+straight through; the others, copies and false alarms, are the only ones that
+shuffle, by digest.  Where the bound leaves fewer slots than rows call for,
+more false alarms shuffle; rows that miss never do.
+
+(A task's two bitmaps of what it saw once and twice are sparse, a few bits in
+each 4 KB, so what moves in pass 1 is the numbers of their set bits.)
 
 Defined cases: a null text counts as empty, and empty texts are equal to each
 other; a null id counts as larger than any other; of rows equal in text and
-id one stays; a table without rows gives no rows.
+id one stays; a table without rows gives no rows; a text of any length is one
+row whose digest alone goes on (op9) or which shuffles whole only if its
+digest may be repeated (drop_copies); columns of any other name are kept.
 """
 
 from __future__ import annotations
@@ -21,12 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import WHITE, cut, sized_broadcast
-
-#: Slots for each row and hash function; a lone row passes as repeated for about 1 in 250.
-SLOTS_PER_ROW = 16
-BUCKET = 32768  # bits of one bitmap
-HEAVY_GROUPS = 32768
+from . import bloom
+from .store import WHITE, cut, fresh, meet, quoted
 
 
 def normalised(text: Column) -> Column:
@@ -38,55 +39,23 @@ def digest(text: Column) -> Column:
     return F.sha2(normalised(text).cast("binary"), 256)
 
 
-def _slots(key: Column, m: int) -> list[Column]:
-    """One slot for each of two hash functions, in halves of the bit space."""
-    return [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(m)) + F.lit(k * m) for k in (0, 1)]
-
-
-def repeat_filter(keys: DataFrame, key: str, n_rows: int) -> tuple[DataFrame, int]:
+def repeat_filter(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
     """Pass 1: (bucket, bits) of slots that two rows or more fall on, and the slots of one function."""
-    m = max(1, -(-n_rows * SLOTS_PER_ROW // BUCKET)) * BUCKET
-    slots = keys.select(F.explode(F.array(*_slots(F.col(key), m))).alias("slot"))
-    twice = slots.groupBy("slot").count().where("count > 1")
-    bits = twice.groupBy((F.col("slot") / BUCKET).cast("long").alias("bucket")).agg(F.bitmap_construct_agg((F.col("slot") % BUCKET)).alias("bits"))
-    return bits, m
-
-
-def possibly_repeated(rows: DataFrame, key: str, bits: DataFrame, m: int) -> DataFrame:
-    """Pass 2: rows with a boolean column ``_again``, False only for a key that is surely alone."""
-    for k, slot in enumerate(_slots(F.col(key), m)):
-        part = bits.select(F.col("bucket").alias(f"_b{k}"), F.col("bits").alias(f"_bits{k}"))
-        part = sized_broadcast(part, 2 * m / 8)
-        rows = rows.withColumn(f"_s{k}", slot).withColumn(f"_k{k}", (F.col(f"_s{k}") / BUCKET).cast("long"))
-        rows = rows.join(part, F.col(f"_k{k}") == F.col(f"_b{k}"), "left")
-        byte = F.conv(F.hex(F.expr(f"substring(_bits{k}, cast(_s{k} % {BUCKET} div 8 + 1 as int), 1)")), 16, 10).cast("int")
-        hit = F.coalesce(F.expr("0") + F.getbit(byte, (F.col(f"_s{k}") % 8).cast("int")), F.lit(0)) == 1
-        rows = rows.withColumn(f"_h{k}", hit).drop(f"_s{k}", f"_k{k}", f"_b{k}", f"_bits{k}")
-    return rows.withColumn("_again", F.col("_h0") & F.col("_h1")).drop("_h0", "_h1")
+    m = bloom.slots_for(keys.sparkSession, keys.count())
+    return cut(bloom.build(keys, F.col(key), m, least=2)), m
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, keep_id, group_size, kept, text_sha256."""
-    d = cut(docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("text_sha256"), F.monotonically_increasing_id().alias("_row")))
+    d = cut(docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("text_sha256"), F.monotonically_increasing_id().alias("row")))
     n = d.count()
-    bits, m = repeat_filter(d, "text_sha256", n)
-    seen = possibly_repeated(d, "text_sha256", cut(bits), m)
-    alone = seen.where(~F.col("_again")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    again = seen.where("_again").drop("_again")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
-    groups = cut(again.groupBy("text_sha256").agg(F.min(order).alias("_keep"), F.count("*").alias("group_size")))
-    # at most HEAVY_GROUPS groups are larger than n / HEAVY_GROUPS rows: those are
-    # broadcast, so no task gathers a large group; the small rest meets by shuffle
-    large = F.col("group_size") > n // HEAVY_GROUPS
-    heavy = groups.where(large & (F.col("group_size") > 1)).select(F.col("text_sha256").alias("_sha"), F.col("_keep").alias("_hk"), F.col("group_size").alias("_hn"))
-    met = again.join(F.broadcast(heavy), F.col("text_sha256") == F.col("_sha"), "left")
-
-    def annotated(df: DataFrame, keep: str, size: str) -> DataFrame:
-        return df.select("doc_id", F.col(f"{keep}.id").alias("keep_id"), F.col(size).alias("group_size"), (F.col("_row") == F.col(f"{keep}.row")).alias("kept"), "text_sha256")
-
-    light = met.where("_sha is null").select("doc_id", "_row", "text_sha256").join(groups.where(~large | (F.col("group_size") == 1)), "text_sha256")
-    back = annotated(met.where("_sha is not null"), "_hk", "_hn").unionByName(annotated(light, "_keep", "group_size"))
-    return alone.unionByName(back)
+    seen = bloom.tested(d, F.col("text_sha256"), *repeat_filter(d, "text_sha256"), "again")
+    alone = seen.where("not again").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    again = seen.where("again").drop("again")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row")
+    groups = cut(again.groupBy("text_sha256").agg(F.min(order).alias("keep"), F.count("*").alias("group_size")))
+    back = meet(again, groups, "text_sha256", "group_size", n)
+    return alone.unionByName(back.select("doc_id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,14 +65,13 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     by (id, then the other columns) is chosen in a combining aggregation, so a
     large group is one row a task before it moves.
     """
-    names = docs.columns
-    keyed = docs.withColumn("_sha", digest(F.col(text_col)))
-    digests = cut(keyed.select("_sha"))
-    bits, m = repeat_filter(digests, "_sha", digests.count())
-    seen = possibly_repeated(keyed, "_sha", cut(bits), m)
-    alone = seen.where(~F.col("_again")).select(*names)
-    row = F.struct(F.col(id_col).isNull().alias("_none"), F.col(id_col).alias("_id"), F.struct(*names).alias("_row"))
-    kept = seen.where("_again").groupBy("_sha").agg(F.min(row).alias("_least")).select("_least._row.*")
+    sha, again = fresh(docs, "sha", "again")
+    names = quoted(docs.columns)
+    keyed = docs.withColumn(sha, digest(F.col(text_col)))
+    seen = bloom.tested(keyed, F.col(sha), *repeat_filter(cut(keyed.select(sha)), sha), again)
+    alone = seen.where(~F.col(again)).select(*names)
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.struct(*names).alias("row"))
+    kept = seen.where(F.col(again)).groupBy(sha).agg(F.min(row).alias("least")).select("least.row.*")
     return alone.unionByName(kept)
 
 

@@ -16,17 +16,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 64 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder; what follows does not depend on any executor.
-
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests, a
-    laptop) a temporary one is made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; only a local master may do without one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared checkpoint folder; what follows does not depend on any executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -39,6 +42,24 @@ def sized_broadcast(df: DataFrame, n_bytes: float) -> DataFrame:
     return F.broadcast(df) if n_bytes <= BROADCAST_BYTES else df
 
 
+def fresh(df: DataFrame, *bases: str) -> list[str]:
+    """Names for columns of our own beside those of df, none of which they equal."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for base in bases:
+        k, name = 0, f"_{base}"
+        while name in taken:
+            k, name = k + 1, f"_{base}{k}"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their whole names, whatever characters they hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def uniform(*cols: Column, seed: int = 0) -> Column:
     """A number in [0, 1) fixed by the columns and the seed."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double") / F.lit(float(1 << 53))
@@ -70,7 +91,6 @@ def meet(rows: DataFrame, per_key: DataFrame, key: str, weight: str, n_rows: int
 def rewritten(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared checkpoint folder, and read again."""
     spark = df.sparkSession
-    cut(spark.range(0))  # names the folder where it is unset
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
