@@ -21,9 +21,16 @@ are dealt and folded again until a source has one.  A source that holds a
 third of all rows is only more chunks.  Chance comes from hashes of the id and
 the level, so reruns agree.
 
+Whoever is undecided last in a source, with nothing left to meet, is rounded
+alone by its fraction, so a source's words end within that one document of
+its target.
+
 Defined cases: a null text has size 0; a null source is a source of its own,
 last in order; documents of size 0 are taken 0 words; an empty table gives no
-rows; equal ids are separate documents.
+rows; equal or null ids, and repeated rows, are separate documents; a text of
+any length is its number of words.  ``mix`` keeps all columns, whatever their
+names; of rows equal in source, id and text it takes as many copies in all as
+the rounding gave them.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import cut, n_words, sized_broadcast, uniform
+from .store import cut, fresh, n_words, quoted, sized_broadcast, uniform
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -162,18 +169,47 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     return plain.unionByName(got)
 
 
+def _shares(alike: DataFrame, total: str, n_alike: str, keys: list[str]) -> DataFrame:
+    """alike with ``share``: the total of its key dealt over the key's rows as evenly as whole numbers go.
+
+    Rows are numbered within (key, partition) and the partitions' counts are
+    summed, so no task gathers a key that holds a third of all rows.
+    """
+    part, place, first = "part", "place", "first"
+    numbered = alike.withColumn(part, F.spark_partition_id()).withColumn("order", F.monotonically_increasing_id())
+    numbered = cut(numbered)
+    counts = numbered.groupBy(*keys, part).agg(F.count("*").alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*[F.col(k).alias(f"s_{k}") for k in keys], F.col(part).alias("s_part"), before.alias(first))
+    same = [F.col(k).eqNullSafe(F.col(f"s_{k}")) for k in keys]
+    placed = numbered.withColumn(place, F.row_number().over(Window.partitionBy(*keys, part).orderBy("order")) - 1)
+    placed = placed.join(starts, [*same, F.col(part) == F.col("s_part")])
+    share = F.floor(F.col(total) / F.col(n_alike)) + F.when(F.col(first) + F.col(place) < F.col(total) % F.col(n_alike), 1).otherwise(0)
+    return placed.select("row", share.alias("share"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed documents: each row of docs as often as the mix takes it, all columns kept.
 
-    Rows meet their number of copies by id and a hash of the text; rows equal in
-    both are taken alike, by their mean number of copies rounded down.
+    Rows meet their number of copies by source, id and a hash of the text; the
+    copies of rows equal in all three are dealt over them, none lost.
     """
-    picked = take(docs, id_col, text_col, source_col).where("copies > 0")
-    c = picked.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), "copies", F.col("size").alias("_size"), F.coalesce("mark", F.lit(0)).alias("_m"))
-    c = c.groupBy("_id", "_size", "_m").agg(F.floor(F.avg("copies")).alias("_copies"))
-    d = docs.withColumn("_id0", F.coalesce(F.col(id_col), F.lit(-1))).withColumn("_m0", F.xxhash64(text_col))
-    joined = d.join(c, (d["_id0"] == c["_id"]) & ((d["_m0"] - c["_m"]) == 0))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    names = docs.columns
+    taken = take(docs, id_col, text_col, source_col).groupBy("source", "doc_id", "mark").agg(F.sum("copies").alias("total"), F.count("*").alias("alike")).where("total > 0")
+    t_source, t_id, t_mark, t_total, t_alike, mark, copy = fresh(docs, "source", "id", "mark", "total", "alike", "hash", "copy")
+    taken = taken.toDF(t_source, t_id, t_mark, t_total, t_alike)
+    same = F.col(source_col).eqNullSafe(F.col(t_source)) & F.col(id_col).eqNullSafe(F.col(t_id)) & (F.col(mark) == F.col(t_mark))
+    met = docs.withColumn(mark, F.xxhash64(text_col)).join(taken, same)
+
+    def repeated(rows: DataFrame, n: Column, columns: list[Column]) -> DataFrame:
+        return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), n.cast("int")))).select(*columns)
+
+    out = repeated(met.where(F.col(t_alike) == 1), F.col(t_total), quoted(names))
+    if taken.where(F.col(t_alike) > 1).isEmpty():
+        return out
+    alike = met.where(F.col(t_alike) > 1).select(F.struct(*quoted(names)).alias("row"), *[F.col(c).alias(n) for c, n in ((t_source, "source"), (t_id, "id"), (t_mark, "mark"), (t_total, "total"), (t_alike, "alike"))])
+    dealt = _shares(alike, "total", "alike", ["source", "id", "mark"]).where("share > 0")
+    return out.unionByName(repeated(dealt, F.col("share"), [F.col("row.*")]))
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
