@@ -9,7 +9,9 @@ at least one group is alike in both, and its hash is a common signature
 (sizes fall into intervals so that both sides agree on k; a text signs for its
 own interval and the next).  So no link is lost.  Signatures shuffle as two
 longs; those met by more than one class form blocks, and blocks of the same
-classes are one.
+classes are one.  Signatures that many classes share are found beforehand by
+counting those of one class in ``PROBE``; their rows are dealt by class and
+signature, so that no task meets a third of all classes under one signature.
 
 *R-tree.*  Elements are hashed into ``GROUPS`` groups and each class is the
 point of its group counts.  In a block, a tree over the points keeps the upper
@@ -29,8 +31,14 @@ component: a group of near copies of any size is linked in chunks of bounded
 memory, and no pair of different components is left out.
 
 Defined cases: a null text is empty; empty texts are linked with nothing; a
-null id is kept, linked with nothing, and has a null component; equal ids are
-one document for its component.
+null id is kept, linked with nothing, and has a null component; rows of equal
+id are rows of their own, each in the component of its text; equal rows and
+ties are one class; an empty table gives no rows; a long text is one class,
+held as eight bytes a shingle by the task that reads it, and its point grows
+with it; other columns are not read.  ``drop_near_copies`` tells rows apart by
+id and text: of a component the row of smallest id (a null id last, then the
+smallest hash of the text) stays; of rows equal in id and text one stays; rows
+without words all stay; all columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,9 +49,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
+from . import bloom
 from . import kernel as K
 from .components import components
-from .store import cut, meet, sized_broadcast, table
+from .store import BROADCAST_BYTES, cut, fresh, meet, quoted, sized_broadcast, table
 
 U64 = np.uint64
 GROUPS = 64
@@ -53,6 +62,9 @@ SET_BYTES = 12 << 20
 POINT_BYTES = 2 << 20
 #: A block of more classes than this is not compared with others for being the same.
 BLOCK_ROWS = 1 << 18
+#: One class in PROBE has its signatures counted beforehand; one met by about HOT_ROWS classes or more is dealt out.
+PROBE = 32
+HOT_ROWS = 1 << 16
 
 
 # --- sets and signatures ------------------------------------------------------
@@ -155,18 +167,24 @@ def _coarse(counts: np.ndarray, groups: int) -> np.ndarray:
     return counts if len(counts) == groups else counts.reshape(groups, -1).sum(axis=1)
 
 
-def _describe(width: int):
-    """Rows (doc_id, text) to (doc_id, n, c, point): size and key of each set, and its size and group counts as bytes."""
+def _describe(width: int, t: float):
+    """Rows (doc_id, rid, text) to (doc_id, rid, n, c, point, probe).
+
+    n, c: size and key of the set; point: its size and group counts as bytes;
+    probe: the signatures of one class in PROBE.
+    """
 
     def task(batches):
         for batch in batches:
-            n, keys, points = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+            n, keys, points, probes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], []
             for _, _, texts in K.slices(batch):
                 h, first = sets(texts, width)
                 n.append(np.diff(first))
-                keys.append(_class_keys(h, first).view(np.int64))
+                key = _class_keys(h, first)
+                keys.append(key.view(np.int64))
                 points += _points(h, first)
-            yield pa.record_batch([batch.column(0), pa.array(np.concatenate(n)), pa.array(np.concatenate(keys)), pa.array(points, pa.binary())], ["doc_id", "n", "c", "point"])
+                probes += [signatures(h[a:b], np.array([0, b - a]), t)[0].view(np.int64) if probed else None for a, b, probed in zip(first[:-1], first[1:], key % U64(PROBE) == 0, strict=True)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.concatenate(n)), pa.array(np.concatenate(keys)), pa.array(points, pa.binary()), pa.array(probes, pa.list_(pa.int64()))], ["doc_id", "rid", "n", "c", "point", "probe"])
 
     return task
 
@@ -187,37 +205,55 @@ def _sign(width: int, t: float):
     return task
 
 
+_BLOCK = ["b", "c"]
+
+
 def _blocks(batches):
-    """Rows (sig, c) sorted by both to (block, c) of blocks with more than one class, each set of classes once a task."""
+    """Rows (sig, c, hot) sorted by (hot, sig, c) to (block, c) of blocks with more than one class, each set of classes once a task.
+
+    Rows of a hot signature are one block each signature; this task has some of them only.
+    """
     seen: set[int] = set()
-    rest = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    none = np.zeros(0, np.int64)
 
-    def emit(sig: np.ndarray, c: np.ndarray):
-        fresh = np.ones(len(sig), bool)
-        fresh[1:] = (sig[1:] != sig[:-1]) | (c[1:] != c[:-1])
-        sig, c = sig[fresh], c[fresh]
+    def block_rows(sig: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(sig), pa.array(c)], _BLOCK)
+
+    def emit(sig: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        if not len(sig):
+            return block_rows(none, none)
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (c[1:] != c[:-1])
+        sig, c = sig[new], c[new]
         start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         n = np.diff(np.append(start, len(sig)))
-        total = np.add.reduceat(K.mix(c.view(np.uint64)), start) if len(start) else np.zeros(0, np.uint64)
+        total = np.add.reduceat(K.mix(c.view(np.uint64)), start)
         block = K.mix(total + n.astype(np.uint64)).view(np.int64)
-        new = np.zeros(len(start), bool)
+        several = np.zeros(len(start), bool)
         for i in np.flatnonzero(n > 1):
             if int(block[i]) not in seen:
                 seen.add(int(block[i]))
-                new[i] = True
+                several[i] = True
         if len(seen) > BLOCK_ROWS:
             seen.clear()
-        rows = np.repeat(new, n)
-        return pa.record_batch([pa.array(np.repeat(block, n)[rows]), pa.array(c[rows])], ["b", "c"])
+        rows = np.repeat(several, n)
+        return block_rows(np.repeat(block, n)[rows], c[rows])
 
+    rest = (none, none)
     for batch in batches:
-        sig, c = (np.concatenate([r, batch.column(k).to_numpy()]) for k, r in enumerate(rest))
+        sig, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        hot = batch.column(2).to_numpy(zero_copy_only=False)
+        if hot.any():
+            yield block_rows(sig[hot], c[hot])
+            sig, c = sig[~hot], c[~hot]
+        sig, c = np.concatenate([rest[0], sig]), np.concatenate([rest[1], c])
         if not len(sig):
             continue
         last = int(np.searchsorted(sig, sig[-1]))  # the last block may go on in the next batch
-        yield emit(sig[:last], c[:last])
-        rest = (sig[last:], np.unique(c[last:]))
-        rest = (np.full(len(rest[1]), sig[-1]), rest[1])
+        if last:
+            yield emit(sig[:last], c[:last])
+        open_ = np.unique(c[last:])
+        rest = (np.full(len(open_), sig[-1]), open_)
     yield emit(*rest)
 
 
@@ -349,52 +385,81 @@ def _link_rows(t_num: int, t_den: int, verify: bool):
 # --- the operator -------------------------------------------------------------
 
 
-def link(docs: DataFrame, width: int = 5, t_num: int = 80, t_den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; links: t_den * intersection >= t_num * union."""
-    spark = docs.sparkSession
+def seen_schema(rid: str) -> str:
+    return f"doc_id bigint, rid {rid}, n bigint, c bigint, point binary, probe array<bigint>"
+
+
+def _hot_signatures(named: DataFrame, n_classes: int) -> tuple[DataFrame, int]:
+    """(_hot) signatures that about HOT_ROWS classes or more share, as one class in PROBE shows."""
+    probes = named.where("probe is not null").select("c", F.explode("probe").alias("_hot")).distinct()
+    least = max(HOT_ROWS, n_classes // 32768) // PROBE
+    hot = cut(probes.groupBy("_hot").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("_hot"))
+    return hot, hot.count()
+
+
+def _linked(need: DataFrame, width: int, t_num: int, t_den: int) -> tuple[DataFrame, DataFrame]:
+    """need: (doc_id not null, rid, text). (rows (doc_id, rid, n, c) with words or without, classes (c, copies, component_id)).
+
+    component_id: the smallest doc_id of the component of texts that link.
+    """
+    spark = need.sparkSession
     ship(spark)
     t = t_num / t_den
-    need = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    seen = cut(need.mapInArrow(K.tidy(_describe(width)), "doc_id bigint, n bigint, c bigint, point binary"))
-    named = seen.where("n > 0 and doc_id is not null")
-    n_rows = seen.count()
-    classes = cut(named.groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")))
-    signed = need.where("doc_id is not null").select("text").mapInArrow(K.tidy(_sign(width, t)), "sig bigint, c bigint")
-    blocks = signed.repartition("sig").sortWithinPartitions("sig", "c").mapInArrow(K.tidy(_blocks), "b bigint, c bigint")
+    seen = cut(need.mapInArrow(K.tidy(_describe(width, t)), seen_schema(need.schema["rid"].dataType.simpleString())))
+    named = seen.where("n > 0")
+    classes = cut(named.groupBy("c").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    hot, n_hot = _hot_signatures(named, classes.count())
+    signed = need.select("text").mapInArrow(K.tidy(_sign(width, t)), "sig bigint, c bigint")
+    signed = signed.join(sized_broadcast(hot, 16.0 * n_hot), F.col("sig") == F.col("_hot"), "left") if n_hot else signed.withColumn("_hot", F.lit(None).cast("long"))
+    signed = signed.select("sig", "c", F.col("_hot").isNotNull().alias("hot"))
+    dealt = signed.repartition("sig", F.when(F.col("hot"), F.col("c"))) if n_hot else signed.repartition("sig")
+    blocks = dealt.sortWithinPartitions("hot", "sig", "c").mapInArrow(K.tidy(_blocks), "b bigint, c bigint")
     blocks = cut(blocks.groupBy("b", "c").agg(F.lit(1).alias("_one")).drop("_one"))
     met = cut(blocks.select(F.col("c").alias("_c")).distinct())
     n_met = met.count()
-    comps = None
-    if n_met:
-        points = named.join(sized_broadcast(met, 16.0 * n_met), F.col("c") == F.col("_c"), "left_semi").dropDuplicates(["c"]).select(F.col("c").alias("_c"), "point")
-        held = blocks.join(sized_broadcast(cut(points), 160.0 * n_met), F.col("c") == F.col("_c")).select(F.col("b").alias("region"), "c", F.col("point").alias("payload"))
-        near = _link_groups(held, POINT_BYTES, _link_rows(t_num, t_den, verify=False))
-        wanted = cut(classes.join(near, F.col("c") == F.col("node")).select("c", "rep", F.col("root").alias("region")))
-        texts = need.join(sized_broadcast(wanted.select("rep", "c", "region"), 32.0 * n_met), F.col("doc_id") == F.col("rep"))
-        comps = _link_groups(_elements(texts, width), SET_BYTES, _link_rows(t_num, t_den, verify=True))
     per = classes.select("c", "copies", F.col("rep").alias("component_id"))
-    if comps is not None:
-        reps = classes.select(F.col("c").alias("_c"), "rep")
-        labels = cut(comps.join(reps, F.col("node") == F.col("_c")).groupBy("root").agg(F.min("rep").alias("label"), F.count("*").alias("_n")))
-        named_comps = meet(comps, labels, "root", "_n", n_met).select(F.col("node").alias("_node"), "label")
-        per = per.join(named_comps, F.col("c") == F.col("_node"), "left").select("c", "copies", F.coalesce("label", "component_id").alias("component_id"))
-    out = meet(named.select("doc_id", "n", "c"), cut(per), "c", "copies", n_rows).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = seen.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone)
+    if not n_met:
+        return seen.select("doc_id", "rid", "n", "c"), per
+    points = cut(named.join(sized_broadcast(met, 16.0 * n_met), F.col("c") == F.col("_c"), "left_semi").dropDuplicates(["c"]).select(F.col("c").alias("_c"), "point"))
+    n_bytes = points.agg(F.sum(F.length("point") + 32)).first()[0] or 0
+    held = blocks.join(sized_broadcast(points, n_bytes), F.col("c") == F.col("_c")).select(F.col("b").alias("region"), "c", F.col("point").alias("payload"))
+    near = _link_groups(held, POINT_BYTES, _link_rows(t_num, t_den, verify=False))
+    wanted = cut(classes.join(near, F.col("c") == F.col("node")).select("c", "rep", F.col("root").alias("region")))
+    texts = need.join(sized_broadcast(wanted.select("rep", "c", "region"), 32.0 * n_met), F.col("doc_id") == F.col("rep"))
+    comps = _link_groups(_elements(texts, width), SET_BYTES, _link_rows(t_num, t_den, verify=True))
+    reps = classes.select(F.col("c").alias("_c"), "rep")
+    labels = cut(comps.join(reps, F.col("node") == F.col("_c")).groupBy("root").agg(F.min("rep").alias("label"), F.count("*").alias("_n")))
+    named_comps = meet(comps, labels, "root", "_n", n_met).select(F.col("node").alias("_node"), "label")
+    per = per.join(named_comps, F.col("c") == F.col("_node"), "left").select("c", "copies", F.coalesce("label", "component_id").alias("component_id"))
+    return seen.select("doc_id", "rid", "n", "c"), per
+
+
+def link(docs: DataFrame, width: int = 5, t_num: int = 80, t_den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; links: t_den * intersection >= t_num * union."""
+    all_rows = docs.select(F.col(id_col).alias("doc_id"), F.lit(None).cast("long").alias("rid"), F.col(text_col).alias("text"))
+    seen, per = _linked(all_rows.where("doc_id is not null"), width, t_num, t_den)
+    out = meet(seen.where("n > 0").select("doc_id", "n", "c"), cut(per), "c", "copies", seen.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    wordless = seen.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    nameless = all_rows.where("doc_id is null").mapInArrow(K.tidy(_describe(width, t_num / t_den)), seen_schema("bigint"))
+    return out.unionByName(wordless).unionByName(nameless.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def _elements(texts: DataFrame, width: int) -> DataFrame:
     """(region, c, payload): the set of each class as bytes of ascending longs."""
 
     def task(batches):
+        done: set[int] = set()  # copies that share an id: a class once a task, as far as memory goes
         for batch in batches:
             c = batch.column(1).to_numpy()
             out, keep = [], []
+            if len(done) > BLOCK_ROWS:
+                done.clear()
             for a, _, t in K.slices(batch):
                 h, first = sets(t, width)
                 keys = _class_keys(h, first).view(np.int64)
                 for i in range(len(t)):
-                    if keys[i] == c[a + i]:
+                    if keys[i] == c[a + i] and int(keys[i]) not in done:
+                        done.add(int(keys[i]))
                         keep.append(a + i)
                         out.append(np.sort(h[first[i] : first[i + 1]]).tobytes())
             yield pa.record_batch([batch.column(2).take(pa.array(keep, pa.int64())), pa.array(c[keep]), pa.array(out, pa.binary())], ["region", "c", "payload"])
@@ -463,11 +528,42 @@ def _link_large(big: DataFrame, limit: int, work) -> DataFrame:
     return found.unionByName(cut(cross))
 
 
-def drop_near_copies(docs: DataFrame, width: int = 5, t_num: int = 80, t_den: int = 100) -> DataFrame:
-    """docs with one document of each group of linked ones (the smallest id); all columns kept."""
-    linked = link(docs, width, t_num, t_den)
-    gone = cut(linked.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(sized_broadcast(gone, 16.0 * gone.count()), F.col("doc_id") == F.col("_gone"), "left_anti")
+def drop_near_copies(docs: DataFrame, width: int = 5, t_num: int = 80, t_den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of linked texts; all columns kept.
+
+    Only narrow rows (id, hash of the text, class) are grouped.  What becomes
+    of them is a table of the rows that go and of rows equal in id and text;
+    where it is too large to broadcast, a Bloom filter of it lets all rows that
+    surely stay pass in place.
+    """
+    names = quoted(docs.columns)
+    mark = F.xxhash64(text_col)
+    need = docs.select(mark.alias("doc_id"), F.col(id_col).alias("rid"), F.col(text_col).alias("text"))
+    seen, per = _linked(need, width, t_num, t_den)
+    n_rows = seen.count()
+    rows = cut(meet(seen.where("n > 0").select("rid", F.col("doc_id").alias("mark"), "c"), cut(per), "c", "copies", n_rows).select("rid", "mark", "component_id"))
+    order = F.struct(F.col("rid").isNull().alias("none"), F.col("rid").alias("id"), "mark")
+    groups = cut(rows.groupBy("component_id").agg(F.min(order).alias("keep"), F.count("*").alias("many")).where("many > 1"))
+    stays = (F.col("rid").eqNullSafe(F.col("keep.id"))) & (F.col("mark") == F.col("keep.mark"))
+    verdicts = meet(rows, groups, "component_id", "many", n_rows).select("rid", "mark", stays.alias("stays"))
+    verdicts = cut(verdicts.groupBy("rid", "mark").agg(F.max("stays").alias("stays"), F.count("*").alias("many")).where("not stays or many > 1"))
+    n_verdicts = verdicts.count()
+    v_id, v_mark, v_stays, key, perhaps = fresh(docs, "rid", "mark", "stays", "key", "perhaps")
+    verdicts = verdicts.select(F.col("rid").alias(v_id), F.col("mark").alias(v_mark), F.col("stays").alias(v_stays))
+    small = 40.0 * n_verdicts <= BROADCAST_BYTES
+    keyed, alone = docs, None
+    if not small:
+        m = bloom.slots_for(docs.sparkSession, n_verdicts)
+        bits = cut(bloom.build(verdicts.select(F.xxhash64(v_id, v_mark).alias(key)), F.col(key), m, least=1))
+        keyed = bloom.tested(docs.withColumn(key, F.xxhash64(id_col, mark)), F.col(key), bits, m, perhaps)
+        alone = keyed.where(~F.col(perhaps)).select(*names)
+        keyed = keyed.where(F.col(perhaps))
+    met = keyed.join(F.broadcast(verdicts) if small else verdicts, F.col(id_col).eqNullSafe(F.col(v_id)) & (mark == F.col(v_mark)), "left")
+    out = met.where(F.col(v_stays).isNull()).select(*names)
+    if not verdicts.where(F.col(v_stays)).isEmpty():  # of rows equal in id and text the least by all columns
+        again = met.where(F.col(v_stays)).groupBy(v_id, v_mark).agg(F.min(F.struct(*names)).alias("least"))
+        out = out.unionByName(again.select("least.*"))
+    return alone.unionByName(out) if alone is not None else out
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
