@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from concordia.llm import exact_dedup, html_extract, jaccard_join, kernel, linear, mixing, quality_classifier, quality_rules, registry, secret_scan, suffix_dedup, tokens, toxicity
+from concordia.llm import bloom, exact_dedup, html_extract, jaccard_join, kernel, linear, mixing, quality_classifier, quality_rules, registry, secret_scan, store, suffix_dedup, tokens, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -117,7 +117,8 @@ def test_html_equal_texts_are_not_template_text(spark, monkeypatch):
     for limit in (html_extract.BROADCAST_BYTES, -1):
         monkeypatch.setattr(html_extract, "BROADCAST_BYTES", limit)
         got = _texts(spark, rows)
-        assert all(got[i] == f"{licence * 2}and it goes on with {i}." for i in range(6))
+        # the heading stands outside the container of most text, and is the article's all the same
+        assert all(got[i] == f"Title {i}\n\n{licence * 2}and it goes on with {i}." for i in range(6))
         assert all("A title" in got[i] and licence.strip() in got[i] and "Menu" not in got[i] for i in range(10, 16))
         assert got[20].count("nil") == 3
         assert all(got[i] == f"Weather\n\n{licence}{i}" for i in range(30, 36))
@@ -142,6 +143,79 @@ def test_wrapper_alignment_generalises():
     assert html_extract.align(w, a) == w and html_extract.align(w, b) == w
 
 
+@pytest.mark.parametrize("table", [None, 0])
+def test_wrappers_match_all_their_pages(table, monkeypatch):
+    """Random pages whose blocks are much alike: nearly each text has a place in the wrapper, in page order, by the table and by the walk."""
+    if table is not None:
+        monkeypatch.setattr(html_extract, "TABLE", table)
+    rng = np.random.default_rng(5)
+
+    def some(depth):
+        out = ""
+        for _ in range(int(rng.integers(0, 6))):
+            tag = ["div", "p", "section", "ul"][int(rng.integers(0, 4))]
+            if tag == "p" or depth == 0:
+                out += f"<{tag}>t{int(rng.integers(0, 99))}</{tag}>"
+            else:
+                out += f"<{tag} class='{'abc'[int(rng.integers(0, 3))]}'>{some(depth - 1)}</{tag}>" * int(rng.integers(1, 4))
+        return out
+
+    missed = texts = 0
+    for _ in range(40):
+        pages = [f"<body>{some(3)}</body>" for _ in range(8)]
+        wrapper = json.loads(html_extract.stream(pages[0]))
+        for p in pages[1:]:
+            wrapper = html_extract.align(wrapper, json.loads(html_extract.stream(p)))
+        level = html_extract.Level(wrapper)
+        for p in pages:
+            tokens = list(html_extract.read(p))
+            found = html_extract.match(tokens, level)
+            assert [(t, x) for _, t, x in found] == [v for k, v in tokens if k == "#"]
+            texts += len(found)
+            missed += sum(html_extract.AT not in slot.rsplit("/", 1)[1] for slot, _, _ in found)
+    assert texts > 500 and missed <= (0.1 if table is None else 0.15) * texts
+
+
+def test_alignment_decides(spark, monkeypatch):
+    """Blocks alike in tag, name and path: only their places in the wrapper tell a tagline from an article."""
+    def page(i):
+        extra = "<ul><li>Point</li></ul>" if i % 2 else "<table><tr><td>Cell</td></tr></table>"
+        text = f"<h1>Title {i}</h1><div>{f'Words of page {i}. ' * 8}</div>"
+        return f"<body>{text}</body>" if i % 3 == 0 else f"<body><div>Your daily paper</div>{text}{extra}<hr><div>All rights reserved</div></body>"
+
+    rows = [(i, "http://place.example/x", page(i)) for i in range(12)]
+    want = {i: f"Title {i}\n\n{(f'Words of page {i}. ' * 8).strip()}" for i in range(12)}
+    assert _texts(spark, rows) == want
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", -1)
+    assert _texts(spark, rows) == want
+    monkeypatch.setattr(html_extract, "_align_batches", _first_only)
+    assert _texts(spark, rows) != want
+
+
+def _first_only(batches):
+    for batch in batches:
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array([min(x, key=len) for x in batch.column(2).to_pylist()], pa.string())], ["host", "chunk", "shape"])
+
+
+def test_html_that_is_badly_written(spark):
+    rows = [
+        (1, "http://bad.example/1", "<p title=it's>one</p><p title=\"two>2\">two</p>"),
+        (2, "http://bad.example/2", "<div><p>cut <b off"),
+        (3, "http://bad.example/3", "<p>a < b and c > d</p>"),
+        (4, "http://bad.example/4", "<p>one\u00a0two\u3000three\n four</p>"),
+        (5, "http://bad.example/5", "<div class='w-1/2 a b c d hidden-xs'><p>slash</p></div>"),
+        (6, "http://bad.example/6", "".join(f"<{'ph'[k % 2]}{'1' * (k % 2)}>t{k}</{'ph'[k % 2]}{'1' * (k % 2)}><hr>" for k in range(4000))),
+        (7, "http://bad.example/7", "<p>" + "<div>" * 3000 + "deep"),
+        (8, None, None), (8, None, None), (None, "not a url", "<p>x</p>"),
+    ]
+    found = html_extract.extract(spark.createDataFrame([(*r, "mine") for r in rows], "page_id long, url string, html string, text string"))
+    got = {r.page_id: r.text for r in found.collect()}
+    assert found.count() == len(rows)
+    assert got[1] == "one\n\ntwo" and got[2] == "cut" and got[3] == "a < b and c > d" and got[4] == "one two three four" and got[5] == "slash"
+    assert got[6].count("\n\n") == 3999 and got[7] == "deep" and got[8] == "" and got[None] == "x"
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 # --- op2, op4, op10 --------------------------------------------------------------
 
 
@@ -221,28 +295,125 @@ def test_quality_classifier_odd_texts(spark, sf, odd):
     assert {r.score for r in quality_classifier.score(odd, labels(spark, sf).limit(0)).collect()} == {0.5}
 
 
+TOXIC_HELD_OUT = 0.78
+
+
 def test_toxicity_held_out_and_odd(spark, odd):
     d = _big(spark)
     got = {r.doc_id: r for r in toxicity.op10_toxicity(spark, d).collect()}
     known = [r for r in labels(spark, d).collect() if _held(r.doc_id)]
     toxic = [got[r.doc_id].toxic for r in known if r.toxic]
     clean = [got[r.doc_id].toxic for r in known if not r.toxic]
-    assert sum(toxic) / len(toxic) > 0.75 and sum(clean) / len(clean) < 0.02
-    clash = odd.withColumn("p_toxic", F.lit("mine")).withColumn("toxic", F.lit("mine"))
+    assert sum(toxic) / len(toxic) > TOXIC_HELD_OUT and sum(clean) / len(clean) < 0.02
+    clash = odd.withColumn("p_toxic", F.lit("mine")).withColumn("toxic", F.lit("mine")).withColumn("_toxic", F.lit("mine")).withColumn("_p_unfit", F.lit("mine"))
     kept = toxicity.drop_toxic(clash, labels(spark, d))
-    assert kept.columns == clash.columns and kept.count() == len(ODD) and {r.toxic for r in kept.collect()} == {"mine"}
+    assert kept.columns == clash.columns and kept.count() == len(ODD) and {x for r in kept.collect() for x in r[-4:]} == {"mine"}
     assert toxicity.drop_toxic(odd, labels(spark, d).limit(0)).count() == len(ODD)
+    assert toxicity.drop_toxic(odd.limit(0), labels(spark, d)).count() == 0
+    assert toxicity.drop_toxic(odd.union(odd), labels(spark, d)).count() == 2 * len(ODD)
 
 
-def test_chain_feeds_earlier_categories():
+def test_chain_feeds_earlier_categories(spark):
+    """Three categories of their own labels; the last is hard to see in the words but follows the first two."""
     rng = np.random.default_rng(2)
-    y = rng.random(400) < 0.4
-    rows = [np.unique(np.append(rng.integers(0, 3000, 15), [5000 + int(rng.integers(0, 2))] if t else [6000])).astype(np.int32) for t in y]
-    m = toxicity.fit_chain(rows, toxicity.derive_categories(rows, y))
+    one, two = rng.random(900) < 0.4, rng.random(900) < 0.4
+    last = one & two
+    rows = [np.unique(np.concatenate([rng.integers(0, 3000, 15), [5000 + int(rng.integers(0, 40))] if a else [6000], [5100 + int(rng.integers(0, 40))] if b else [6001]])).astype(np.int32) for a, b in zip(one, two)]
+    y = np.stack([one, two, last], axis=1).astype(float)
+    y[::10, 0] = np.nan
+    m = toxicity.fit_chain(rows, y)
     first = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
     p = toxicity.chain_probabilities(first, np.concatenate(rows), m)
-    assert p.shape == (400, 3) and ((p[:, 2] >= m["threshold"][0]) == y).mean() > 0.97
-    assert np.abs(m["weights"][2, toxicity.SIZE : toxicity.SIZE + 2]).sum() > 0
+    assert p.shape == (900, 3) and ((p[:, 2] >= m["threshold"][0]) == last).mean() > 0.93
+    fed = m["weights"][2, toxicity.SIZE : toxicity.SIZE + 2]
+    assert (fed > 0).all()
+    apart = toxicity.fit_chain(rows, y, side_by_side=lambda n, work: [work(f) for f in reversed(range(n))][::-1])
+    assert all((m[k] == apart[k]).all() for k in m)
+
+
+def test_toxicity_scores_equal_plain_arithmetic(spark, sf, odd):
+    """Every score recomputed word by word with Python's integers from the model's weights."""
+    model = toxicity.fit(spark.read.parquet(f"{_big(spark)}/documents.parquet"), labels(spark, _big(spark)), sample_rows=600)
+    texts = {k: t for k, (_, t) in enumerate(ODD)} | {100 + r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()[:60]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for i, t in texts.items():
+        ids = set()
+        for w in plain_words(t):
+            end = w
+            for _ in range(2):
+                end = end[:-1] if len(end) > 1 and end[-1] in b".,!?;:" else end
+            ids.add(plain_mix(plain_hash(end) + 1) >> (64 - toxicity.BITS))
+            for f, n in enumerate((5, 6, 7), 1):
+                if len(end) > n:
+                    ids.add((f << toxicity.BITS) + (plain_mix(plain_hash(end[:n]) + 64 + n) >> (64 - toxicity.BITS)))
+        fed = []
+        for c in range(2):
+            z = model["bias"][c] + sum(float(model["weights"][c][x]) for x in ids) + sum(a * float(model["weights"][c][toxicity.SIZE + k]) for k, a in enumerate(fed))
+            p = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+            assert abs(got[i][f"p_{['unfit', 'toxic'][c]}"] - p) < 1e-6, (i, c)
+            fed.append(np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4))) / 4)
+        assert got[i].toxic == (p >= model["threshold"][0])
+
+
+def plain_words(t):
+    return [w.encode() for w in WORD.findall((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))]
+
+
+def plain_mix(h):
+    m = (1 << 64) - 1
+    h &= m
+    h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) & m
+    h = ((h ^ h >> 27) * 0x94D049BB133111EB) & m
+    return h ^ h >> 31
+
+
+def plain_hash(word):
+    base, m = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
+    return plain_mix(sum((b + 1) * pow(base, k, 1 << 64) for k, b in enumerate(word)) + len(word) * 0xD6E8FEB86659FD93 & m)
+
+
+def test_quality_scores_equal_plain_arithmetic(spark, sf):
+    model = quality_classifier.fit(spark.read.parquet(f"{_big(spark)}/documents.parquet"), labels(spark, _big(spark)), sample_rows=600)
+    texts = {k: t for k, (_, t) in enumerate(ODD)} | {100 + r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()[:60]}
+    docs = spark.createDataFrame(list(texts.items()) + [(0, None)], "doc_id long, text string").withColumn("score", F.lit("mine"))
+    got = quality_classifier.score_with(docs, model).collect()
+    assert len(got) == len(texts) + 1 and quality_classifier.score_with(docs.limit(0), model).count() == 0
+    shift = 64 - quality_classifier.BITS
+    for i, score in got:
+        h = [plain_hash(w) for w in plain_words(texts[i])]
+        ids = {plain_mix(x + 1) >> shift for x in h}
+        ids |= {(1 << quality_classifier.BITS) + (plain_mix(2 if a == b else a * 0x9FB21C651E98DF25 + b) >> shift) for a, b in zip(h, h[1:])}
+        z = model["bias"][0] + sum(float(model["weights"][x]) for x in ids)
+        assert abs(score - 1 / (1 + np.exp(-np.clip(z, -35, 35)))) < 1e-6, i
+
+
+def test_ftrl_equals_plain_updates():
+    """The updates written out one coordinate at a time."""
+    rng = np.random.default_rng(8)
+    rows = [(np.unique(rng.integers(0, 40, 6)), None) for _ in range(60)]
+    rows = [(i, np.ones(len(i))) for i, _ in rows]
+    y = rng.integers(0, 2, 60).astype(float)
+    alpha, beta, l1, l2 = 0.7, 1.0, 0.3, 0.05
+    bias, w = linear.fit_ftrl(rows, y, 40, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=3)
+    z, n = [0.0] * 41, [0.0] * 41
+
+    def weight(i):
+        one = 0.0 if i == 40 else l1
+        return 0.0 if abs(z[i]) <= one else -(z[i] - np.sign(z[i]) * one) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    order, shuffle = np.arange(60), np.random.default_rng(7)
+    for _ in range(3):
+        shuffle.shuffle(order)
+        for r in order:
+            ids = [*rows[r][0].tolist(), 40]
+            now = {i: weight(i) for i in ids}
+            g = 1 / (1 + np.exp(-sum(now.values()))) - y[r]
+            for i in ids:
+                s = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha
+                z[i] += g - s * now[i]
+                n[i] += g * g
+    assert abs(bias - weight(40)) < 1e-9 and max(abs(w[i] - weight(i)) for i in range(40)) < 1e-9
 
 
 # --- op3 -------------------------------------------------------------------------
@@ -297,6 +468,28 @@ def test_secrets_in_words_without_spaces(spark):
     assert all(found[k].is_secret for k in ((1, h(a)), (1, h(b)), (2, h(a)), (2, h(b)), (3, h(block)), (3, h(b))))
 
 
+def test_secrets_planted_in_documents(spark):
+    """Recall and precision over every planted assignment of a key in the tables (40 hex digits after a quoted token)."""
+    d = _big(spark)
+    want = set()
+    for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect():
+        want |= {(r.doc_id, hashlib.sha256(m[1].encode()).hexdigest()) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r.text or "")}
+    rows = secret_scan.op5_secret_scan(spark, d).collect()
+    got = {(r.doc_id, r.value_sha256) for r in rows if r.is_secret}
+    assert len(want) > 100 and len(want & got) >= 0.99 * len(want) and len(want & got) >= 0.95 * len(got)
+    assert len(rows) > 3 * len(got)  # what the forest takes away
+
+
+def test_secrets_in_very_long_words(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, "a" * 1_000_000), (2, "!" * 1_000_000 + "a"), (3, f'{"b" * 300_000} token = "{key}" {"," * 300_000}x'), (4, "")]
+    got = secret_scan.scan(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.value_sha256) for r in got if r.is_secret} == {(3, hashlib.sha256(key.encode()).hexdigest())}
+    assert secret_scan.scan(frame(spark, rows).limit(0)).count() == 0
+    twice = frame(spark, [(3, f'token = "{key}"')] * 2)
+    assert secret_scan.scan(twice).count() == 2
+
+
 def test_forest_generalises(spark):
     model = secret_scan.train(spark)
     other = spark.createDataFrame(secret_scan.labelled_findings(seed=9, each=12), "word string, value string, before string, after string, secret int")
@@ -375,7 +568,62 @@ def test_jaccard_join_odd_texts_and_real_ones(spark, sf, rows):
     assert Counter(map(tuple, jaccard_join.link(frame(spark, plain), 3, 90, 100).collect())) == linked(plain, 3, 90, 100)
     assert jaccard_join.link(frame(spark, plain).limit(0)).count() == 0
     kept = jaccard_join.drop_near_copies(frame(spark, plain).withColumn("component_id", F.lit(1)))
-    assert kept.columns[-1] == "component_id" and {r.doc_id for r in kept.collect()} == {1, 2, 3, 4, 6, 7, 8, 10, 11, None}
+    # the row without an id is a copy of row 4 as row 5 is, and goes as it does
+    assert kept.columns[-1] == "component_id" and {r.doc_id for r in kept.collect()} == {1, 2, 3, 4, 6, 7, 8, 10, 11}
+
+
+@pytest.mark.parametrize(("n", "hot"), [(3000, None), (3000, 320), (9000, None)])
+def test_jaccard_join_of_one_large_group(spark, n, hot, monkeypatch):
+    """Signatures longer than an Arrow batch, dealt out or not; 200 chunks."""
+    if hot:
+        monkeypatch.setattr(jaccard_join, "HOT_ROWS", hot)
+        monkeypatch.setattr(jaccard_join, "POINT_BYTES", 1 << 12)
+    rng = np.random.default_rng(0)
+    base = [f"w{i}" for i in rng.integers(0, 400, 60)]
+    rows = []
+    for k in range(n):
+        words = list(base)
+        if k % 2 or k % 7 == 0:
+            words[int(rng.integers(0, 60))] = f"x{int(rng.integers(0, 99999))}"
+        rows.append((k, " ".join(words)))
+    rows += [(n + k, " ".join(f"y{k}z{j}" for j in range(30))) for k in range(50)]
+    got = Counter(map(tuple, jaccard_join.link(frame(spark, rows).repartition(7), 3, 90, 100).collect()))
+    if n < 5000:
+        assert got == linked(rows, 3, 90, 100)
+    assert len(got) == len(rows) and {c for i, _, c in got if i < n} == {0} and all(c == i for i, _, c in got if i >= n)
+
+
+def test_jaccard_join_of_empty_partitions(spark):
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for rows in ([(1, "a b c d")], [(1, "a b c d"), (2, "a b c d"), (3, None)], [(1, "")]):
+            assert Counter(map(tuple, jaccard_join.link(frame(spark, rows), 3, 90, 100).collect())) == linked(rows, 3, 90, 100)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_near_copies_go_row_by_row(spark, near_rows, limit, monkeypatch):
+    """Rows are told apart by id and text, against brute force; with a broadcast and with the filter."""
+    if limit is not None:
+        monkeypatch.setattr(jaccard_join, "BROADCAST_BYTES", limit)
+    rows = [(i % 90 if i % 11 else None, t) for i, t in near_rows] + [(1, "only here and nowhere else at all"), (1, "only here and nowhere else at all"), (7, ""), (7, ""), (None, None)]
+    rows = list(zip(range(len(rows)), rows))
+    groups = defaultdict(list)
+    for k, _, c in linked([(k, t) for k, (_, t) in rows], 5, 80, 100):
+        groups[c].append(k)
+    docs = spark.createDataFrame([(i, t, k, "x") for k, (i, t) in rows], "doc_id long, text string, _rid long, _stays string")
+    kept = jaccard_join.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    got = Counter(r["_rid"] for r in kept.collect())
+    assert max(got.values()) == 1
+    group_of = {k: c for c, ks in groups.items() for k in ks}
+    left = defaultdict(list)
+    for k in got:
+        left[group_of[k]].append(k)
+    for c, ks in groups.items():
+        assert len(left[c]) == 1 and rows[left[c][0]][1][0] == min((rows[k][1][0] for k in ks), key=lambda i: (i is None, i)), c
 
 
 def test_tree_bound_never_loses_a_point():
@@ -485,6 +733,25 @@ def test_mix_odd_texts_and_copies(spark, odd):
     assert mixing.take(odd.limit(0)).count() == 0
 
 
+def test_mix_loses_no_copy_of_rows_that_look_alike(spark):
+    """Null, equal and repeated ids, clashing names: rows out are the copies that the rounding gave."""
+    rows = [(None, f"null id {k % 3} " * 9) for k in range(60)] + [(1, f"one id {k} of many " * 5) for k in range(40)] + [(2, "all the same words")] * 90 + [(k, "w " * (k % 50)) for k in range(100, 400)]
+    docs = spark.createDataFrame([(i, t, "ab"[k % 2] if k % 5 else None, k, "mine") for k, (i, t) in enumerate(rows)], "doc_id long, text string, source string, _copy long, _total string").repartition(5, "_copy")
+    for name in ("_id0", "_copies", "_size", "copies", "mark", "row", "share", "total"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    want, words = Counter(), 0
+    for r in mixing.take(docs).collect():
+        want[(r.source, r.doc_id, r.mark)] += r.copies
+        words += r.copies * r["size"]
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    marked = mixed.withColumn("_m", F.xxhash64("text")).collect()
+    assert Counter((r.source, r.doc_id, r["_m"]) for r in marked) == Counter({k: v for k, v in want.items() if v})
+    assert sum(len(WORD.findall(r.text)) for r in marked) == words and {r["_total"] for r in marked} == {"mine"}
+    each = Counter(r["_copy"] for r in marked)
+    assert max(each.values()) <= 3
+
+
 def test_meetings_conserve_mass_and_chance_is_fair(spark):
     units = spark.range(600).select(F.lit("s").alias("source"), F.lit(600).cast("long").alias("n_docs"), F.xxhash64("id").alias("key"), F.struct("id").alias("row"), (1 + F.col("id") % 7).cast("double").alias("w"), F.lit(0.3).alias("x"))
     took = []
@@ -518,8 +785,32 @@ def test_exact_dedup(spark, odd):
     assert "Python" not in kept._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("most", [None, 8192])
+def test_exact_dedup_moves_no_lone_row(spark, most, monkeypatch):
+    """Clashing names, and a filter at its bound: lone rows that miss it pass no exchange."""
+    if most:
+        monkeypatch.setattr(bloom, "filter_bytes", lambda spark: most)
+    rows = [(i, f"text {i}" if i % 10 else f"copy {i % 30}") for i in range(4000)]
+    docs = frame(spark, rows)
+    for name in ("_sha", "_again", "_bits0", "_slot1", "_place0", "_hit0", "least", "row", "keep", "a.b"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns and {x for r in kept.collect() for x in r[5:]} == {"mine"}
+    assert Counter(r.doc_id for r in kept.collect()) == Counter({min(j for j, u in rows if u == t): 1 for t in {t for _, t in rows}})
+    # the side of lone rows is a plan of its own without any shuffle but those of broadcast filters
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = exact_dedup.drop_copies(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+    bits, m = exact_dedup.repeat_filter(docs.select(exact_dedup.digest(F.col("text")).alias("k")), "k")
+    hit = bloom.tested(docs.select("doc_id", exact_dedup.digest(F.col("text")).alias("k")), F.col("k"), bits, m, "hit").where("hit").count()
+    assert 400 <= hit < (450 if most is None else 800), (hit, m)
+
+
 def test_exact_dedup_with_heavy_and_light_groups(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "HEAVY_GROUPS", 4)
+    monkeypatch.setattr(store, "HEAVY", 4)
     rows = [(i, "hot" if i % 3 == 0 else f"t{i % 50}" if i % 3 == 1 else f"u{i}") for i in range(600)]
     got = exact_dedup.duplicate_groups(frame(spark, rows)).collect()
     sizes = Counter(t for _, t in rows)
