@@ -87,25 +87,55 @@ def _bounded(pattern: str) -> str:
     return lead + (rest[:-2] + _END if rest.endswith(r"\b") else rest)
 
 
+#: One of these is in every text that holds a credential of a kind with a fixed beginning, or a label of one.
+_BEGINNINGS = ("sk-", "AIza", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "hf_", "AKIA", "xox", "k_live_", "k_test_", "npm_", "eyJ", "PRIVATE KEY-----")
+_LABEL_PARTS = ("api", "token", "secret", "passw", "bearer", "密")
+
+
+def may_hold_credentials(text: Column) -> Column:
+    """False only for a text that ``redact`` would leave as it is: plain searches that most texts fail."""
+    low = F.lower(text)
+    tests = [F.contains(text, F.lit(x)) for x in _BEGINNINGS] + [F.contains(low, F.lit(x)) for x in _LABEL_PARTS]
+    return reduce(lambda a, b: a | b, tests) | text.rlike(r"[0-9a-f]{32}\.")
+
+
 def redact(text: Column) -> Column:
     """text with every credential replaced by a placeholder that names its kind."""
     out = text
     for kind, pattern in CREDENTIALS:
         out = F.regexp_replace(out, _bounded(pattern), f"[REDACTED:{kind}]")
-    return F.regexp_replace(out, _LABELLED, "$1[REDACTED:labelled]$3")
+    return F.when(may_hold_credentials(text), F.regexp_replace(out, _LABELLED, "$1[REDACTED:labelled]$3")).otherwise(text)
+
+
+def has_credentials(text: Column) -> Column:
+    """Whether ``redact`` would replace anything."""
+    patterns = [_bounded(p) for _, p in CREDENTIALS]
+    return may_hold_credentials(text) & reduce(lambda a, p: a | text.rlike(p), [*patterns, _LABELLED], F.lit(False))
 
 
-def redactions(text: Column) -> Column:
-    """How many credentials ``redact`` replaces (counted on what it leaves; placeholders in the input do not count)."""
+def redactions(text: Column, redacted: Column | None = None) -> Column:
+    """How many credentials ``redact`` replaces (counted on what it leaves; placeholders in the input do not count).
+
+    redacted: what ``redact`` left, where that is a column already.
+    """
     kinds = "|".join(k for k, _ in CREDENTIALS) + "|labelled"
     mark = F.lit(rf"\[REDACTED:(?:{kinds})\]")
-    return (F.regexp_count(redact(text), mark) - F.regexp_count(text, mark)).cast("long")
+    after = redact(text) if redacted is None else redacted
+    return F.when(after == text, F.lit(0)).otherwise(F.regexp_count(after, mark) - F.regexp_count(text, mark)).cast("long")
 
 
 def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long")
 
 
+def utf16_tail(text: Column, units: int) -> Column:
+    """The last ``units`` UTF-16 units of a text; half of a character that the cut falls into goes."""
+    wide = F.encode(text, "UTF-16BE")
+    tail = F.substring(wide, F.greatest(F.octet_length(wide) - 2 * units, F.lit(0)) + 1, F.lit(2 * units))
+    low_half = F.hex(F.substring(tail, F.lit(1), F.lit(1))).between("DC", "DF")
+    return F.decode(F.when(low_half, F.substring(tail, F.lit(3), F.lit(2 * units))).otherwise(tail), "UTF-16BE")
+
+
 def token_estimate(text: Column) -> Column:
     """Four UTF-16 units are a token, rounded up."""
     return F.ceil(utf16_length(text) / 4).cast("long")
@@ -132,6 +162,13 @@ def relevance(haystack: Column, query: str | None) -> Column:
     return hits / F.lit(float(len(terms)))
 
 
+def relevance_to(haystack: Column, query: Column) -> Column:
+    """As ``relevance``, with a query for each row; a null query is one without words."""
+    terms = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(query, F.lit(""))), f"{_SPACE}+"), lambda t: F.length(t) >= 3))
+    hits = F.size(F.filter(terms, lambda t: F.contains(F.lower(haystack), t)))
+    return F.when(F.size(terms) > 0, hits / F.size(terms)).otherwise(0.0)
+
+
 def json_object(text: Column) -> Column:
     """The first JSON object of a model's answer: inside a code fence if there is one, from the first { to the last }."""
     fence = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)

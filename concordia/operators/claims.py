@@ -27,10 +27,10 @@ def blocks(messages: DataFrame, reasoning: bool = True, injected: bool = False)
     if not reasoning:
         rows = rows.where("block_type <> 'reasoning'")
     role = F.coalesce("role", F.lit("assistant"))
-    return rows.select(
-        *[c for c in messages.columns if c not in ("blocks", "role")],
-        role.alias("role"), "injected", "block_idx", "block_type", T.trim(T.redact(F.col("b.text"))).alias("text"), T.redactions(F.col("b.text")).alias("redacted"),
-    ).where(F.length("text") > 0)
+    kept = [*[c for c in messages.columns if c not in ("blocks", "role")], role.alias("role"), "injected", "block_idx", "block_type"]
+    rows = rows.select(*kept, F.col("b.text").alias("text"), T.redact(F.col("b.text")).alias("_clean"))
+    count = T.redactions(F.col("text"), F.col("_clean"))
+    return rows.withColumns({"redacted": count, "text": T.trim(F.col("_clean"))}).drop("_clean").where(F.length("text") > 0)
 
 
 def claims(messages: DataFrame, strategy: str = "exact", reasoning: bool = True, injected: bool = False) -> DataFrame:
@@ -61,7 +61,7 @@ def flatten(messages: DataFrame, max_chars: int = 6000, reasoning: bool = True,
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "block_idx", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"), F.sum("redacted").alias("redacted")
     )
     long = T.utf16_length(F.col("text")) > max_chars
-    return per.select("session_id", F.when(long, F.concat(F.lit(CUT_MARK), F.right("text", F.lit(max_chars)))).otherwise(F.col("text")).alias("text"), long.alias("truncated"), "redacted")
+    return per.select("session_id", F.when(long, F.concat(F.lit(CUT_MARK), T.utf16_tail(F.col("text"), max_chars))).otherwise(F.col("text")).alias("text"), long.alias("truncated"), "redacted")
 
 
 def truncate_lines(texts: DataFrame, budget_tokens: int, key: str = "session_id") -> DataFrame:
@@ -81,3 +81,23 @@ def latest_user_text(messages: DataFrame) -> DataFrame:
     """The last non-blank text of a user in each session."""
     rows = blocks(messages).where("role = 'user'")
     return rows.groupBy("session_id").agg(F.max_by("text", F.struct("seq", "block_idx")).alias("text"))
+
+
+#: Values of a query set looked for in one pass over a text.
+VALUE_BLOCK = 256
+
+
+def mention_counts(texts: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """(key, n_documents): how many rows of texts (text) mention each of the values (key, value).
+
+    values is a stated query set, held by the driver: each text is normalised
+    once and searched for all of it, in blocks; counts combine before they shuffle.
+    """
+    wanted = values.select(key, T.normalise_mention(F.col("value")).alias("needle"))
+    asked = sorted({r["needle"] for r in wanted.collect() if r["needle"]})
+    plain = texts.where(F.col("text").isNotNull()).select(T.normalise_mention(F.col("text")).alias("plain"))
+    blocks = [asked[k : k + VALUE_BLOCK] for k in range(0, len(asked), VALUE_BLOCK)]
+    held = [F.filter(F.array(*map(F.lit, b)), lambda w: F.contains(F.col("plain"), w)) for b in blocks]
+    met = plain.select(F.explode(F.concat(*held) if len(held) > 1 else held[0]).alias("needle")) if held else wanted.where("false").select("needle")
+    counts = met.groupBy("needle").agg(F.count("*").alias("n_documents"))
+    return wanted.join(F.broadcast(counts), "needle", "left").select(key, F.coalesce("n_documents", F.lit(0)).cast("long").alias("n_documents"))
