@@ -67,5 +67,7 @@ def conflicts(opinions: DataFrame, decided: DataFrame, keys: list[str], cap: int
     tied = decided.where("outcome = 'disputed'").select(*keys, F.explode("tied").alias("value"))
     per = tied.join(opinions.select(*keys, "value", "source"), [*keys, "value"]).groupBy(*keys, "value").agg(F.countDistinct("source").alias("n"))
     found = per.groupBy(*keys).agg(F.count("*").alias("n_options"), F.sum("n").cast("long").alias("n_sources"))
-    by = Window.partitionBy(*(group or [F.lit(1)])).orderBy(F.col("n_sources").desc(), *[k for k in keys if k not in (group or [])])
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= cap)
+    order = [F.col("n_sources").desc(), *[F.col(k) for k in keys if k not in (group or [])]]
+    if not group:  # the best of each task, then of those: no task sorts all
+        return found.orderBy(*order).limit(cap).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= cap)
