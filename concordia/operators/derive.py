@@ -14,10 +14,25 @@ from pyspark.sql import functions as F
 from ..plans.store import cut
 
 
+ROUTES = "array<array<string>>"
+
+
 def conjunction(premises: Column) -> Column:
     """A flat list of premises is one route; empty names go, an empty list is none."""
     clean = F.filter(F.coalesce(premises, F.array().cast("array<string>")), lambda p: p.isNotNull() & (F.length(p) > 0))
-    return F.when(F.size(clean) > 0, F.array(clean)).otherwise(F.array().cast("array<array<string>>"))
+    return F.when(F.size(clean) > 0, F.array(clean)).otherwise(F.array().cast(ROUTES))
+
+
+def routes_of(premises: Column) -> Column:
+    """Premises as a model gives them (array<string>, a nested list as its JSON) to routes.
+
+    A flat list is one conjunction; where any member is a list, the members are
+    alternatives and a bare name among them is a route of one premise.
+    """
+    given = F.coalesce(premises, F.array().cast("array<string>"))
+    nested = lambda p: F.coalesce(F.startswith(F.ltrim(p), F.lit("[")), F.lit(False))
+    each = F.transform(given, lambda p: conjunction(F.when(nested(p), F.from_json(p, "array<string>")).otherwise(F.array(p))))
+    return F.when(F.exists(given, nested), F.flatten(each)).otherwise(conjunction(given))
 
 
 def distinct_routes(routes: Column) -> Column:
@@ -86,14 +101,25 @@ def admitted_by_joins(slots: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def derive(slots: DataFrame, groups: list[str]) -> DataFrame:
-    """slots with status (axiom, founded, retracted, unasserted), satisfied_by and unmet (sorted)."""
-    known = admitted(slots, groups).groupBy(*groups).agg(F.collect_set("key").alias("_in"))
-    rows = slots.join(known, groups, "left").withColumn("_in", F.coalesce("_in", F.array().cast("array<string>")))
-    holds = F.filter("routes", lambda r: F.forall(r, lambda p: F.array_contains(F.col("_in"), p)))
-    missing = F.array_sort(F.array_distinct(F.filter(F.flatten("routes"), lambda p: ~F.array_contains(F.col("_in"), p))))
+    """slots with status (axiom, founded, retracted, unasserted), satisfied_by and unmet (sorted).
+
+    Premises meet the keys that are in by a join, so a group's size does not
+    matter here either.  A route without premises holds.
+    """
+    on = [*groups, "key"]
+    known = admitted(slots, groups).select(*[F.col(g).alias(f"_{g}") for g in groups], F.col("key").alias("_known"))
+    routed = slots.where(F.size("routes") > 0).select(*on, F.posexplode("routes").alias("at", "route"))
+    named = routed.select(*on, "at", "route", F.explode_outer(F.array_distinct("route")).alias("premise"))
+    met = named.join(known, [*[F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups], F.col("premise") == F.col("_known")], "left")
+    lacks = F.when(F.col("premise").isNotNull() & F.col("_known").isNull(), F.col("premise"))
+    per = met.groupBy(*on, "at").agg(F.first("route").alias("route"), F.collect_set(lacks).alias("lacks"))
+    first = F.min(F.when(F.size("lacks") == 0, F.struct("at", "route")))
+    judged = per.groupBy(*on).agg(first.alias("_holds"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("lacks")))).alias("_lacks"))
+    rows = slots.join(judged, on, "left")
     none = F.size("routes") == 0
-    status = F.when(none & F.col("asserted"), "axiom").when(none, "unasserted").when(F.size(holds) > 0, "founded").otherwise("retracted")
-    return rows.select(*slots.columns, status.alias("status"), F.get(holds, F.lit(0)).alias("satisfied_by"), F.when(status == "retracted", missing).otherwise(F.array().cast("array<string>")).alias("unmet"))
+    status = F.when(none & F.col("asserted"), "axiom").when(none, "unasserted").when(F.col("_holds").isNotNull(), "founded").otherwise("retracted")
+    unmet = F.when(status == "retracted", F.col("_lacks")).otherwise(F.array().cast("array<string>"))
+    return rows.select(*slots.columns, status.alias("status"), F.col("_holds.route").alias("satisfied_by"), unmet.alias("unmet"))
 
 
 def counters(derived: DataFrame, groups: list[str]) -> DataFrame:

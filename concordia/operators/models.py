@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import evidence as E
 from ..functions import text as T
 from ..plans.store import cut
+from . import derive as D
 
 Model = Callable[[str, str, int], str]
 
@@ -74,7 +75,7 @@ def parse_alignment(answers: DataFrame, sources: DataFrame, max_slots: int = 40)
     """(opinions, rejects) from (merge_group, answer); sources: (merge_group, source).
 
     opinions: merge_group, key, slot_type, source, value, evidence, quote,
-    derived_from.  rejects: merge_group, reason, n.  Keys and values are
+    derived_from, routes (nested premises are alternatives), at and o_at (place in the answer).  rejects: merge_group, reason, n.  Keys and values are
     trimmed and in lower case, the first slot of a key counts, unknown sources
     and empty values go, and the cap holds after sorting by key.
     """
@@ -96,10 +97,11 @@ def parse_alignment(answers: DataFrame, sources: DataFrame, max_slots: int = 40)
     chosen = ranked.where("_first = 1").withColumn("_rank", F.row_number().over(Window.partitionBy("merge_group").orderBy("key"))).where(F.col("_rank") <= max_slots)
     rows = good.join(chosen.select("merge_group", "at", F.col("key").alias("_k")), ["merge_group", "at"])
     clean = F.array_distinct(F.filter(F.coalesce("derived_from", F.array().cast("array<string>")), lambda k: F.length(k) > 0))
+    routes = D.routes_of(F.col("derived_from"))
     opinions = rows.select(
         "merge_group", "key", F.when(F.col("type").isin(*E.SLOT_TYPES), F.col("type")).otherwise("Fact").alias("slot_type"), F.col("o.source").alias("source"), "value",
         F.coalesce(E.clamp_evidence(F.when(F.col("o_raw").rlike('"evidence"\\s*:\\s*null'), "null").otherwise(F.col("o.evidence"))), F.lit(2)).alias("evidence"),
-        F.when(F.length(F.coalesce("o.quote", F.lit(""))) > 0, F.col("o.quote")).otherwise(F.concat("key", F.lit(" = "), "value")).alias("quote"), clean.alias("derived_from"),
+        F.when(F.length(F.coalesce("o.quote", F.lit(""))) > 0, F.col("o.quote")).otherwise(F.concat("key", F.lit(" = "), "value")).alias("quote"), clean.alias("derived_from"), routes.alias("routes"), "at", "o_at",
     )
     repeated = ranked.where("_first > 1").select("merge_group", F.lit("bad-key").alias("reason"))
     rejects = slots.where("reason is not null").select("merge_group", "reason").unionByName(each.where("reason is not null").select("merge_group", "reason")).unionByName(repeated)
