@@ -162,20 +162,40 @@ def idempotence(spark: SparkSession) -> DataFrame:
     return out
 
 
-def compounded(spark: SparkSession, claims: int = 2, levels: tuple[int, ...] = (1, 2), n: int = 3) -> DataFrame:
-    """(representation, profile_id, cost, nary_in, got_in): folds that change which claims of a chain are in.
-
-    Claim 0 is an axiom and each further claim rests on the one before; a
-    claim is in when it is resolved to assert and its premise is in. A branch
-    says about each claim nothing, assert or refute at a level. Scores are
-    egalitarian; the in sets are bit masks; one row for each profile of which
-    some order differs.
+def order_dependence(spark: SparkSession) -> DataFrame:
+    """(space, score, representation, well_formed, dependent, total): profiles of which two orders of folding disagree with each other."""
+    out = None
+    for space in SPACES:
+        for well_formed in (False, True):
+            rows = folded(spark, space, well_formed)
+            out = rows if out is None else out.unionByName(rows)
+    per = out.groupBy("space", "well_formed", "score", "representation", "profile_id").agg((F.min("got") != F.max("got")).alias("differs"))
+    return per.groupBy("space", "score", "representation", "well_formed").agg(F.count_if("differs").alias("dependent"), F.count("*").alias("total"))
+
+
+def compounded(spark: SparkSession, claims: int = 2, levels: tuple[int, ...] = (1, 2), n: int = 3, premises: tuple[tuple[int, ...], ...] | None = None, samples: int | None = None, seed: int = 0) -> DataFrame:
+    """(representation, profile_id, cost, nary_in, got_in): folds that change which claims of a premise graph are in.
+
+    premises: for each claim those it rests on, all of them; without it the
+    claims are a chain, claim 0 an axiom. A claim is in when it is resolved to
+    assert and its premises are in: the least fixed point, so a cycle is out. A
+    branch says about each claim nothing, assert or refute at a level. Scores
+    are egalitarian; the in sets are bit masks; one row for each profile of
+    which some order differs. samples: that many profiles drawn by hashes of
+    the seed, repeated ones once, instead of all.
     """
+    premises = premises or tuple((c - 1,) if c else () for c in range(claims))
+    if len(premises) != claims:
+        raise ValueError("premises must name those of every claim")
     if n < 3:
         raise ValueError("folding fewer than three branches never differs from merging them at once")
     per = 1 + 2 * len(levels)
     total = per ** (claims * n)
-    rows = spark.range(total, numPartitions=max(1, min(64, total // 2000))).withColumnRenamed("id", "profile_id")
+    if samples is None:
+        rows = spark.range(total, numPartitions=max(1, min(64, total // 2000))).withColumnRenamed("id", "profile_id")
+    else:
+        drawn = spark.range(samples, numPartitions=max(1, min(64, samples // 2000)))
+        rows = drawn.select(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total)).alias("profile_id")).distinct()
     cells = [(k, c) for k in range(n) for c in range(claims)]
     table = " ".join(f"when {i} then {e}" for i, e in enumerate(levels))
     digit = {cell: f"(profile_id div {per ** (len(cells) - 1 - i)} % {per})" for i, cell in enumerate(cells)}
@@ -199,9 +219,12 @@ def compounded(spark: SparkSession, claims: int = 2, levels: tuple[int, ...] = (
         lost = lambda v, c: f"representation <> 'JOIN' and {v}s_{c} < {'r' if v == 'a' else 'a'}s_{c}"
         rows = rows.selectExpr(*keys, *held, *[f"if({lost(v, c)}, 0L, if(representation = 'MAX', {_unit(f'{v}m_{c}')}, {v}s_{c})) as {v}s_{c}" for v in "ar" for c in span], *[f"if({lost(v, c)}, 0, {v}m_{c}) as {v}m_{c}" for v in "ar" for c in span])
 
-    def mask(kind: str) -> str:
-        holds = [f"a{kind}_{c} > r{kind}_{c}" for c in span]
-        return " + ".join(f"if({' and '.join(holds[: c + 1])}, {1 << c}, 0)" for c in span)
+    def mask(kind: str, known: str) -> str:
+        needs = [sum(1 << p for p in set(ps)) for ps in premises]
+        return " + ".join(f"if(a{kind}_{c} > r{kind}_{c} and ({known} & {needs[c]}) = {needs[c]}, {1 << c}, 0)" for c in span)
 
-    found = rows.selectExpr("representation", "profile_id", "cost", f"{mask('n')} as nary_in", f"{mask('s')} as got_in").where("nary_in <> got_in")
+    rows = rows.selectExpr("*", "0 as nary_in", "0 as got_in")
+    for _ in span:  # as many rounds as claims reach the fixed point
+        rows = rows.selectExpr(*[c for c in rows.columns if c not in ("nary_in", "got_in")], f"{mask('n', 'nary_in')} as nary_in", f"{mask('s', 'got_in')} as got_in")
+    found = rows.where("nary_in <> got_in")
     return found.groupBy("representation", "profile_id").agg(F.first("cost").alias("cost"), F.first("nary_in").alias("nary_in"), F.min("got_in").alias("got_in"))
