@@ -11,6 +11,8 @@ from . import pack as P
 from .slots import best_texts
 
 HEADER = "Merged context (of sessions)"
+# Fixed value: why a block is empty that its budget cannot hold.
+BELOW_OVERHEAD = "budget-below-mandatory-overhead"
 
 
 def banner(level: Column) -> Column:
@@ -69,11 +71,12 @@ def unresolved(outcome: Column, resolution: Column) -> Column:
     return (outcome == "disputed") & ~F.coalesce(resolution.isin("choose", "both", "conditional"), F.lit(False))
 
 
-def render(lines: DataFrame, budget: int = 1200, header: str = HEADER, algorithm: str = "partial", redacted: DataFrame | None = None) -> DataFrame:
+def render(lines: DataFrame, budget: int = 1200, header: str = HEADER, algorithm: str = "partial", redacted: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
     """One row for each merge_group: text, included, dropped, unresolved, tokens, utility, algorithm, reason.
 
     lines: merge_group, key, body, slot_type, outcome, resolution, status,
-    trust, max_evidence, n_sources.  The banner is charged to the budget and
+    trust, max_evidence, n_sources.  queries (merge_group, query) weigh slots by
+    the query's words in their text.  The banner is charged to the budget and
     never left out: a budget that cannot hold it and the cheapest slot gives
     an empty text.
     """
@@ -83,7 +86,10 @@ def render(lines: DataFrame, budget: int = 1200, header: str = HEADER, algorithm
     rows = rows.withColumn("_banner", F.when(F.col("_high") < 2, banner(F.col("_high"))))
     fixed = T.token_estimate(F.lit(f"## {header}")) + F.coalesce(T.token_estimate(F.col("_banner")) + 2, F.lit(0))
     rows = rows.withColumn("budget", F.lit(budget) - fixed).withColumn("_room", F.col("budget") >= F.min("cost").over(g))
-    rows = rows.withColumn("worth", P.personal_utility(retracted=F.coalesce(F.col("status") == "retracted", F.lit(False)))).withColumn("_stable", P.stability())
+    if queries is not None:
+        rows = rows.join(queries.select("merge_group", "query"), "merge_group", "left")
+    rel = None if queries is None else T.relevance_to(F.col("body"), F.col("query"))
+    rows = rows.withColumn("worth", P.personal_utility(rel=rel, retracted=F.coalesce(F.col("status") == "retracted", F.lit(False)))).withColumn("_stable", P.stability())
     packed = P.pack_groups(rows.where("_room"), ["merge_group"], budget, algorithm).select("merge_group", "key", "selected", F.col("utility"), F.col("algorithm"))
     met = rows.join(packed, ["merge_group", "key"], "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
     picked = F.when(F.col("selected"), F.struct((-F.col("_stable")).alias("o"), "key", "body"))
@@ -110,7 +116,7 @@ def render(lines: DataFrame, budget: int = 1200, header: str = HEADER, algorithm
     return per.select(
         "merge_group", F.when(empty, "").otherwise(text).alias("text"), F.when(empty, zero).otherwise(F.col("included")).alias("included"), "dropped",
         F.when(empty, zero).otherwise(F.col("unresolved")).alias("unresolved"), F.when(empty, zero).otherwise(T.token_estimate(text)).alias("tokens"),
-        "utility", "algorithm", F.when(empty, "budget-below-mandatory-overhead").alias("reason"),
+        "utility", "algorithm", F.when(empty, BELOW_OVERHEAD).alias("reason"),
     )
 
 

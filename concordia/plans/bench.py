@@ -8,8 +8,10 @@ over all seeds at once.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -98,21 +100,44 @@ def scenario(seed: int, branches: int = 2, topics: int = 8, conflicts: int = 2,
     owner = {t[0]: names[i % branches] for i, t in enumerate(chosen)}
     facts = [(t[0], t[1], owner[t[0]], USER_STATED, True) for t in chosen]
     facts += [(t[0], t[2], next(b for b in names if b != owner[t[0]]), INFERRED, False) for t in rng.shuffled(chosen)[:conflicts]]
-    say = {t[0]: t[3] for t in TOPICS}
-    out = Scenario(seed, [(i, *f) for i, f in enumerate(facts)], [], [t[0] for t in chosen])
-    for b in names:
-        rows: list[tuple] = []
-        mine = [f for f in facts if f[2] == b]
-        for key, value, _, level, _ in mine:
-            said = say[key].format(value)
-            rows.append(("user" if level == USER_STATED else "assistant", "user", "text", said))
-            if level != USER_STATED:
-                rows.append(("assistant", "model", "reasoning", f"{said} I think."))
-        rows += [("assistant", "model", "text", say[f[0]].format(f[1])) for f in mine if not f[4]]
-        for i in range(chatter):
-            rows.append(("assistant" if i % 2 else "user", "model" if i % 2 else "user", "text", CHATTER[int(rng.next() * len(CHATTER))]))
-        out.messages += [(b, i, *r) for i, r in enumerate(rows)]
-    return out
+    said = _utterances(facts, seed, rng.n, names, chatter)
+    place = itertools.count
+    messages = [(b, i, *row) for b, rows in itertools.groupby(said, key=lambda u: u.branch) for i, row in zip(place(), (u[4:] for u in rows), strict=False)]
+    return Scenario(seed, [(i, *f) for i, f in enumerate(facts)], messages, [t[0] for t in chosen])
+
+
+class Utterance(NamedTuple):
+    """Sorted by its first four: a branch says its facts, then again what it only concluded, then chatters."""
+
+    branch: str
+    part: int
+    no: int
+    again: int
+    role: str
+    source_kind: str
+    form: str
+    text: str
+
+
+#: How a fact is voiced, by whether the user stated it: part, role, source, block type, wording.
+VOICES = {
+    True: [(0, "user", "user", "text", "{}")],
+    False: [(0, "assistant", "user", "text", "{}"), (0, "assistant", "model", "reasoning", "{} I think."), (1, "assistant", "model", "text", "{}")],
+}
+
+
+def _utterances(facts: list[tuple], seed: int, drawn: int, names: list[str], chatter: int) -> list[Utterance]:
+    """All that is said, in order; chatter takes the draws after ``drawn``, branch by branch."""
+    wording = {t[0]: t[3] for t in TOPICS}
+    about = [
+        Utterance(branch, part, no, k, role, kind, form, frame.format(wording[key].format(value)))
+        for no, (key, value, branch, level, _) in enumerate(facts) for k, (part, role, kind, form, frame) in enumerate(VOICES[level == USER_STATED])
+    ]
+    idle = [
+        Utterance(branch, 2, i, 0, ("user", "assistant")[i % 2], ("user", "model")[i % 2], "text", CHATTER[int(draw(seed, drawn + b * chatter + i + 1) * len(CHATTER))])
+        for b, branch in enumerate(names) for i in range(chatter)
+    ]
+    return sorted(about + idle)
 
 
 def tables(spark: SparkSession, seeds: Iterable[int], **shape) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -173,6 +198,23 @@ def arms(facts: DataFrame, messages: DataFrame, budget: int) -> DataFrame:
     return none.unionByName(single).unionByName(concat).unionByName(merged).unionByName(oracle)
 
 
+def covered(texts: DataFrame, asked: DataFrame, by: str) -> DataFrame:
+    """(seed, by, local, bridge, overall, questions): the share of a seed's questions all of whose values its texts mention."""
+    hay = texts.withColumn("_hay", T.normalise_mention(F.col("text")))
+    met = hay.join(F.broadcast(asked), "seed")
+    hit = F.forall("values", lambda v: (F.length(T.normalise_mention(v)) > 0) & F.contains(F.col("_hay"), T.normalise_mention(v))).cast("double")
+    rates = [F.coalesce(F.avg(F.when(F.col("kind") == k, hit)), F.lit(0.0)).alias(k) for k in ("local", "bridge")]
+    return met.groupBy("seed", by).agg(*rates, F.avg(hit).alias("overall"), F.count("*").alias("questions"))
+
+
+def branch_coverage(spark: SparkSession, seeds: Iterable[int], **shape) -> DataFrame:
+    """(seed, session_id, local, bridge, overall, questions, best, mean): what each branch covers alone, the best and the mean over branches."""
+    facts, messages, chosen = tables(spark, seeds, **shape)
+    per = covered(branch_texts(messages), questions(facts, chosen), "session_id")
+    w = Window.partitionBy("seed")
+    return per.withColumns({"best": F.max("overall").over(w), "mean": F.avg("overall").over(w)})
+
+
 def score(spark: SparkSession, seeds: Iterable[int], budget: int, branches: int = 2, topics: int = 10, conflicts: int = 2, chatter: int = 18) -> DataFrame:
     """One row for each seed and arm: coverage, gain over the best branch, conflicts, invented values, tokens."""
     facts, messages, chosen = tables(spark, seeds, branches=branches, topics=topics, conflicts=conflicts, chatter=chatter)
@@ -180,24 +222,17 @@ def score(spark: SparkSession, seeds: Iterable[int], budget: int, branches: int
 
     asked = questions(facts, chosen)
     built = cut(arms(facts, messages, budget))
-
-    def covered(texts: DataFrame, by: str) -> DataFrame:
-        hay = texts.withColumn("_hay", T.normalise_mention(F.col("text")))
-        met = hay.join(F.broadcast(asked), "seed")
-        hit = F.forall("values", lambda v: (F.length(T.normalise_mention(v)) > 0) & F.contains(F.col("_hay"), T.normalise_mention(v)))
-        return met.groupBy("seed", by).agg(*[F.coalesce(F.avg(F.when(F.col("kind") == k, hit.cast("double"))), F.lit(0.0)).alias(k) for k in ("local", "bridge")], F.count("*").alias("questions"))
-
-    single = covered(branch_texts(messages), "session_id").groupBy("seed").agg(F.max("bridge").alias("best_single"))
+    single = covered(branch_texts(messages), asked, "session_id").groupBy("seed").agg(F.max("bridge").alias("best_single"))
     fought = facts.groupBy("seed", "key").agg(F.max(F.when(F.col("correct"), F.col("value"))).alias("right"), F.max(F.when(~F.col("correct"), F.col("value"))).alias("wrong"), F.count("*").alias("n")).where("n >= 2")
     met = built.join(F.broadcast(fought), "seed").withColumn("_r", T.mentions(F.col("text"), F.col("right"))).withColumn("_w", T.mentions(F.col("text"), F.col("wrong")))
-    ties = met.groupBy("seed", "arm").agg(F.avg((F.col("_r") & ~F.col("_w")).cast("double")).alias("unambiguous"), F.count_if(F.col("_r") & F.col("_w")).alias("both_values"), F.count_if(~F.col("_r") & F.col("_w")).alias("wrong_only"), F.count_if(~F.col("_r") & ~F.col("_w")).alias("absent"))
+    ties = met.groupBy("seed", "arm").agg(F.avg((F.col("_r") & ~F.col("_w")).cast("double")).alias("unambiguous"), F.count_if(F.col("_r") & F.col("_w")).alias("both_values"), F.count_if(~F.col("_r") & F.col("_w")).alias("wrong_only"), F.count_if(~F.col("_r") & ~F.col("_w")).alias("absent"), F.count("*").alias("conflicts"))
     words = spark.createDataFrame([(v,) for t in TOPICS for v in t[1:3]], "value string").distinct()
     said = facts.select("seed", "value").distinct()
     never = facts.select("seed").distinct().join(F.broadcast(words)).join(said, ["seed", "value"], "left_anti")
     size = len({v for t in TOPICS for v in t[1:3]})
     invented = built.join(F.broadcast(never), "seed").groupBy("seed", "arm").agg((F.count_if(T.mentions(F.col("text"), F.col("value"))) / size).alias("invented"))
-    out = covered(built, "arm").join(single, "seed").join(ties, ["seed", "arm"], "left").join(invented, ["seed", "arm"], "left")
-    return out.join(built.select("seed", "arm", T.token_estimate(F.col("text")).alias("tokens")), ["seed", "arm"]).withColumn("bridge_gain", F.col("bridge") - F.col("best_single")).withColumn("unambiguous", F.coalesce("unambiguous", F.lit(1.0)))
+    out = covered(built, asked, "arm").join(single, "seed").join(ties, ["seed", "arm"], "left").join(invented, ["seed", "arm"], "left")
+    return out.join(built.select("seed", "arm", T.token_estimate(F.col("text")).alias("tokens")), ["seed", "arm"]).withColumn("bridge_gain", F.col("bridge") - F.col("best_single")).withColumn("tokens_per_question", F.col("tokens") / F.col("questions")).withColumn("unambiguous", F.coalesce("unambiguous", F.lit(1.0)))
 
 
 def conflict_decisions(facts: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -217,7 +252,7 @@ def conflict_decisions(facts: DataFrame, parsed: DataFrame) -> DataFrame:
 
 def rollup(scored: DataFrame) -> DataFrame:
     """Means over seeds, one row for each arm in a fixed order."""
-    names = ["local", "bridge", "bridge_gain", "best_single", "unambiguous", "both_values", "invented", "tokens"]
+    names = ["local", "bridge", "bridge_gain", "best_single", "unambiguous", "both_values", "invented", "tokens", "conflicts", "tokens_per_question"]
     per = scored.groupBy("arm").agg(*[F.round(F.avg(c), 4).alias(c) for c in names])
     place = F.array_position(F.array(*map(F.lit, ("none", "single", "concat", "heuristic", "oracle"))), F.col("arm"))
     return per.withColumn("place", place.cast("int")).orderBy("place")

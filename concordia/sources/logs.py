@@ -25,10 +25,50 @@ EVENT_ROLES = {"user/message": "user", "assistant/message": "assistant", "tool/r
 _log = logging.getLogger(__name__)
 
 
+def _readable(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    try:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+        return found is not None and len(found) > 0
+    except Exception:  # noqa: BLE001  a store that does not answer is a source that can't be read
+        return False
+
+
 def read_events(spark: SparkSession, *paths: str, format: str = "json") -> DataFrame:
-    """Session events from any number of paths; unreadable files are skipped and the rest proceed."""
+    """Session events from any number of paths; a path that can't be read is skipped with a warning, and so are files that break on the way."""
+    good = [p for p in paths if _readable(spark, p)]
+    for p in paths:
+        if p not in good:
+            _log.warning("source %s can't be read; it is left out", p)
+    if not good:
+        return spark.createDataFrame([], EVENT_SCHEMA)
     reader = spark.read.schema(EVENT_SCHEMA).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-    return reader.format(format).load(list(paths))
+    return reader.format(format).load(good)
+
+
+def quarantined(spark: SparkSession, *paths: str) -> DataFrame:
+    """(file, line) of JSON lines under paths that are no event: what ``read_events`` reads as nulls."""
+    lines = spark.read.text([p for p in paths if _readable(spark, p)]).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    event = F.from_json("line", EVENT_SCHEMA)
+    return lines.where(F.length(F.trim("line")) > 0).where(event["session_id"].isNull() | event["event_type"].isNull())
+
+
+def to_messages(surface: DataFrame) -> DataFrame:
+    """Messages from any of the three layouts: rows of messages, rows of events, or a row for each session with ``messages`` or ``events`` as an array."""
+    columns = set(surface.columns)
+    for name in ("messages", "events"):
+        if name in columns:
+            each = surface.select("session_id", F.posexplode(name).alias("seq", "x"))
+            fields = each.select("x.*").columns
+            flat = each.select("session_id", F.col("seq").cast("bigint").alias("seq"), *[F.col(f"x.{c}").alias(c) for c in fields if c not in ("session_id", "seq")])
+            return to_messages(flat)
+    if "event_type" in columns:
+        return events_to_messages(surface)
+    if "blocks" in columns:
+        kind = F.col("source_kind") if "source_kind" in columns else F.lit(None).cast("string")
+        return surface.select("session_id", "seq", "role", kind.alias("source_kind"), "blocks")
+    return turns_to_messages(surface)
 
 
 def events_to_messages(events: DataFrame) -> DataFrame:
@@ -53,6 +93,11 @@ def write_blocks(rendered: DataFrame, path: str) -> None:
     rendered.select("merge_group", F.lit("user").alias("role"), "text").write.mode("overwrite").json(path)
 
 
+def write_results(results: DataFrame, path: str) -> None:
+    """Sink of an experiment's results: one JSON object for each row."""
+    results.write.mode("overwrite").json(path)
+
+
 class Selection:
     """The chosen source ids, in a JSON file. An explicit empty choice is not the same as none."""
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import evidence as E
+from ..plans.store import shared_folder
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -49,15 +50,30 @@ def windowed_decisions(opinions: DataFrame, ts: str, late: str, width: str, keys
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Everything the stream has now, as a table (memory sink; for results that fit the driver)."""
+    """Everything the stream has now, as a table in the shared folder; nothing of it passes the driver.
+
+    append: files of a streaming sink; update: every change, a folder for each
+    batch, so a repeated batch replaces itself; complete: the last batch.
+    """
     spark = stream.sparkSession
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:  # state and offsets where every executor reaches them
-        writer = writer.option("checkpointLocation", f"{shared}/stream-{uuid.uuid4().hex}")
-    q = writer.start()
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).queryName(name).trigger(availableNow=True).option("checkpointLocation", f"{at}/state")
+    if mode == "append":
+        q = writer.format("parquet").option("path", f"{at}/rows").start()
+        q.awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+    done: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
+        done.append(number)
+
+    q = writer.foreachBatch(keep).start()
     q.awaitTermination()
-    return spark.table(name)
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    wanted = sorted(set(done))[-1:] if mode == "complete" else sorted(set(done))
+    return spark.read.schema(stream.schema).parquet(*[f"{at}/rows/batch={n}" for n in wanted])
 
 
 def fold_in_arrival_order(batches: list[DataFrame], keys: list[str], representation: str, score: str = "egalitarian") -> DataFrame:
