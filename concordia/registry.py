@@ -296,7 +296,8 @@ def redacted_text(spark, d):
     literals = _credential_literals()
     extra = F.element_at(F.array(*map(F.lit, literals)), (F.col("doc_id") % len(literals) + 1).cast("int"))
     rows = _read(spark, d, "documents").select("doc_id", F.concat("text", F.lit(" 密钥"), extra).alias("t"))
-    return rows.select("doc_id", F.md5(T.redact(F.col("t")).cast("binary")).alias("redacted_md5"), T.redactions(F.col("t")).alias("n"))
+    rows = rows.select("doc_id", "t", T.redact(F.col("t")).alias("clean"))
+    return rows.select("doc_id", F.md5(F.col("clean").cast("binary")).alias("redacted_md5"), T.redactions(F.col("t"), F.col("clean")).alias("n"))
 
 
 @query("SELECT doc_id, CAST(ceil((length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))) / 4.0) AS BIGINT) AS tokens FROM documents")
@@ -338,12 +339,13 @@ def top3_quotes(spark, d):
     return O.top_quotes(line_opinions(spark, d), ["key"]).select("key", "value", "claim_ord", "quote_rank")
 
 
-@query("""WITH w AS (SELECT item_id, lower(regexp_extract(text, '[A-Za-z]{4,}', 0)) AS word FROM benchmark)
-SELECT d.doc_id, w.item_id, contains(' ' || """ + _norm_sql("d.text").replace("[`*_#>\\[\\]()]", "[_`*]") + """ || ' ', w.word) AND length(w.word) > 0 AS covered FROM documents d JOIN w ON w.item_id = d.doc_id % 40""")
+@query("""WITH w AS (SELECT item_id, lower(regexp_extract(text, '[A-Za-z]{4,}', 0)) AS word FROM benchmark),
+n AS (SELECT """ + _norm_sql("text").replace("[`*_#>\\[\\]()]", "[_`*]") + """ AS t FROM documents)
+SELECT item_id, count(*) FILTER (length(word) > 0 AND contains(t, word)) AS n_documents FROM w CROSS JOIN n GROUP BY item_id""")
 def mentions_coverage(spark, d):
-    words = _read(spark, d, "benchmark").select("item_id", F.lower(F.regexp_extract("text", "[A-Za-z]{4,}", 0)).alias("word"))
-    rows = _read(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
-    return rows.join(words, "item_id").select("doc_id", "item_id", T.mentions(F.col("text"), F.col("word")).alias("covered"))
+    """How many documents mention the first longer word of each benchmark item: all items against all documents."""
+    items = _read(spark, d, "benchmark").select("item_id", F.regexp_extract("text", "[A-Za-z]{4,}", 0).alias("value"))
+    return C.mention_counts(_read(spark, d, "documents"), items, "item_id")
 
 
 # --- conflicts and settlements ----------------------------------------------------------
@@ -528,6 +530,34 @@ def pack_partial(spark, d):
     return P.pack_groups(_packable(spark, d), ["merge_group"], 150, "partial")
 
 
+def _merged_lines(spark, d) -> G.Merged:
+    """Line opinions in 20 groups as a finished merge; the claims of some parts have no trust, which no group may show."""
+    n = F.col("key").cast("long")
+    claims = line_opinions(spark, d).withColumn("merge_group", n % 20).withColumn("trust", F.when(n % 388 != 0, F.col("trust"))).withColumn("text", F.concat(F.lit("flag "), "value")).withColumn("slot_type", F.lit("Fact"))
+    state, slots = G.decided_slots(claims)
+    groups = slots.select("merge_group").distinct()
+    ties = slots.groupBy("merge_group").agg(F.count_if(F.col("outcome") == "disputed").alias("conflicts"), F.count_if(F.col("outcome") == "resolved").alias("in_count"))
+    return G.Merged(claims, state, slots, groups.withColumn("redacted", F.col("merge_group") % 3), G._reported(groups, ties))
+
+
+@query(f"""WITH {_ITEMS}, {_decide_sql()}, per AS (SELECT CAST(k AS BIGINT) % 20 AS merge_group, count(*) AS n_slots, count(*) FILTER (CAST(k AS BIGINT) % 388 = 0) AS violations, count(*) FILTER (outcome = 'disputed') AS conflicts, count(*) FILTER (outcome = 'resolved') AS in_count FROM dec GROUP BY 1)
+SELECT merge_group, n_slots, violations, violations > 0 AS refused, violations = 0 AS injected, merge_group % 3 AS redacted, 'heuristic' AS mode, 'none' AS adjudication, conflicts, in_count, CASE WHEN violations > 0 THEN 'trust' END AS reason FROM per""")
+def apply_step(spark, d):
+    out = G.guarded(_merged_lines(spark, d), budget=400, algorithm="density")
+    return out.select("merge_group", "n_slots", "violations", "refused", "injected", "redacted", "mode", "adjudication", "conflicts", "in_count", "reason")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(turn AS BIGINT) AS seq, CASE role WHEN 'user' THEN 'user' WHEN 'tool' THEN 'tool' ELSE 'assistant' END AS role, text FROM conversations")
+def to_messages(spark, d):
+    """A row for each session with its events as an array, read as messages."""
+    c = _read(spark, d, "conversations")
+    kind = F.when(F.col("role") == "user", "user/message").when(F.col("role") == "tool", "tool/result").otherwise("assistant/message")
+    data = F.struct(F.col("role").alias("role"), F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content"), F.struct(F.lit(None).cast("string").alias("kind")).alias("source"))
+    packed = c.groupBy(F.col("conv_id").cast("string").alias("session_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("turn").alias("turn"), kind.alias("event_type"), data.alias("data")))).alias("events"))
+    back = L.to_messages(packed).join(packed.select("session_id", F.transform("events", lambda e: e["turn"]).alias("turns")), "session_id")
+    return back.select("session_id", F.get("turns", F.col("seq").cast("int")).cast("bigint").alias("seq"), "role", F.col("blocks")[0]["text"].alias("text"))
+
+
 @query()
 def render_block(spark, d):
     grouped = messages(spark, d).withColumn("merge_group", F.col("session_id").cast("long") % 25)
@@ -570,7 +600,7 @@ _TOKENS = ["s37-1", "2", "9999", "s74", "s3", "zz", " s111-3 ", "0"]
 @query(f"""WITH {_CAND}, po AS (SELECT id, row_number() OVER (ORDER BY coalesce(mtime, 0) DESC, input_ord) AS position FROM ca), tk AS (SELECT row_number() OVER () - 1 AS token_ord, trim(t) AS token FROM (SELECT unnest({_TOKENS!r}) AS t)),
 m AS (SELECT token_ord, token, (SELECT id FROM po WHERE id = token) AS exact, regexp_matches(token, '^[0-9]+$') AS num, (SELECT id FROM po WHERE CAST(position AS VARCHAR) = token) AS nth, (SELECT count(*) FROM po WHERE starts_with(id, token)) AS hits, (SELECT min(id) FROM po WHERE starts_with(id, token)) AS one, (SELECT count(*) FROM po) AS n FROM tk)
 SELECT CAST(token_ord AS BIGINT) AS token_ord, token, CASE WHEN exact IS NOT NULL THEN exact WHEN num THEN nth WHEN hits = 1 THEN one END AS id,
-CASE WHEN exact IS NOT NULL THEN NULL WHEN num THEN CASE WHEN nth IS NULL THEN '#' || token || ' is out of range (the list has ' || n || ')' END WHEN hits = 0 THEN 'no session matches "' || token || '"' WHEN hits > 1 THEN '"' || token || '" is ambiguous: ' || hits || ' sessions match' END AS error FROM m""")
+CASE WHEN exact IS NOT NULL THEN NULL WHEN num THEN CASE WHEN nth IS NULL THEN 'there is no number ' || token || ' among ' || n || ' sessions' END WHEN hits = 0 THEN 'no id begins with ' || token WHEN hits > 1 THEN token || ' begins ' || hits || ' ids' END AS error FROM m""")
 def resolve_sessions(spark, d):
     tokens = spark.createDataFrame(list(enumerate(_TOKENS)), "token_ord long, token string")
     return S.resolve(tokens, S.rank(candidates(spark, d), limit=None))

@@ -6,6 +6,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from concordia.functions import text as T
 from concordia.operators import derive as D
 from concordia.operators import models as M
 from concordia.operators import pack as P
@@ -192,22 +193,93 @@ def test_ranking_is_stable_and_picking_knows_three_ways(spark):
     tokens = spark.createDataFrame(list(enumerate(["12", "1", "ab", "abc", "x", "9", "q"])), "token_ord long, token string")
     got = {r.token: (r.id, r.error) for r in S.resolve(tokens, ranked).collect()}
     assert got["12"][0] == "12" and got["1"][0] == "x" and got["abc"][0] == "abc" and got["x"][0] == "x"
-    assert "ambiguous: 2" in got["ab"][1] and "out of range" in got["9"][1] and "no session" in got["q"][1]
+    assert got["ab"][1] == "ab begins 2 ids" and got["9"][1] == "there is no number 9 among 4 sessions" and got["q"][1] == "no id begins with q"
 
 
 def test_stream_windows_and_order(spark, sf):
     events = ST.read_table(spark, sf, "events")
     op = events.select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"), F.lit("s").alias("source"), F.lit(1).alias("evidence"), F.col("ts").cast("timestamp").alias("ts"))
     out = ST.run_to_end(ST.windowed_decisions(op, "ts", "1 hour", "1 day", ["key"]), "windows_test", "append")
-    assert out.count() > 0
+    # against the batch definition of the same windows, which knows no watermark: final windows are all there and alike
+    batch = spark.read.parquet(f"{sf}/events.parquet")
+    rows = batch.select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"), F.lit("s").alias("source"), F.lit(1).alias("evidence"), F.window(F.col("ts").cast("timestamp"), "1 day")["start"].alias("window_start"))
+    from concordia.operators import slots as O
+
+    want = {(r.window_start, r.key): (r.outcome, r.winner, tuple(r.tied or [])) for r in O.decide(O.items(rows, ["window_start", "key"]), ["window_start", "key"]).collect()}
+    got = {(r.window_start, r.key): (r.outcome, r.winner, tuple(r.tied or [])) for r in out.collect()}
+    last = max(w for w, _ in want)
+    assert all(want[k] == v for k, v in got.items()) and {w for w, _ in got} >= {w for w, _ in want if (last - w).days > 2}
 
 
 def test_order_matters_to_collapsed_folds_only(spark):
     make = lambda *rows: spark.createDataFrame(rows, "key string, value string, source string, evidence int")
     batches = [make(("k", "a", "x", 1)), make(("k", "a", "y", 1)), make(("k", "b", "z", 2))]
     run = lambda order, keep: ST.fold_in_arrival_order([batches[i] for i in order], ["key"], keep).first()["decision"]
-    assert run((0, 1, 2), "JOIN") == run((2, 1, 0), "JOIN") == "disputed:a,b"
-    assert run((0, 1, 2), "MAX") != run((0, 2, 1), "MAX") or run((0, 1, 2), "MAX") != "disputed:a,b"
+    orders = [(0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)]
+    assert {run(o, "JOIN") for o in orders} == {"disputed:a,b"}
+    assert len({run(o, "MAX") for o in orders}) > 1 or {run(o, "MAX") for o in orders} == {"resolved:b"}
+
+
+def test_premises_may_be_alternatives(spark):
+    given = [(1, ["a", "b"]), (2, ['["a","b"]', "c"]), (3, []), (4, None), (5, ['[]', ""]), (6, ['["x",""]'])]
+    got = {r.i: r.r for r in spark.createDataFrame(given, "i int, p array<string>").select("i", D.routes_of(F.col("p")).alias("r")).collect()}
+    assert got == {1: [["a", "b"]], 2: [["a", "b"], ["c"]], 3: [], 4: [], 5: [], 6: [["x"]]}
+
+
+def test_the_three_layouts_are_one(spark, tmp_path):
+    from concordia.sources import logs as L
+
+    block = [("text", "hello")]
+    one = spark.createDataFrame([("s", 0, "user", block)], f"session_id string, seq bigint, role string, blocks {L.BLOCKS}")
+    two = spark.createDataFrame([("s", [("user", block)])], f"session_id string, messages array<struct<role:string,blocks:{L.BLOCKS}>>")
+    three = spark.createDataFrame([("s", [("user/message", (None, block, (None,)))])], f"session_id string, events array<struct<event_type:string,data:struct<role:string,content:{L.BLOCKS},source:struct<kind:string>>>>")
+    rows = [[tuple(r) for r in L.to_messages(x).collect()] for x in (one, two, three)]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == 1
+    good = tmp_path / "good.json"
+    good.write_text('{"session_id":"s","seq":1,"event_type":"user/message","data":{"content":[{"type":"text","text":"x"}]}}\nbroken\n')
+    assert L.read_events(spark, str(good), str(tmp_path / "none.json")).where("session_id is not null").count() == 1
+    assert [r.line for r in L.quarantined(spark, str(good), str(tmp_path / "none.json")).collect()] == ["broken"]
+    assert L.read_events(spark, str(tmp_path / "none.json")).count() == 0
+    L.write_results(one.select("session_id"), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 1
+
+
+def test_credentials_are_gated_not_missed(spark):
+    from concordia import registry
+
+    texts = [*registry._credential_literals(), "plain words: nothing here", "the password is long", "", None, "API KEY: " + "Z" * 20]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    whole = F.col("t")
+    for kind, pattern in T.CREDENTIALS:
+        whole = F.regexp_replace(whole, T._bounded(pattern), f"[REDACTED:{kind}]")
+    whole = F.regexp_replace(whole, T._LABELLED, "$1[REDACTED:labelled]$3")
+    for r in rows.select("t", T.redact(F.col("t")).alias("a"), whole.alias("b"), T.has_credentials(F.col("t")).alias("has"), T.redactions(F.col("t")).alias("n")).collect():
+        assert r.a == r.b
+        if r.t is not None:
+            assert r.has == (r.a != r.t) == (r.n > 0)
+
+
+def test_a_cut_counts_utf16_units(spark):
+    text = "ab" + "\U0001F600" * 4 + "cd"
+    got = {n: spark.range(1).select(T.utf16_tail(F.lit(text), n)).first()[0] for n in (2, 3, 4, 9, 10, 12, 50)}
+    face = "\U0001F600"
+    assert got == {2: "cd", 3: "cd", 4: face + "cd", 9: face * 3 + "cd", 10: face * 4 + "cd", 12: text, 50: text}
+
+
+def test_the_step_refuses_what_trust_cannot_vouch_for(spark):
+    def say(group, session, text, own=False):
+        return (group, session, 1, "user", None, [("text", text)], own)
+
+    rows = [say("g", "a", "The database is postgres. Deploys need approval."), say("g", "b", "The database is not postgres."), say("h", "c", "password: " + "Q7" * 10), say("h", "me", "What about the password?", True), say("e", "d", "   ")]
+    messages = spark.createDataFrame(rows, "merge_group string, session_id string, seq bigint, role string, source_kind string, blocks array<struct<type:string,text:string>>, own boolean")
+    got = {r.merge_group: r for r in G.apply_step(messages, for_query=True, algorithm="density").collect()}
+    assert set(got) == {"g", "h"} and got["g"].injected and not got["g"].refused and got["g"].redacted == 0 and got["h"].redacted == 1
+    assert "[REDACTED:labelled]" in got["h"].text and "Q7Q7" not in got["h"].text and "1 credentials withheld" in got["h"].text and "What about" not in got["h"].text
+    assert got["g"]["mode"] == "heuristic" and got["g"].adjudication == "skipped" and got["g"].conflicts == 1
+    merged = G.heuristic(messages.where("merge_group = 'g'").drop("own"))
+    merged.claims = merged.claims.withColumn("trust", F.lit(None).cast("int"))
+    bad = G.guarded(merged, algorithm="density").first()
+    assert bad.refused and not bad.injected and bad.text == "" and bad.reason == "trust" and bad.violations > 0
 
 
 def test_draws_stand_alone():
@@ -224,7 +296,7 @@ def test_controls(spark, tmp_path):
     s = Selection(str(tmp_path / "s.json"), ["old"])
     do = lambda raw: S.control(c, s, *S.parse_command(raw), own="me")
     assert do("")[1].count("\n") == 1 and "me " not in do("list")[1]
-    assert do("abc") == (True, "Merging is now ON with 1 source(s)\n  - abc") and s.get() == ["abc"]
+    assert do("abc") == (True, "Sources merged: abc.") and s.get() == ["abc"]
     assert do("add 2 ab")[0] is False and s.get() == ["abc"]
     assert do("add 2")[0] and s.get() == ["abc", "abd"]
     assert do("rm abc")[0] and s.get() == ["abd"]
@@ -245,6 +317,58 @@ def test_compounded_failures(spark):
         X.compounded(spark, n=2)
 
 
+def _folded_in(profile, premises, levels, representation, order):
+    """The claims that are in after a fold, in plain Python: profile[branch][claim] = (value, level) or None."""
+    weight = lambda items: sum(1 << (e - 1) for _, e in items)
+    state = {}
+    for c in range(len(premises)):
+        held: dict[str, set] = {"a": set(), "r": set()}
+        for k, b in enumerate(order):
+            if profile[b][c]:
+                v, e = profile[b][c]
+                held[v].add((b, e))
+            if k and representation != "JOIN":
+                score = {v: weight(x) for v, x in held.items()}
+                top = max(score.values())
+                held = {v: (x if representation == "COUNT" else {max(x, key=lambda i: i[1])} if x else x) if score[v] == top else set() for v, x in held.items()}
+        state[c] = weight(held["a"]) > weight(held["r"])
+    known: set[int] = set()
+    for _ in premises:
+        known = {c for c, ps in enumerate(premises) if state[c] and set(ps) <= known}
+    return sum(1 << c for c in known)
+
+
+@pytest.mark.parametrize("premises", [((), (0,)), ((), (), (0, 1)), ((1,), (0,)), ((), (0,), (0, 1))])
+def test_compounded_failures_of_any_graph(spark, premises):
+    from itertools import permutations
+
+    from concordia.operators import confluence as X
+
+    claims, levels = len(premises), (1, 2)
+    options = [None, *[("a", e) for e in levels], *[("r", e) for e in levels]]
+    found = {(r.representation, r.profile_id): (r.cost, r.nary_in) for r in X.compounded(spark, claims, levels, premises=premises, samples=400, seed=3).collect()}
+    total = 5 ** (claims * 3)
+    ids = [r[0] for r in spark.range(400).select(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(total))).distinct().collect()]
+    want = {}
+    for i in ids:
+        digits = [i // 5 ** (claims * 3 - 1 - k) % 5 for k in range(claims * 3)]
+        profile = [[options[d] for d in digits[b * claims : (b + 1) * claims]] for b in range(3)]
+        whole = _folded_in(profile, premises, levels, "JOIN", (0, 1, 2))
+        for rep in ("JOIN", "COUNT", "MAX"):
+            if any(_folded_in(profile, premises, levels, rep, o) != whole for o in permutations(range(3))):
+                want[(rep, i)] = (sum(x is not None for b in profile for x in b), whole)
+    assert found == want and not any(rep == "JOIN" for rep, _ in want)
+
+
+def test_orders_disagree_only_where_folding_fails(spark):
+    from concordia.operators import confluence as X
+
+    fails = {(r.space, r.score, r.representation, r.well_formed): r.failures for r in X.failure_rates(spark).collect()}
+    rows = X.order_dependence(spark).collect()
+    assert len(rows) == 24 and all(r.dependent <= fails[(r.space, r.score, r.representation, r.well_formed)] for r in rows)
+    assert all((r.dependent == 0) if r.representation == "JOIN" else True for r in rows) and any(r.dependent for r in rows)
+
+
 def test_packing_takes_all_parts(spark, sf):
     from concordia import registry
 
