@@ -670,6 +670,21 @@ def test_suffix_dedup_is_exact(spark, rows, near_rows, limit, monkeypatch):
     assert suffix_dedup.dedup(frame(spark, many).limit(0)).count() == 0
 
 
+def test_long_texts_have_the_same_anchors_in_pieces(monkeypatch):
+    rng = np.random.default_rng(7)
+    raw = np.frombuffer(bytes(rng.integers(97, 100, 9000).astype(np.uint8)), np.uint8)
+    t = kernel.Texts(raw, np.array([0, len(raw)]))
+
+    def of_window():
+        h, _, lo, hi, doc = suffix_dedup.anchors(t)
+        assert not doc.any()
+        return {int(s): int(x) for x, a, b in zip(h, lo, hi) for s in range(a, b + 1)}
+
+    whole = of_window()
+    monkeypatch.setattr(suffix_dedup, "_PIECE", 1000)
+    assert of_window() == whole and set(whole) == set(range(len(raw) - 199))
+
+
 def test_suffix_dedup_gives_the_rest(spark):
     a, b = "x" * 10 + "0123456789" * 30, "0123456789" * 30 + "tail"
     got = {r.doc_id: r for r in suffix_dedup.dedup(frame(spark, [(1, a), (2, b)]), keep_text=True).collect()}
@@ -847,11 +862,36 @@ def test_pipeline_stages(spark, sf):
         docs = rewritten(out)
         after = Counter(r.doc_id for r in docs.select("doc_id").collect())
         assert set(after) <= set(before) and (k == 3 or all(after[i] <= before[i] for i in after))
+        if k == 0:  # against the chain's own scores, which plain arithmetic holds
+            scored = toxicity.score(spark.read.parquet(f"{sf}/documents.parquet"), toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), labels(spark, sf)))
+            assert after == Counter(r.doc_id for r in scored.where("not toxic").select("doc_id").collect())
+        if k == 3:  # mass in is mass out: every source within one document of its target, no text but those of before
+            sizes, taken, largest, texts = Counter(), Counter(), Counter(), {}
+            for r in left_rows:
+                n = len(WORD.findall(r.text or ""))
+                sizes[r.source] += n
+                largest[r.source] = max(largest[r.source], n)
+                texts[r.doc_id] = r
+            for r in docs.collect():
+                assert r == texts[r.doc_id]
+                taken[r.source] += len(WORD.findall(r.text))
+            target = water(sizes)
+            assert max(after.values()) <= 3 and all(abs(taken[s] - target[s]) <= largest[s] + 1e-6 for s in target)
+            mixed = {r.doc_id: r.text for r in docs.collect()}
+        if k == 4:  # against the library
+            import public_tokenizers
+            import sentencepiece
+
+            sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+            for r in docs.collect():
+                ids = sp.encode(mixed[r.doc_id])
+                assert r.ids == ids and r.n_tokens == len(ids) and r.decoded == sp.decode(ids)
         if k == 1:
             texts = [re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in docs.collect()]
             assert len(texts) == len(set(texts))
         if k == 2:
-            left = [(r.doc_id, r.text) for r in docs.collect()]
+            left_rows = docs.collect()
+            left = [(r.doc_id, r.text) for r in left_rows]
             assert all(i == c for i, _, c in linked(left, 5, 80, 100))
     assert docs.columns == ["doc_id", "n_tokens", "ids", "decoded"]
     assert Counter(r.doc_id for r in P.run(spark, sf).select("doc_id").collect()) == after
