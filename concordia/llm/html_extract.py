@@ -57,6 +57,8 @@ CHUNK = 64
 CONSTANT_PAGES = 3
 #: Siblings times siblings up to which two lists are aligned by a table, beyond it by one walk.
 TABLE = 1 << 18
+#: Blocks nested deeper than this only part texts, they are no nodes of their own.
+DEPTH = 100
 #: Between a label and its place among a wrapper's siblings.
 AT = "\x1f"
 
@@ -116,7 +118,7 @@ def read(page: str):
     """Yield ('<', label), ('>', label) and ('#', (text, linked share)) in page order, tags balanced."""
     stack: list[tuple[str, str]] = []
     text: list[str] = []
-    linked = total = in_a = 0
+    linked = total = in_a = deep = 0
     at, n = 0, len(page)
 
     def flush():
@@ -145,7 +147,11 @@ def read(page: str):
         if m[1]:
             if tag == "a":
                 in_a = max(0, in_a - 1)
-            if tag in _BLOCK:
+            if tag in _BLOCK and deep:
+                deep -= 1
+                if (t := flush()) is not None:
+                    yield t
+            elif tag in _BLOCK:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
                         if (t := flush()) is not None:
@@ -172,6 +178,9 @@ def read(page: str):
         if (t := flush()) is not None:
             yield t
         in_a = 0
+        if deep or len(stack) >= DEPTH:
+            deep += 1
+            continue
         if tag in _CLOSES_P:
             for k in range(len(stack) - 1, -1, -1):
                 open_tag = stack[k][0]
