@@ -39,11 +39,17 @@ def claims(messages: DataFrame, strategy: str = "exact", reasoning: bool = True,
     A sentence and its negation share a key. claim_ord orders the claims of a
     source as they stand in its log.
     """
-    rows = blocks(messages, reasoning, injected)
+    return claims_of(blocks(messages, reasoning, injected), strategy)
+
+
+def claims_of(rows: DataFrame, strategy: str = "exact") -> DataFrame:
+    """As ``claims``, from blocks that are there already."""
+    own = ("role", "source_kind", "injected", "block_idx", "block_type", "text", "redacted")
+    kept = [c for c in rows.columns if c not in own]
     rows = rows.select("*", F.posexplode(T.split_sentences(F.col("text"))).alias("sentence_idx", "sentence"))
     level = E.evidence_for(F.col("role"), F.col("block_type"), F.col("injected"))
     out = rows.select(
-        *[c for c in messages.columns if c not in ("blocks", "role", "source_kind")],
+        *kept,
         T.normalise_key(T.without_negation(F.col("sentence")), strategy).alias("key"),
         F.when(T.is_negated(F.col("sentence")), "refute").otherwise("assert").alias("value"),
         level.alias("evidence"), F.col("sentence").alias("text"), F.col("session_id").alias("source"),

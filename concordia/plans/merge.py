@@ -36,13 +36,13 @@ def decided_slots(claims: DataFrame, score: str = "egalitarian") -> tuple[DataFr
 
 
 def render_claims(claims: DataFrame, slots: DataFrame, state: DataFrame, redacted: DataFrame | None = None, **options) -> DataFrame:
-    lines = R.slot_lines(slots, state, claims, KEYS)
+    lines = cut(R.slot_lines(slots, state, claims, KEYS))  # packed and joined back
     return R.render(lines, redacted=redacted, **options)
 
 
-def heuristic_claims(messages: DataFrame, trust: DataFrame | None = None, strategy: str = "exact") -> DataFrame:
-    """Claims by sentence; trust: (source, trust), what is not listed is untrusted."""
-    rows = C.claims(messages, strategy).withColumn("slot_type", F.lit(None).cast("string"))
+def heuristic_claims(blocks: DataFrame, trust: DataFrame | None = None, strategy: str = "exact") -> DataFrame:
+    """Claims by sentence from blocks; trust: (source, trust), what is not listed is untrusted."""
+    rows = C.claims_of(blocks, strategy).withColumn("slot_type", F.lit(None).cast("string"))
     if trust is None:
         return rows.withColumn("trust", F.lit(0))
     return rows.join(trust.select(F.col("source").alias("_s"), F.col("trust").alias("trust")), F.col("source") == F.col("_s"), "left").drop("_s").withColumn("trust", F.coalesce("trust", F.lit(0)))
@@ -69,9 +69,9 @@ class Merged:
         return self.slots.select(*KEYS, shown.alias("values"), routes.alias("routes"))
 
 
-def redacted_counts(messages: DataFrame) -> DataFrame:
+def redacted_counts(blocks: DataFrame) -> DataFrame:
     """(merge_group, redacted): credentials withheld from a group's sources."""
-    return C.blocks(messages).groupBy("merge_group").agg(F.sum("redacted").alias("redacted"))
+    return blocks.groupBy("merge_group").agg(F.sum("redacted").alias("redacted"))
 
 
 #: What a report says of each group, and what it says where nothing of the kind happened.
@@ -89,11 +89,12 @@ def _reported(groups: DataFrame, *parts: DataFrame) -> DataFrame:
 
 def heuristic(messages: DataFrame, trust: DataFrame | None = None, score: str = "egalitarian", strategy: str = "exact") -> Merged:
     """messages with merge_group, merged by sentence."""
-    rows = cut(heuristic_claims(messages, trust, strategy))
+    blocks = cut(C.blocks(messages))  # each text is redacted once
+    rows = cut(heuristic_claims(blocks, trust, strategy))
     state, slots = decided_slots(rows, score)
     ties = slots.where("outcome = 'disputed'").groupBy("merge_group").agg(F.count("*").alias("conflicts"), F.lit("skipped").alias("adjudication"))
     standing = slots.groupBy("merge_group").agg(F.count_if(F.col("outcome") == "resolved").alias("in_count"))
-    return Merged(rows, state, slots, redacted_counts(messages), _reported(slots.select("merge_group").distinct(), ties, standing))
+    return Merged(rows, state, slots, redacted_counts(blocks), _reported(slots.select("merge_group").distinct(), ties, standing))
 
 
 def merge_sessions(messages: DataFrame, trust: DataFrame | None = None, score: str = "egalitarian", strategy: str = "exact", **options) -> DataFrame:
@@ -141,7 +142,7 @@ def aligned(messages: DataFrame, model: M.Model, trust: DataFrame | None = None,
     slots = cut(D.derive(cut(slots.join(routes, KEYS).withColumn("asserted", D.asserted(F.col("outcome"), resolution))), ["merge_group"]))
     groups = slots.select("merge_group").distinct()
     report = _reported(groups, groups.withColumn("mode", F.lit("llm")), ties, D.counters(slots, ["merge_group"]))
-    return Merged(rows, state, slots, redacted_counts(messages), report)
+    return Merged(rows, state, slots, redacted_counts(C.blocks(messages)), report)
 
 
 def _left_over(messages: DataFrame, merged: Merged) -> DataFrame:
