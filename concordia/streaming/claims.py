@@ -9,7 +9,6 @@ guarantee for rows later than it.
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,32 +93,53 @@ def fold_in_arrival_order(batches: list[DataFrame], keys: list[str], representat
 
 
 def stateful_decisions(opinions: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, decision, n_items) whenever a slot's decision changes: an explicit state of triples for each slot.
+    """(keys, decision, n_items) whenever a slot's decision changes: a map of triples and a map of scores for each slot.
 
     The same rule as ``slot_decisions`` for consumers that want changes only,
-    not every updated slot. Scores are egalitarian.
+    not every updated slot. Scores are egalitarian.  A trigger reads and writes
+    the entries of its own rows and the slot's scores, never the whole state.
+    Maps need the RocksDB state store, which this sets for the session.
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
     from ..ship import ship
 
-    ship(opinions.sparkSession)
-
-    def step(key, frames, state: GroupState):
-        import pandas as pd
-
-        triples, before = ({tuple(x) for x in json.loads(state.get[0])}, state.get[1]) if state.exists else (set(), "")
-        for f in frames:
-            triples |= {(str(v), str(s), int(e)) for v, s, e in zip(f["value"], f["source"], f["evidence"], strict=True)}
-        scores: dict[str, int] = {}
-        for v, _, e in triples:
-            scores[v] = scores.get(v, 0) + (1 << (e - 1) if 1 <= e <= 4 else 0)
-        best = sorted(v for v, n in scores.items() if n == max(scores.values()))
-        now = f"resolved:{best[0]}" if len(best) == 1 else "disputed:" + ",".join(best)
-        state.update((json.dumps(sorted(triples)), now))
-        if now != before:
-            yield pd.DataFrame({**{k: [x] for k, x in zip(keys, key, strict=True)}, "decision": [now], "n_items": [len(triples)]})
-
+    spark = opinions.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kinds = dict(opinions.dtypes)
     out = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", decision string, n_items long"
-    return opinions.groupBy(*keys).applyInPandasWithState(step, out, "triples string, decision string", "update", GroupStateTimeout.NoTimeout)
+    return opinions.select(*keys, F.col("value").cast("string"), F.col("source").cast("string"), F.col("evidence").cast("int")).groupBy(*keys).transformWithStateInPandas(_slot_processor(keys), out, "Update", "None")
+
+
+def _slot_processor(keys: list[str]):
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class SlotProcessor(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.triples = handle.getMapState("triples", "value string, source string, evidence int", "seen boolean")
+            self.scores = handle.getMapState("scores", "value string", "score long")
+            self.decided = handle.getValueState("decided", "decision string, n_items long")
+
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  names that Spark calls
+            import pandas as pd
+
+            before, n = self.decided.get() if self.decided.exists() else ("", 0)
+            for frame in rows:
+                for triple in zip(frame["value"], frame["source"], frame["evidence"].astype(int), strict=True):
+                    triple = (str(triple[0]), str(triple[1]), int(triple[2]))
+                    if self.triples.containsKey(triple):
+                        continue
+                    self.triples.updateValue(triple, (True,))
+                    n += 1
+                    held = self.scores.getValue((triple[0],)) if self.scores.containsKey((triple[0],)) else (0,)
+                    self.scores.updateValue((triple[0],), (held[0] + (1 << (triple[2] - 1) if 1 <= triple[2] <= 4 else 0),))
+            scores = {k[0]: v[0] for k, v in self.scores.iterator()}
+            best = sorted(v for v, score in scores.items() if score == max(scores.values()))
+            now = f"resolved:{best[0]}" if len(best) == 1 else "disputed:" + ",".join(best)
+            self.decided.update((now, n))
+            if now != before:
+                yield pd.DataFrame({**{k: [x] for k, x in zip(keys, key, strict=True)}, "decision": [now], "n_items": [n]})
+
+        def close(self) -> None:
+            pass
+
+    return SlotProcessor()

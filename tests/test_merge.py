@@ -291,6 +291,20 @@ def test_draws_stand_alone():
         B.scenario(1, branches=1)
 
 
+def test_what_each_branch_covers_alone(spark):
+    rows = B.branch_coverage(spark, range(1, 4), branches=3, topics=10).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.seed, []).append(r)
+    assert set(by) == {1, 2, 3} and all(len(x) == 3 for x in by.values())
+    for x in by.values():
+        rates = [r.overall for r in x]
+        assert all(abs(r.best - max(rates)) < 1e-9 and abs(r["mean"] - sum(rates) / 3) < 1e-9 for r in x) and 0 < max(rates) < 1
+    scored = B.score(spark, [1], budget=1200)
+    up = {r.arm: r for r in B.rollup(scored).collect()}
+    assert up["oracle"].conflicts == 2 and up["none"].tokens == 0 and up["concat"].tokens_per_question > 0
+
+
 def test_controls(spark, tmp_path):
     c = spark.createDataFrame([("abc", "T", 5, 10, None, 0), ("abd", "U", 3, 10, None, 1), ("me", "V", 9, 10, None, 2)], "id string, title string, mtime long, bytes long, workspace string, input_ord long")
     s = Selection(str(tmp_path / "s.json"), ["old"])
