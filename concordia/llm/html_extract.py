@@ -200,22 +200,22 @@ def read(page: str):
 
 
 # --- wrappers ---------------------------------------------------------------
-# An item is a string ('<label', '>label' or '#') or a list [kind, items] with kind '?' or '+'.
+# An item is '#' (a text slot), ['n', label, items] (a block) or a group [kind, items] with kind '?' or '+'.
 
 
 def fold(items: list, longest: int = 24) -> list:
-    """Tandem repeats of balanced runs become one repeated group."""
+    """Tandem repeats of runs of siblings become one repeated group; a longer run only stays written out."""
     out: list = []
     for x in items:
         out.append(x)
         while True:
             for k in range(1, min(longest, len(out) // 2) + 1):
                 tail = out[-k:]
-                if tail == out[-2 * k : -k] and _balanced(tail):
+                if tail == out[-2 * k : -k]:
                     del out[-2 * k :]
                     out.append(["+", tail] if not (k == 1 and isinstance(tail[0], list) and tail[0][0] == "+") else tail[0])
                     break
-                before = out[-k - 1] if len(out) > k else None
+                before = out[-k - 1]
                 if isinstance(before, list) and before[0] == "+" and before[1] == tail:
                     del out[-k:]
                     break
@@ -224,33 +224,9 @@ def fold(items: list, longest: int = 24) -> list:
     return out
 
 
-def _balanced(run: list) -> bool:
-    depth = 0
-    for x in run:
-        if isinstance(x, str):
-            depth += (x[0] == "<") - (x[0] == ">")
-            if depth < 0:
-                return False
-    return depth == 0
-
-
-def _tree(items: list) -> list:
-    """Nested form: a node is ['n', label, children]; groups hold nodes."""
-    root: list = []
-    stack = [root]
-    for x in items:
-        if isinstance(x, list):
-            stack[-1].append([x[0], _tree(x[1])])
-        elif x[0] == "<":
-            node = ["n", x[1:], []]
-            stack[-1].append(node)
-            stack.append(node[2])
-        elif x[0] == ">":
-            if len(stack) > 1:
-                stack.pop()
-        else:
-            stack[-1].append("#")
-    return root
+def _folded(siblings: list) -> list:
+    """A page's siblings as wrapper items, the innermost folded first."""
+    return fold(["#" if label == "#" else ["n", label, _folded(value)] for label, value in siblings])
 
 
 def _core(x) -> tuple[str, object]:
@@ -362,7 +338,7 @@ def _walk(a: list, b: list) -> list[tuple[int, int]]:
 
 def stream(page: str) -> str:
     """The folded stream of a page, as text (what is counted and aligned)."""
-    return json.dumps(_tree(fold([k if k == "#" else k + v for k, v in read(page)])), ensure_ascii=False, separators=(",", ":"))
+    return json.dumps(_folded(_page_tree(list(read(page)))), ensure_ascii=False, separators=(",", ":"))
 
 
 class Level:
