@@ -36,7 +36,9 @@ from .training import share
 
 MARK = "▁"
 #: Segments in each half of a worker's cache; when the newer half is full the older one is forgotten.
-CACHE = 150_000
+CACHE = 200_000
+#: Pairs of tokens whose compatibility is remembered; when there are more they are found anew.
+PAIRS = 600_000
 #: Characters of the longest segment that the cache holds, so that its entries bound its bytes.
 CACHED_CHARS = 48
 #: Characters after which a worker hands on what it has.
@@ -220,7 +222,7 @@ class Codec:
         """A segment's ids and text, from the older half of the cache or anew."""
         if len(self._cache) >= CACHE:
             self._older, self._cache = self._cache, _Cache(self._both)
-        if len(self._pairs) >= 2 * CACHE:
+        if len(self._pairs) >= PAIRS:
             self._pairs.clear()
         got = self._cache.get(s) or self._older.get(s)
         if got is None:
