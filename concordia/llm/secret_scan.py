@@ -31,8 +31,8 @@ from . import forest
 from .store import WHITE, table
 
 _KEY = r"[A-Za-z0-9+/_=.~-]"
-#: Inside a run of 16 or more key characters with a digit; no start looks further than that, so a long run costs its length.
-LONG = rf"(?={_KEY}{{16}})[A-Za-z+/_=.~-]{{0,15}}[0-9]"
+#: A run of 16 or more key characters, up to its first digit; tried at a run's beginning only, so a long one costs its length.
+LONG = rf"(?<!{_KEY})(?={_KEY}{{16}})[A-Za-z+/_=.~-]*+[0-9]"
 NAMED = r"(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credentials?)[\"']?\s*(?:[:=]|=>|:=)\s*[\"']?[^\s\"']{8,}"
 _LABEL = r"(?i)passw|passphrase|pwd|secret|token|api_?-?key|access_?-?key|auth|bearer|private_?-?key|credential"
 _INNOCENT = r"(?i)commit|sha\d*|md5|checksum|digest|hash|uuid|guid|isbn|version|build|revision|serial|invoice|order|phone|card|account|file|path|page|issue|ticket|example|sample|placeholder|dummy|test"
