@@ -148,7 +148,9 @@ def train(spark: SparkSession, findings: DataFrame | None = None) -> list:
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, word_at, word, value, before, after) of every candidate. word_at counts words, of which one may hold several candidates."""
     text = F.col(text_col)
-    holds = docs.where(text.rlike(LONG) | text.rlike(NAMED) | text.rlike(BLOCK)).select(F.col(id_col).alias("doc_id"), text.alias("t"))
+    named = (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & text.rlike(NAMED)  # plain searches spare most texts the patterns
+    block = F.contains(text, F.lit("PRIVATE KEY")) & text.rlike(BLOCK)
+    holds = docs.where(text.rlike(LONG) | named | block).select(F.col(id_col).alias("doc_id"), text.alias("t"))
     held = F.transform(F.regexp_extract_all("t", F.lit(BLOCK), F.lit(0)), lambda b: F.concat(F.lit(" "), F.translate(b, _SPACES, _HELD), F.lit(" ")))
     around = F.zip_with(F.split("t", BLOCK), held, lambda part, block: F.concat(part, F.coalesce(block, F.lit(""))))
     words = F.split(F.when(F.col("t").rlike(BLOCK), F.array_join(around, "")).otherwise(F.col("t")), WHITE)
