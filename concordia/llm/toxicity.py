@@ -11,7 +11,8 @@ The categories are columns of the labels table, each with a label of its own;
 none is computed from another.  ``CATEGORIES`` names them for `labels`, which
 has two: *unfit* (quality 0), then *toxic*.  A table with more toxicity columns
 is a longer chain (``fit``'s categories).  The last category decides; its
-threshold is where F1 over the out-of-fold probabilities is largest.
+threshold is where F-0.5 over the out-of-fold probabilities is largest, as a
+filter must leave clean documents alone.
 
 The sample becomes ids in one task (ids of one row only are left out, as L1
 would do); the folds of a link and its final model are fitted side by side,
@@ -46,6 +47,8 @@ SIZE = N_FAMILIES << BITS
 #: The chain over `labels`: each category and what of a row says it.
 CATEGORIES = {"unfit": "1 - quality", "toxic": "toxic"}
 FOLDS = 4
+#: A filter must leave clean documents alone: precision counts twice as much as recall.
+BETA = 0.5
 #: Ids that fewer rows of the sample hold are left out of training.
 LEAST_ROWS = 2
 
@@ -105,16 +108,16 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, folds: int = FOLDS, si
     return {"bias": np.array(biases), "weights": np.stack(weights).astype(np.float32), "threshold": np.array([best_threshold(oof[last], labels[last, -1])])}
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Midway in the gap of probabilities where F1 is largest (0.5 without positives)."""
+def best_threshold(p: np.ndarray, y: np.ndarray, beta: float = BETA) -> float:
+    """Midway in the gap of probabilities where F-beta is largest (0.5 without positives)."""
     if not y.sum():
         return 0.5
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    f = (1 + beta**2) * hits / (np.arange(1, len(y) + 1) + beta**2 * y.sum())
     q = p[order]
     last = np.append(q[1:] < q[:-1], True)
-    at = int(np.argmax(np.where(last, f1, -1)))
+    at = int(np.argmax(np.where(last, f, -1)))
     below = q[at + 1] if at + 1 < len(q) else 0.0
     return float((q[at] + below) / 2)
 
