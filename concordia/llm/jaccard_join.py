@@ -43,6 +43,9 @@ without words all stay; all columns stay, whatever their names.
 
 from __future__ import annotations
 
+import math
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -56,6 +59,8 @@ from .store import BROADCAST_BYTES, cut, fresh, meet, quoted, sized_broadcast, t
 
 U64 = np.uint64
 GROUPS = 64
+#: Hashings by which a text whose empty groups may hide a link signs before it signs for being bare in all.
+ROUNDS = 8
 FANOUT = 16
 #: Bytes of sets, and of points, that one task holds at once.
 SET_BYTES = 12 << 20
@@ -94,40 +99,73 @@ def intervals(t: float, most: int) -> np.ndarray:
     return np.array(ends)
 
 
+@cache
+def groupings(t: float, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(k, m, rounds) of the size intervals up to number below: most differing elements, number of groups, hashings.
+
+    m - k groups are alike in two sets that link.  A set with that many empty groups is *bare*: they may be
+    all that it has in common with another.  m has the slack over k + 1 that costs the fewest signatures, bare
+    sets of the smallest size (the likeliest ones) hashed again; one hashing where most would be bare in any.
+    """
+    ends = intervals(t, 0)
+    while len(ends) < below:
+        ends = intervals(t, int(ends[-1]))
+    ks, ms, rounds = [], [], []
+    for tag in range(below):
+        k = int((ends[tag] + ends[max(tag, 1) - 1]) * (1 - t) / (1 + t) + 1e-9)
+        n = int(ends[max(tag, 2) - 2]) + 1
+        slack = np.arange(2 * k + 1)
+        m = k + 1 + slack
+        empty = np.exp(-n / m)
+        deviation = np.sqrt(np.maximum(m * empty * (1 - (1 + n / m) * empty), 1e-9))
+        bare = np.array([math.erfc(z) / 2 for z in (slack + 0.5 - m * empty) / (deviation * math.sqrt(2))])
+        best = int(np.argmin(m / np.maximum(1 - bare, 1e-3)))
+        ks.append(k)
+        ms.append(int(m[best]))
+        rounds.append(ROUNDS if bare[best] < 0.5 else 1)
+    return np.array(ks), np.array(ms), np.array(rounds)
+
+
 def signatures(h: np.ndarray, first: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
     """(signature, text) of each group of each text, for its own size interval and the next.
 
     A pair of intervals i and i or i + 1 meets under i + 1, where its sizes sum
-    to at most the ends of both.
+    to at most the ends of both.  Two bare texts may have empty groups only in
+    common: both sign by further hashings, and who is bare in all of them signs
+    for that.
     """
     n = np.diff(first)
-    ends = intervals(t, int(n.max(initial=0)))
-    own = np.searchsorted(ends, n)
+    own = np.searchsorted(intervals(t, int(n.max(initial=0))), n)
+    most, groups, rounds = groupings(t, -(-(int(own.max(initial=0)) + 2) // 16) * 16)
     sigs, docs = [], []
-    doc = np.repeat(np.arange(len(n)), n)
-    mixed = K.mix(h ^ U64(0x5851F42D4C957F2D))
+    every = np.repeat(np.arange(len(n)), n)
     for step in (0, 1):
         tag = own + step
-        k = np.floor((ends[tag] + ends[np.maximum(tag, 1) - 1]) * (1 - t) / (1 + t) + 1e-9).astype(np.int64)
-        slack = np.minimum(3, k // 4)
-        m = k + 1 + slack
-        base = np.concatenate([[0], np.cumsum(m)])
-        group = ((h >> U64(20)) % m[doc].astype(np.uint64)).astype(np.int64)
-        at = base[:-1][doc] + group
-        held = np.bincount(at, minlength=base[-1])
-        total = np.zeros(base[-1], np.uint64)
-        np.add.at(total, at, mixed)
-        full = np.flatnonzero(held)
-        whose = np.searchsorted(base, full, "right") - 1
-        place = K.mix((tag[whose].astype(np.uint64) << U64(40)) + (full - base[whose]).astype(np.uint64) + U64(1))
-        sigs.append(K.mix(total[full] ^ place))
-        docs.append(whose)
-        # empty groups sign only where they alone could be what two texts have in common
-        empty = m - np.bincount(whose, minlength=len(n))
-        bare = np.flatnonzero((n > 0) & (empty >= m - k))
-        sigs.append(K.mix((tag[bare].astype(np.uint64) << U64(40)) + U64(0xE0)))
-        docs.append(bare)
-    return np.concatenate(sigs), np.concatenate(docs)
+        left, turn = n > 0, 0
+        while left.any():
+            of = np.flatnonzero(left[every]) if turn else slice(None)
+            doc, x = every[of], h[of]
+            if turn:
+                x = K.mix(x ^ U64(0x9E3779B97F4A7C15 * turn % (1 << 64)))
+            m = np.where(left, groups[tag], 0)
+            base = np.concatenate([[0], np.cumsum(m)])
+            at = base[:-1][doc] + ((x >> U64(20)) % m[doc].astype(np.uint64)).astype(np.int64)
+            held = np.bincount(at, minlength=base[-1])
+            total = np.zeros(base[-1], np.uint64)
+            np.add.at(total, at, K.mix(x ^ U64(0x5851F42D4C957F2D)))
+            full = np.flatnonzero(held)
+            whose = np.searchsorted(base, full, "right") - 1
+            place = K.mix((tag[whose].astype(np.uint64) << U64(40)) + U64(turn << 32) + (full - base[whose]).astype(np.uint64) + U64(1))
+            sigs.append(K.mix(total[full] ^ place))
+            docs.append(whose)
+            left = left & (m - np.bincount(whose, minlength=len(n)) >= m - most[tag])
+            turn += 1
+            bare = np.flatnonzero(left & (rounds[tag] == turn))
+            sigs.append(K.mix((tag[bare].astype(np.uint64) << U64(40)) + U64(0xE0 << 32)))
+            docs.append(bare)
+            left[bare] = False
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none.view(np.uint64), *sigs]), np.concatenate([none, *docs])
 
 
 def _class_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
